@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from siteweave.llm._common import table
 
 
+def op2_pivot_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import embedding_pivots
+
+    return embedding_pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import simhash_bk
 
@@ -16,6 +22,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pivot_embeddings": op2_pivot_embeddings,
     "op6_simhash": op6_simhash,
 }
 
