@@ -15,6 +15,12 @@ def op2_pivot_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op4_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import genetic_packing
+
+    return genetic_packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import simhash_bk
 
@@ -23,6 +29,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_embeddings": op2_pivot_embeddings,
+    "op4_genetic_packing": op4_genetic_packing,
     "op6_simhash": op6_simhash,
 }
 
