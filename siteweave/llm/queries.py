@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteweave.llm._common import table
 
@@ -27,10 +28,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import bloom_lm
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return bloom_lm.scored(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_embeddings": op2_pivot_embeddings,
     "op4_genetic_packing": op4_genetic_packing,
     "op6_simhash": op6_simhash,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
