@@ -28,6 +28,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import secret_trigrams
+
+    return secret_trigrams.scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import bloom_lm
 
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_embeddings": op2_pivot_embeddings,
     "op4_genetic_packing": op4_genetic_packing,
     "op6_simhash": op6_simhash,
+    "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bloom_lm": op10_bloom_lm,
 }
 
