@@ -22,6 +22,12 @@ def op4_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genetic_packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import simhash_bk
 
@@ -44,6 +50,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_embeddings": op2_pivot_embeddings,
     "op4_genetic_packing": op4_genetic_packing,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bloom_lm": op10_bloom_lm,
