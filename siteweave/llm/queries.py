@@ -34,6 +34,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op7_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import bottomk
+
+    return bottomk.compared(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import secret_trigrams
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_genetic_packing": op4_genetic_packing,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_bottomk": op7_bottomk,
     "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bloom_lm": op10_bloom_lm,
 }
