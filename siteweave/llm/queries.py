@@ -16,6 +16,12 @@ def op2_pivot_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import quality_bayes
+
+    return quality_bayes.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import genetic_packing
 
@@ -55,6 +61,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_embeddings": op2_pivot_embeddings,
+    "op3_quality_bayes": op3_quality_bayes,
     "op4_genetic_packing": op4_genetic_packing,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
