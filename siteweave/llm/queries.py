@@ -46,6 +46,12 @@ def op7_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.compared(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import toxicity_automata
+
+    return toxicity_automata.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import secret_trigrams
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_bottomk": op7_bottomk,
+    "op8_toxicity_automata": op8_toxicity_automata,
     "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bloom_lm": op10_bloom_lm,
 }
