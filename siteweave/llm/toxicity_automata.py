@@ -22,15 +22,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from siteweave.llm import _logit
+from siteweave.llm._common import materialize
+from siteweave.llm.bottomk import sketch
 
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 20_000
 #: Lexicon entries at most: those of the strongest evidence.
 ENTRIES = 4_000
 WINDOW = 8
+#: Evidence (a log likelihood ratio) from which a hit counts fully.
+SURE = 25.0
 STATES = 100_000
 KNOWN = 500_000
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*0-9'’-]*[^\W_]+)*")
@@ -172,12 +176,14 @@ class Reader:
             done.append((a, b, edits, entry, quoted(left, right)))
         return done
 
-    def counts(self, text: str | None) -> tuple[int, int, int]:
-        """Numbers of plain, misspelt and quoted hits."""
-        found = self.hits(text)
-        q = sum(h[4] for h in found)
-        fuzzy = sum(h[2] > 0 and not h[4] for h in found)
-        return len(found) - q - fuzzy, fuzzy, q
+    def counts(self, text: str | None) -> tuple[float, float, float]:
+        """Plain, misspelt and quoted hits, each weighed by how surely its entry is toxic."""
+        out = [0.0, 0.0, 0.0]
+        lexicon = self.automaton.lexicon
+        for _, _, edits, entry, inside in self.hits(text):
+            gain = lexicon.words.get(entry) or lexicon.stems[entry]
+            out[2 if inside else 1 if edits else 0] += min(1.0, gain / SURE)
+        return out[0], out[1], out[2]
 
 
 def quoted(left: str, right: str) -> bool:
@@ -208,44 +214,48 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, stem, form, kind 0/1, n): words and beginnings of words, once a text and near-copies mostly once."""
-    from xxhash import xxh64_intdigest
-
-    seen: set = set()
+    """(term, stem, y, n, forms): words and beginnings of words, each once a text; the empty term counts texts."""
     got: dict[int, Counter] = {0: Counter(), 1: Counter()}
     forms: defaultdict = defaultdict(set)
     for f in frames:
         for y, t in zip(f["y"], f["text"], strict=True):
             own = {m.group() for m in TOKEN.finditer((t or "").lower())}
-            if not own:
-                continue
-            least = (int(y), min(map(xxh64_intdigest, own)))  # of near copies most share it
-            if least in seen:
-                continue
-            seen.add(least)
             stems = {w[:k] for w in own for k in range(4, min(8, len(w)))}
             got[int(y)].update((w, False) for w in own)
             got[int(y)].update((s, True) for s in stems)
+            got[int(y)][("", False)] += 1
             if y:
                 for w in own:
                     for k in range(4, min(8, len(w))):
                         if len(forms[w[:k]]) < 4:
                             forms[w[:k]].add(w)
     rows = [(t, s, y, n, sorted(forms[t]) if s and y else []) for y, c in got.items() for (t, s), n in c.items()]
-    rows.append(("", False, 0, sum(y == 0 for y, _ in seen), []))
-    rows.append(("", False, 1, sum(y == 1 for y, _ in seen), []))
     yield pd.DataFrame(rows, columns=["term", "stem", "y", "n", "forms"])
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, y, text) those that share none of their four least shingle hashes with a row of a lower id: a group of near copies is no more evidence than one of it."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def signs(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(t, 4).view(np.int64).tolist() for t in texts])
+
+    signed = materialize(rows.select("doc_id", F.explode(signs("text")).alias("sign")), "signs")
+    first = signed.groupBy("sign").agg(F.min("doc_id").alias("least"))
+    copies = signed.join(first, "sign").where("least < doc_id").select("doc_id").distinct()
+    return rows.join(copies, "doc_id", "left_anti")
+
+
 def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The lexicon and the model, from at most SAMPLE labelled rows for which from_rows (of doc_id) holds: those of the least hashes."""
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & from_rows)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # so many rows at most are broadcast
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(own), "doc_id").select("y", "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(own), "doc_id")
+    rows = materialize(_distinct(materialize(rows, "labelled")).select("y", "text"), "labelled")
     terms = rows.mapInPandas(_terms, "term string, stem boolean, y int, n long, forms array<string>").groupBy("term", "stem")
-    terms = terms.agg(
+    terms = materialize(terms.agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"), F.size(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("forms")
-    )
+    ), "terms")
     total = terms.where("term = ''").select("t", "c").collect()
     t_all, c_all = (total[0][0], total[0][1]) if total else (0, 0)
     words: dict[str, float] = {}
@@ -254,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "
         base = t_all / (t_all + c_all)
         p = (F.col("t") + 0.1) / (F.col("t") + F.col("c") + 0.2)
         gain = F.col("t") * F.log(p / base) + F.col("c") * F.log((1 - p) / (1 - base))
-        strong = terms.where("term <> ''").select("term", "stem", "forms", "t", p.alias("p"), gain.alias("gain")).where((F.col("p") > 0.9) & (F.col("gain") > 17))
+        strong = terms.where("term <> ''").select("term", "stem", "forms", "t", p.alias("p"), gain.alias("gain")).where((F.col("p") > 0.9) & (F.col("gain") > np.log(terms.count()) + 3))
         got = strong.orderBy(F.desc("gain"), "term", "stem").limit(ENTRIES).collect()
         for r in sorted(got, key=lambda r: (len(r["term"]), r["term"])):
             if r["stem"] and r["forms"] >= 4 and not any(r["term"][:k] in stems for k in range(4, len(r["term"]))):
@@ -283,12 +293,12 @@ def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "
         for f in frames:
             yield pd.DataFrame({"y": f["y"], "counts": [list(reader.counts(t)) for t in f["text"]]})
 
-    got = rows.mapInPandas(counted, "y int, counts array<long>").toPandas()
+    got = rows.mapInPandas(counted, "y int, counts array<double>").toPandas()
     if got["y"].nunique() < 2:
-        return Model(lexicon, 0.8, 0.25, np.array([3.0, 1.0, -3.0]))
+        return Model(lexicon, 0.9, 0.25, np.array([3.0, 1.0, -3.0]))
     x, y = np.stack(got["counts"].to_numpy()).astype(float), got["y"].to_numpy(float)
     best = None
-    for fuzzy in (0.8, 1.0, 0.5):
+    for fuzzy in (0.9, 1.0, 0.6):
         for quote in (0.25, 0.1, 0.5, 1.0):
             trial = Model(lexicon, fuzzy, quote, np.zeros(3))
             w = _logit.fit(trial.inputs(x), y, 0.01)
