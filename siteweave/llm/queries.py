@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from siteweave.llm._common import table
 
 
+def op1_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteweave.llm import piece_viterbi
+
+    return piece_viterbi.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_pivot_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import embedding_pivots
 
@@ -66,6 +72,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_viterbi": op1_piece_viterbi,
     "op2_pivot_embeddings": op2_pivot_embeddings,
     "op3_quality_bayes": op3_quality_bayes,
     "op4_genetic_packing": op4_genetic_packing,
