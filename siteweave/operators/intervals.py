@@ -115,8 +115,9 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     after = Window.partitionBy("chrom").orderBy(F.desc("start"), "side").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("side") == 0, F.col("end"))
     marked = both.withColumn("left_end", F.max(own).over(before)).withColumn("right_start", F.min(F.when(F.col("side") == 0, F.col("start"))).over(after))
-    left = F.greatest(F.col("start") - F.col("left_end"), F.lit(0))
-    right = F.greatest(F.col("right_start") - F.col("end"), F.lit(0))
+    # greatest() and least() skip nulls: a side without regions must stay null
+    left = F.when(F.col("left_end").isNotNull(), F.greatest(F.col("start") - F.col("left_end"), F.lit(0)))
+    right = F.when(F.col("right_start").isNotNull(), F.greatest(F.col("right_start") - F.col("end"), F.lit(0)))
     return marked.where("side = 1").select(F.col("k").alias(key), F.coalesce(F.least(left, right), F.lit(FAR)).alias("distance"))
 
 

@@ -187,7 +187,7 @@ class Matrix(NamedTuple):
             r, c = np.indices((n, n))
             return pd.DataFrame({"row": r.ravel(), "col": c.ravel(), "v": x.ravel()})
 
-        return Matrix(self.df.groupBy(F.lit(0)).applyInPandas(invert, "row int, col int, v double"), n, n)
+        return Matrix(self.df.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(invert, "row int, col int, v double"), n, n)
 
     def shape(self) -> DataFrame:
         return self.df.sparkSession.createDataFrame([(self.nrow, self.ncol)], "nrow int, ncol int")
