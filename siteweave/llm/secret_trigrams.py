@@ -206,7 +206,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tup
     found = candidates(materialize(index(docs, doc_id, text, rules), "postings"), rules)
     marked = {r.kind for r in rules if query_of(r.pattern) is not None}
     found = found.select(F.col("id").alias("__id"), F.struct(*sorted(marked)).alias("__rules"))
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(found, docs[doc_id].eqNullSafe(found["__id"]), "left")
     t = F.coalesce(F.col(text), F.lit(""))
     parts = []
     for k, r in enumerate(rules):
