@@ -332,7 +332,7 @@ def _(s, d):
     return I.subtract(*_ab(s, d), "id")
 
 
-@query("nearest_dist", IV + "SELECT a.id, coalesce(min(greatest(a.s - b.e, b.s - a.e, 0)), 10000000) AS distance FROM a LEFT JOIN b ON a.chrom = b.chrom GROUP BY a.id")
+@query("nearest_dist", IV + "SELECT a.id, coalesce(min(CASE WHEN b.id IS NOT NULL THEN greatest(a.s - b.e, b.s - a.e, 0) END), 10000000) AS distance FROM a LEFT JOIN b ON a.chrom = b.chrom GROUP BY a.id")
 def _(s, d):
     return I.nearest_distance(*_ab(s, d), "id")
 
