@@ -37,7 +37,7 @@ def op4_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import warc
 
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bloom_lm": op10_bloom_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _secrets_sql() -> str:
+    """Matches, and what lies between them, by each rule's expression; positions are sums of their lengths."""
+    from siteweave.llm.secret_trigrams import BASE, RULES
+
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    steps, lists = [], []
+    for k, r in enumerate(RULES):
+        rx = q(r.pattern)
+        steps.append(f"regexp_extract_all(t, {rx}) AS m{k}, string_split_regex(t, {rx}) AS g{k}")
+        total = lambda c, to: f"coalesce(list_sum(list_transform({c}{k}[1:{to}], lambda x: length(x))), 0)"  # noqa: B023, E731
+        start = f"CAST({total('g', 'i')} + {total('m', 'i - 1')} AS INT)"
+        span = f"{{'s': {start}, 'o': {k}, 'e': CAST({start} + length(m{k}[i]) AS INT), 'k': {q(r.kind)}, 'n': length(regexp_extract(m{k}[i], {rx}, {r.group}))}}"
+        lists.append(f"list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {span}), lambda x: x.n >= {r.least})")
+    named = lambda c: f"array_to_string(list_transform({c}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    base = "list_filter(a, lambda x: x.k IN (" + ", ".join(map(q, BASE)) + "))"
+    counts = ", ".join(f"CAST(len(list_filter(a, lambda x: x.k = {q(b)})) AS BIGINT) AS n_{b}" for b in BASE)
+    return (
+        f"WITH f AS (SELECT doc_id, {', '.join(steps)} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), "
+        f"l AS (SELECT doc_id, list_sort(flatten([{', '.join(lists)}])) AS a FROM f) "
+        f"SELECT doc_id, {counts}, sha256({named(base)}) AS base_sha256, {named('a')} AS spans FROM l"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_pivot_embeddings": "WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0), "
+    "l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9), "
+    "r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), "
+    "n AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x) "
+    "SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings LEFT JOIN n ON n.x = vec_id JOIN c ON c.x = vec_id",
+    "op5_warc": "SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f < page_id THEN f END AS refers_to "
+    "FROM (SELECT page_id, h, CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS f FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))",
+    "op9_secret_trigrams": _secrets_sql(),
+}
