@@ -20,6 +20,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED = 500_000
+CACHED = 300_000
 CHUNK = 4_000_000
 
 
@@ -43,6 +44,7 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == 6}
         self.unknown = next((k for k, x in enumerate(pieces) if x[2] == 2), 0)
         self.longest = max(map(len, self.id), default=1)
+        self.ends = {p[k:] for p in self.id for k in range(len(p))}
         self.worst = min(self.score.values(), default=0.0) - 10
         self.table = [b"" if kind == 3 else bytes([int(p[3:5], 16)]) if kind == 6 else " ⁇ ".encode() if kind == 2 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -72,8 +74,13 @@ class Pieces:
             if a >= 0 and b < len(part) and (s := self.score.get(both := part[a] + part[b])) is not None:
                 heapq.heappush(heap, (-s, a, b, both))
 
+        score = self.score.get
         for k in range(len(part) - 1):
-            push(k, k + 1)
+            if (s := score(both := text[k : k + 2])) is not None:
+                heap.append((-s, k, k + 1, both))
+        if not heap:
+            return list(text)
+        heapq.heapify(heap)
         while heap:
             _, a, b, both = heapq.heappop(heap)
             if part[a] is None or part[b] is None or after[a] != b or part[a] + part[b] != both:
@@ -95,7 +102,7 @@ class Pieces:
     def follows(self, a: str, b: str) -> bool:
         """Merging the two pieces' joined text gives back the two."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -121,15 +128,23 @@ class Pieces:
             yield out[::-1]
 
     def _merge(self, w: str, shared: int, starts: list[int], scores: list[float]) -> None:
-        known, stands, follows = self.id, self.stands, self.follows
+        known, stands, pairs, ends = self.id, self.stands, self.pairs, self.ends
         for end in range(shared + 1, len(w) + 1):
-            for begin in range(max(0, end - self.longest), end):
+            begin = end - 1
+            p = w[begin]
+            while True:
+                if (p in known or begin == end - 1) and stands(p):
+                    if begin == 0:
+                        break
+                    a = w[starts[begin] : begin]
+                    ok = pairs.get((a, p))
+                    if self.follows(a, p) if ok is None else ok:
+                        break
+                begin -= 1
                 p = w[begin:end]
-                if (end - begin == 1 or p in known) and (stands(p) if begin == 0 else stands(p) and follows(w[starts[begin] : begin], p)):
-                    starts.append(begin)
-                    break
-            else:
-                raise AssertionError("a prefix without a path")
+                if begin < 0 or p not in ends:
+                    raise AssertionError("a prefix without a path")
+            starts.append(begin)
             scores.append(0.0)
 
     def _add(self, w: str, shared: int, starts: list[int], scores: list[float]) -> None:
@@ -163,26 +178,39 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts, with the ids of words met before at hand."""
+    """Encodes texts, with the ids of words met before at hand: in two generations, so that a full one drops the words not met lately."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit bytes."""
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         units = [self.pieces.units(t) for t in texts]
-        new = {u for us in units for u in us if u not in self.known}
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = {u for us in units for u in us}
-        words = sorted(new)
+        new = set().union(*units).difference(known)
+        for u in new & older.keys():
+            known[u] = older[u]
+        words = sorted(new.difference(older))
         for w, p in zip(words, self.pieces.segmented(words), strict=True):
-            self.known[w] = np.asarray(self.pieces.ids(p), "<u4").tobytes()
-        known = self.known
+            known[w] = pack(f"<{len(k := self.pieces.ids(p))}I", *k)
         return [b"".join([known[u] for u in us]) for us in units]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a model, one for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(Pieces.read(path))
+    return _encoders[path]
+
+
 def decode(pieces: Pieces, ids: np.ndarray) -> str:
     """Markers are spaces again, that before the first word goes; bytes that are no UTF-8 become U+FFFD."""
     table = pieces.table
@@ -207,7 +235,7 @@ def encoded(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.mod
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces.read(_path(model)))
+        encoder = encoder_of(_path(model))
         for batch in batches:
             texts, out, at = batch.column(0), [], 0
             while at < batch.num_rows:
@@ -229,7 +257,7 @@ def decoded(docs: DataFrame, ids: str = "ids", model: str = "piece_bpe_32k.model
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.read(_path(model))
+        pieces = encoder_of(_path(model)).pieces
         for batch in batches:
             texts, n, crc = [], [], []
             for x in batch.column(0):
