@@ -128,7 +128,7 @@ def _search(radius: int):
 
 def linked(distinct: DataFrame, radius: int, count: int) -> DataFrame:
     """Edges (a, b) between fingerprints of distinct (fp long): enough of them to connect all that links connect."""
-    agree = next(s for s in range(1, 64) if s * BITS / (radius + s) >= min(48, math.log2(max(2, count)) - 6))  # some 64 to a key
+    agree = next(s for s in range(1, 64) if s * BITS / (radius + s) >= min(48, max(12, math.log2(max(2, count)) - 6)))  # keys of 12 bits at least, some 64 fingerprints to a key
     cuts = [BITS * k // (radius + agree) for k in range(radius + agree + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     keys = [sum(masks[k] for k in chosen) for chosen in combinations(range(len(masks)), agree)]
