@@ -4,19 +4,23 @@ Training counts words and word pairs of all training texts. Counts are quantised
 n-gram of level q, the q members (n-gram, 1) .. (n-gram, q), and reading probes level after level until one misses. A
 word has level 1 + floor(2 log2 c), so every word seen is in; a pair has floor(log2 c), so pairs seen once have level 0
 and are not in. The filter is cut into slices by hash: a slice is counted and filled in one task from what all parts of
-the corpus send it, so no task and not the driver sees all n-grams. Only the filter (2 bits a training byte, rounded
-up to a power of two, MAX_BITS at most: 32 MB) and the counts of at most HOT words are broadcast; counts of all other
-words meet their texts in a join.
+the corpus send it, so no task and not the driver sees all n-grams. A slice has MEMBER_BITS bits for each member put
+into it, however many there are, so that the part of bits set (some 22 %) and of false hits (some 0.24 % a probe) is
+the same at all sizes. The filter is never in one place: texts are taken in chunks of some FLUSH tokens; a chunk sends
+each slice the distinct n-grams that it asks for, the slice answers with their levels, and the answers meet the chunk's
+tokens. Only the counts of at most HOT words are broadcast; counts of all other words meet their texts in a join.
 
 Scores: base uses the exact counts, P1(w) = (c + 0.1) / (N + 0.1 (V + 1)). The model interpolates:
 P(w | h) = L(h) q(h w) / c(h) + (1 - L(h)) P1'(w), where q is the least count of the pair's level, P1' is P1 with the
 word's quantised count and L(h) is MIX if the word before was seen at least twice in training, else 0 (and at the
 beginning). As q(h w) never exceeds the true count, this sums to at most one over words but for the filter's rare false
-hits; once MAX_BITS is reached, more n-grams make those more frequent, which `filter_bits_set` shows.
+hits.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +31,13 @@ from pyspark.sql import functions as F
 
 from siteweave.llm._common import materialize
 
-MAX_BITS = 1 << 28
+MEMBER_BITS = 16
 HOT = 150_000
 HASHES = 4
 MIX = 0.3
 FLUSH = 1_500_000
-CHUNK = 200_000
-KNOWN = 300_000
-LOW48 = np.uint64((1 << 48) - 1)
+KEY = 5  # bytes of a key within its slice, whose number is the key's top bits
+LOW = np.uint64((1 << 8 * KEY) - 1)
 END = b"\n"  # no word holds white space
 
 
@@ -57,31 +60,27 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """`slices` Bloom filters of equal size side by side; a key's top bits name its slice."""
+    """One slice: a Bloom filter of the n-grams whose keys' top bits name it."""
 
-    def __init__(self, bits: np.ndarray, slices: int) -> None:
-        self.bits, self.slices = bits, slices
-        self.shift = np.uint64(65 - slices.bit_length())
-        self.size = len(bits) * 8 // slices
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.size = bits, len(bits) * 8
 
     @staticmethod
-    def places(key: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+    def places(key: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         """Bit numbers within a slice of `size` bits."""
         with np.errstate(over="ignore"):
-            x = mixed((key & LOW48) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
-        step = (x >> np.uint64(32)) | np.uint64(1)
-        return [(x + np.uint64(k) * step) & np.uint64(size - 1) for k in range(HASHES)]
+            x = mixed((key & LOW) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+            step = (x >> np.uint64(32)) | np.uint64(1)
+            for k in range(HASHES):
+                yield ((x + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)
 
     def levels(self, keys: np.ndarray, most: int = 63) -> np.ndarray:
         """The level of each key: probes until a miss."""
-        out = np.zeros(len(keys), np.int32)
+        out = np.zeros(len(keys), np.uint8)
         todo = np.arange(len(keys))
-        base = (keys >> self.shift).astype(np.int64) * self.size if self.slices > 1 else np.zeros(len(keys), np.int64)
         for level in range(1, most + 1):
             hit = np.ones(len(todo), bool)
-            k, b = keys[todo], base[todo]
-            for at in self.places(k, level, self.size):
-                place = at.astype(np.int64) + b
+            for place in self.places(keys[todo], level, self.size):
                 hit &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             todo = todo[hit]
             if not len(todo):
@@ -98,11 +97,32 @@ def pair_level(c: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(c)).astype(np.int64)
 
 
-def _fill(bits: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
+def filled(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bits of a slice that holds keys up to their levels."""
+    flags = np.zeros(max(1 << 13, -(-MEMBER_BITS * int(levels.sum()) // 8) * 8), bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         keys, levels = keys[levels >= level], levels[levels >= level]
-        for at in Filter.places(keys, level, len(bits) * 8):
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+        for at in Filter.places(keys, level, len(flags)):
+            flags[at] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def cut(keys: np.ndarray, slices: int) -> np.ndarray:
+    """Where each slice begins and ends in sorted keys."""
+    top = (keys >> np.uint64(65 - slices.bit_length())).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
+    return np.searchsorted(top, np.arange(slices + 1))
+
+
+def sent_keys(keys: np.ndarray) -> np.ndarray:
+    """What of the keys a slice is sent: rows of KEY bytes."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
+
+
+def read_keys(parts: list[bytes]) -> np.ndarray:
+    low = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, KEY)
+    keys = np.zeros((len(low), 8), np.uint8)
+    keys[:, :KEY] = low
+    return keys.view("<u8").ravel()
 
 
 def word_key(h: np.ndarray) -> np.ndarray:
@@ -135,8 +155,8 @@ def _count(slices: int):
         top = (h >> np.uint64(shift)).astype(np.int64) if slices > 1 else np.zeros(len(h), np.int64)
         order = np.argsort(top[1:], kind="stable") + 1
         edge = np.searchsorted(top[order], np.arange(slices + 1))
-        pair_edge = np.searchsorted((pairs >> np.uint64(shift)).astype(np.int64) if slices > 1 else np.zeros(len(pairs), np.int64), np.arange(slices + 1))
-        low = pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        pair_edge = cut(pairs, slices)
+        low = sent_keys(pairs)
         cols: list[list] = [[] for _ in range(6)]
         for s in range(slices):
             own, p = order[edge[s] : edge[s + 1]], slice(pair_edge[s], pair_edge[s + 1])
@@ -165,7 +185,7 @@ def _count(slices: int):
     return count
 
 
-def _reduce(slices: int, size: int):
+def _reduce():
     """All rows of a slice -> its words with their counts, then its filter."""
     from collections import Counter
 
@@ -177,19 +197,14 @@ def _reduce(slices: int, size: int):
             if w := w.as_py():
                 c.update(dict(zip(w.split(b" "), np.frombuffer(n.as_py(), "<u4").tolist(), strict=True)))
         names, counts = list(c), np.fromiter(c.values(), np.int64, len(c))
-        bits = np.zeros(size // 8, np.uint8)
-        if names:
-            _fill(bits, word_key(np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))), word_level(counts))
-        low = np.frombuffer(b"".join(x.as_py() for x in table["pairs"]), np.uint8).reshape(-1, 6)
-        keys = np.zeros((len(low), 8), np.uint8)
-        keys[:, :6] = low
-        keys = keys.view("<u8").ravel()
+        keys = read_keys([x.as_py() for x in table["pairs"]])
         times = np.frombuffer(b"".join(x.as_py() for x in table["pair_counts"]), "<u4").astype(np.int64)
         order = np.argsort(keys)
         keys, times = keys[order], times[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        if len(first):
-            _fill(bits, keys[first], pair_level(np.add.reduceat(times, first)))
+        level = pair_level(np.add.reduceat(times, first)) if len(first) else np.zeros(0, np.int64)
+        own = word_key(np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names)))
+        bits = filled(np.concatenate([own, keys[first]]), np.concatenate([word_level(counts), level]))
         docs = sum(x.as_py() for x in table["docs"])
         n = len(names)
         return pa.table(
@@ -204,90 +219,127 @@ def _reduce(slices: int, size: int):
     return reduce
 
 
-def _score(model, kind: pa.DataType):
+ASKED = "chunk long, slice int, data binary, rid long, doc_id {}, held_out boolean, n_tokens long, hot_known long, base_hot double, words array<binary>, counts array<long>"
+
+
+def _after(seq: np.ndarray) -> np.ndarray:
+    """Where a pair ends: at each word but the first of a text."""
+    return np.flatnonzero(seq[:-1] != 0) + 1
+
+
+def _wanted(seq: np.ndarray, h: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, pairs, rare, rare_keys): all distinct keys that a chunk asks for, sorted; the keys of its pairs in order; its words that are not hot, and their keys."""
+    after = _after(seq)
+    pairs = pair_hash(h[seq[after - 1]], h[seq[after]])
+    rare = np.flatnonzero(exact < 0)
+    own = word_key(h[rare])
+    return np.unique(np.concatenate([pairs, own])), pairs, rare, own
+
+
+def _ask(model, kind: pa.DataType):
+    """Texts -> a row for each, and for each chunk of them its tokens (slice -1) and what it asks of each slice."""
     from xxhash import xxh64_intdigest
 
-    names = ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "base_hot", "score", "words", "counts"]
-    kinds = [pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names = ["chunk", "slice", "data", "rid", "doc_id", "held_out", "n_tokens", "hot_known", "base_hot", "words", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(cols: dict) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols.get(c, [None] * n), k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        hot, total, distinct, ends = m["hot"], m["total"], m["distinct"], m["ends"]
-        held = Filter(m["bits"], m["slices"])
-        below = total + 0.1 * (distinct + 1)
+        hot, slices = m["hot"], m["slices"]
+        below = m["total"] + 0.1 * (m["distinct"] + 1)
         rid = TaskContext.get().partitionId() << 40
-        numbers, h, exact, guess = _Numbers({END: 0}), np.array([xxh64_intdigest(END)], np.uint64), np.array([float(ends)]), np.array([float(ends)])
-
-        def known(least: int) -> None:
-            """Hash and counts of the words from number `least` on."""
-            nonlocal h, exact, guess
-            new = list(numbers)[least:] if least else list(numbers)[1:]
-            if not new:
-                return
-            own = np.fromiter(map(xxh64_intdigest, new), np.uint64, len(new))
-            c = np.fromiter((hot.get(w, -1) for w in new), np.float64, len(new))
-            rare = np.flatnonzero(c < 0)
-            q = c.copy()
-            level = held.levels(word_key(own[rare]))
-            q[rare] = np.where(level > 0, np.ceil(2.0 ** ((level - 1) / 2)), 0)
-            h, exact, guess = np.concatenate([h, own]), np.concatenate([exact, c]), np.concatenate([guess, q])
 
+        def done() -> Iterator[pa.RecordBatch]:
+            listed = list(numbers)
+            h = np.fromiter(map(xxh64_intdigest, listed), np.uint64, len(listed))
+            exact = np.fromiter((hot.get(w, -1) for w in listed), np.int64, len(listed))
+            exact[0] = m["ends"]
+            seq, lengths = np.concatenate(seqs), np.fromiter(map(len, seqs), np.int64, len(seqs))
+            keys = _wanted(seq, h, exact)[0]
+            edge, low = cut(keys, slices), sent_keys(keys)
+            data = [zlib.compress(pickle.dumps((rid, lengths.astype("<u4"), h, exact, seq), 5), 1)]
+            data += [np.ascontiguousarray(low[edge[s] : edge[s + 1]]).tobytes() for s in range(slices)]
+            yield rows_of({"chunk": [rid] * (slices + 1), "slice": list(range(-1, slices)), "data": data})
+            del keys, low, data
+            bounds = np.cumsum(np.r_[0, lengths])
+            c = exact[seq]
+            is_hot = c >= 0
+            base = np.add.reduceat(np.where(is_hot, np.log10((np.maximum(c, 0) + 0.1) / below), 0.0), bounds[:-1])
+            seen = np.add.reduceat((c > 0).astype(np.int64), bounds[:-1])
+            rests = []
+            for k, s in enumerate(seqs):
+                rest, times = np.unique(s[~is_hot[bounds[k] : bounds[k + 1]]], return_counts=True)
+                rests.append(([listed[x] for x in rest.tolist()], times.tolist()))
+            n = len(seqs)
+            yield rows_of({"rid": list(range(rid, rid + n)), "doc_id": ids, "held_out": outs, "n_tokens": lengths.tolist(), "hot_known": seen.tolist(), "base_hot": base.tolist(), "words": [w for w, _ in rests], "counts": [t for _, t in rests]})
+
+        numbers, seqs, ids, outs, held = _Numbers({END: 0}), [], [], [], 0
         for batch in batches:
-            ids, outs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            cols: list[list] = [[] for _ in names]
-            at = 0
-            while at < len(ids):
-                seqs, n = [], 0
-                if len(numbers) > KNOWN:
-                    numbers = _Numbers({END: 0})
-                    h, exact, guess = h[:1], exact[:1], guess[:1]
-                least, begin = len(numbers), at
-                while at < len(ids) and n < CHUNK:
-                    w = words(texts[at].as_py())
-                    seqs.append(np.fromiter(map(numbers.__getitem__, [*w, END]), np.int32, len(w) + 1))
-                    n, at = n + len(w) + 1, at + 1
-                known(least)
-                seq = np.concatenate(seqs)
-                bounds = np.cumsum([0, *map(len, seqs)])
-                c, q = exact[seq], guess[seq]
-                p = (q + 0.1) / below
-                after = np.flatnonzero(seq[:-1] != 0) + 1
-                before = q[after - 1]
-                after, before = after[before >= 2], before[before >= 2]
-                level = held.levels(pair_hash(h[seq[after - 1]], h[seq[after]]))
-                pairs = np.where(level > 0, 2.0**level, 0)
-                p[after] = MIX * np.minimum(pairs / before, 1) + (1 - MIX) * p[after]
-                model_score = np.add.reduceat(np.log10(p), bounds[:-1])
-                is_hot = c >= 0
-                base = np.add.reduceat(np.where(is_hot, np.log10((np.maximum(c, 0) + 0.1) / below), 0.0), bounds[:-1])
-                seen = np.add.reduceat((c > 0).astype(np.int64), bounds[:-1])
-                listed = None
-                for k, s in enumerate(seqs):
-                    rest, times = np.unique(s[~is_hot[bounds[k] : bounds[k + 1]]], return_counts=True)
-                    if len(rest):
-                        listed = listed or list(numbers)
-                    row = (rid, ids[begin + k], outs[begin + k], len(s), int(seen[k]), float(base[k]), float(model_score[k]), [listed[x] for x in rest.tolist()], times.tolist())
-                    for col, value in zip(cols, row, strict=True):
-                        col.append(value)
-                    rid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for d, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                w = words(t.as_py())
+                seqs.append(np.fromiter(map(numbers.__getitem__, [*w, END]), np.int32, len(w) + 1))
+                ids.append(d)
+                outs.append(out)
+                held += len(w) + 1
+                if held >= FLUSH:
+                    yield from done()
+                    rid += len(seqs)
+                    numbers, seqs, ids, outs, held = _Numbers({END: 0}), [], [], [], 0
+        if seqs:
+            yield from done()
+
+    return ask
+
+
+def _answer(key, filters: pa.Table, asked: pa.Table) -> pa.Table:
+    """A slice and what all chunks ask of it -> (chunk, slice, data): the levels, a byte each."""
+    held = Filter(np.frombuffer(filters["bits"][0].as_py(), np.uint8)) if filters.num_rows else None
+    out = []
+    for x in asked["data"]:
+        keys = read_keys([x.as_py()])
+        out.append((held.levels(keys) if held else np.zeros(len(keys), np.uint8)).tobytes())
+    return pa.table({"chunk": asked["chunk"].cast(pa.int64()), "slice": asked["slice"].cast(pa.int32()), "data": pa.array(out, pa.binary())})
+
+
+def _score(below: float):
+    """A chunk's tokens and the answers of all slices -> (rid, score)."""
+
+    def score(table: pa.Table) -> pa.Table:
+        parts = dict(zip(table["slice"].to_pylist(), table["data"].to_pylist(), strict=True))
+        rid, lengths, h, exact, seq = pickle.loads(zlib.decompress(parts.pop(-1)))
+        keys, pairs, rare, own = _wanted(seq, h, exact)
+        levels = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8)
+        level = levels[np.searchsorted(keys, own)].astype(float)
+        guess = exact.astype(float)
+        guess[rare] = np.where(level > 0, np.ceil(2.0 ** ((level - 1) / 2)), 0)
+        q = guess[seq]
+        p = (q + 0.1) / below
+        after = _after(seq)
+        before = q[after - 1]
+        held = before >= 2
+        level = levels[np.searchsorted(keys, pairs[held])].astype(float)
+        after, before = after[held], before[held]
+        p[after] = MIX * np.minimum(np.where(level > 0, 2.0**level, 0) / before, 1) + (1 - MIX) * p[after]
+        scores = np.add.reduceat(np.log10(p), np.cumsum(np.r_[0, lengths[:-1]]).astype(np.int64))
+        return pa.table({"rid": pa.array(range(rid, rid + len(lengths)), pa.int64()), "score": pa.array(scores)})
 
     return score
 
 
-def train(texts: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, dict]:
-    """texts (text) -> counts of all words (word, c), and the model: filter, hot words and totals, to be broadcast."""
+def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """texts (text) -> counts of all words (word, c), the filter (slice, bits), and to be broadcast: hot words and totals."""
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = min(1 << 15, 1 << max(0, (chars >> 23)).bit_length())
-    size = max(1 << 13, min(max_bits, 1 << max(20, (2 * chars).bit_length())) // slices)
     sent = texts.mapInArrow(_count(slices), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary, docs long")
-    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(slices, size), "slice int, word binary, c long, bits binary"), "slices")
+    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(), "slice int, word binary, c long, bits binary"), "slices")
     counts = done.where("word IS NOT NULL").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    bits, ends = np.zeros(slices * size // 8, np.uint8), 0
-    for r in done.where("bits IS NOT NULL").select("slice", "bits", "c").toLocalIterator():  # a part at a time
-        bits[r["slice"] * size // 8 : (r["slice"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
-        ends += r["c"]
+    filters = done.where("word IS NULL")
+    ends = filters.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     # the most frequent words, at most HOT: those above a bound of the (short) histogram of their counts
     short = counts.where(F.octet_length("word") <= 256)
     bound, sofar = None, 0
@@ -297,10 +349,10 @@ def train(texts: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, dict]:
             break
         bound = r["b"]
     hot = {} if bound is None else {bytes(r["word"]): r["c"] for r in short.where(F.floor(8 * F.log2("c")) >= bound).collect()}
-    return counts, {"bits": bits, "slices": slices, "hot": hot, "total": total + ends, "distinct": distinct + (ends > 0), "ends": ends, "filter_bits_set": int(np.bitwise_count(bits).sum())}
+    return counts, filters.select("slice", "bits"), {"slices": slices, "hot": hot, "total": total + ends, "distinct": distinct + (ends > 0), "ends": ends}
 
 
-def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs; learns from rows not held out.
 
     Null texts are empty; an empty text is one end token. A null held_out counts as true. With nothing to learn from,
@@ -309,17 +361,17 @@ def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
-    counts, model = train(base.where("NOT held_out").select("text"), max_bits)
+    counts, filters, model = train(base.where("NOT held_out").select("text"))
     total, below = model["total"], model["total"] + 0.1 * (model["distinct"] + 1)
     shared = spark.sparkContext.broadcast(model)
     kind = base.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = base.mapInArrow(
-        _score(shared, to_arrow_type(kind)),
-        f"rid long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, hot_known long, base_hot double, score double, words array<binary>, counts array<long>",
-    )
-    rows = materialize(rows, "scored")
+    asked = materialize(base.mapInArrow(_ask(shared, to_arrow_type(kind)), ASKED.format(kind.simpleString())), "asked")
+    rows = asked.where("rid IS NOT NULL").drop("chunk", "slice", "data")
+    chunks = asked.where("rid IS NULL").select("chunk", "slice", "data")
+    levels = filters.groupBy("slice").cogroup(chunks.where("slice >= 0").groupBy("slice")).applyInArrow(_answer, "chunk long, slice int, data binary")
+    scores = chunks.where("slice < 0").unionAll(levels).groupBy("chunk").applyInArrow(_score(float(below)), "rid long, score double")
     rest = rows.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(below))
     rest = (
@@ -327,6 +379,7 @@ def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: st
         .groupBy("rid")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * logs).alias("logs"))
     )
+    rest = rest.join(scores, "rid", "full")
     return rows.drop("words", "counts").join(rest, "rid", "left").select(
         "doc_id",
         "held_out",

@@ -426,3 +426,24 @@ def test_rare_words_meet_their_counts_in_a_join(spark, monkeypatch):
     for k in range(40):
         w = [*f"a a a b c d{k} e{k // 2}".split(), "\n"]
         assert got[k]["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / below) for x in w)) and got[k]["n_known"] == sum(c[x] > 0 for x in w)
+
+
+def test_lm_filter_grows_with_what_it_holds():
+    rng = np.random.default_rng(10)
+    keys = np.unique(rng.integers(0, 1 << 63, 1_300_000, dtype=np.uint64))
+    for n in (1_000, 30_000, len(keys) // 2):
+        bits = bloom_lm.filled(keys[:n], np.full(n, 2))
+        assert np.bitwise_count(bits).sum() < 0.25 * len(bits) * 8
+        held = bloom_lm.Filter(bits)
+        assert (held.levels(keys[:n]) >= 2).all() and (held.levels(keys[n : 2 * n]) > 0).mean() < 0.01
+
+
+def test_lm_chunks_meet_all_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + j * j) % 90}" for j in range(60))) for k in range(80)], SCHEMA)
+    held = F.col("doc_id") % 4 == 0
+    one = {r["doc_id"]: r["score"] for r in bloom_lm.scored(docs, held).collect()}
+    train = bloom_lm.train
+    monkeypatch.setattr(bloom_lm, "FLUSH", 200)
+    monkeypatch.setattr(bloom_lm, "train", lambda texts, **kw: train(texts.withColumn("text", F.concat("text", F.lit(" " * (1 << 20)))), **kw))  # 60 MB: many slices
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.scored(docs, held).collect()}
+    assert len(got) == 80 and np.mean([abs(got[k] - one[k]) / 61 for k in one]) < 0.01
