@@ -2,8 +2,8 @@
 
 Training counts words and word pairs of all training texts. Counts are quantised on a log scale; a filter holds, for an
 n-gram of level q, the q members (n-gram, 1) .. (n-gram, q), and reading probes level after level until one misses. A
-word has level 1 + floor(2 log2 c), so every word seen is in; a pair has floor(log2 c), so pairs seen once have level 0
-and are not in. The filter is cut into slices by hash: a slice is counted and filled in one task from what all parts of
+word has level 1 + floor(2 log2 c) and a pair 1 + floor(log2 c), so all that was seen is in; only if scored() is told to
+leave out pairs seen once (once=False) a pair has floor(log2 c). The filter is cut into slices by hash: a slice is counted and filled in one task from what all parts of
 the corpus send it, so no task and not the driver sees all n-grams. A slice has MEMBER_BITS bits for each member put
 into it, however many there are, so that the part of bits set (some 22 %) and of false hits (some 0.24 % a probe) is
 the same at all sizes. The filter is never in one place: texts are taken in chunks of some FLUSH tokens; a chunk sends
@@ -12,8 +12,8 @@ tokens. Only the counts of at most HOT words are broadcast; counts of all other
 
 Scores: base uses the exact counts, P1(w) = (c + 0.1) / (N + 0.1 (V + 1)). The model interpolates:
 P(w | h) = L(h) q(h w) / c(h) + (1 - L(h)) P1'(w), where q is the least count of the pair's level, P1' is P1 with the
-word's quantised count and L(h) is MIX if the word before was seen at least twice in training, else 0 (and at the
-beginning). As q(h w) never exceeds the true count, this sums to at most one over words but for the filter's rare false
+word's quantised count and L(h) is MIX if the word before was seen in training (without pairs seen once: at least
+twice), else 0 (and at the beginning). As q(h w) never exceeds the true count, this sums to at most one over words but for the filter's rare false
 hits.
 """
 
@@ -93,8 +93,8 @@ def word_level(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(2 * np.log2(c)).astype(np.int64)
 
 
-def pair_level(c: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(c)).astype(np.int64)
+def pair_level(c: np.ndarray, once: bool) -> np.ndarray:
+    return once + np.floor(np.log2(c)).astype(np.int64)
 
 
 def filled(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _count(slices: int):
     return count
 
 
-def _reduce():
+def _reduce(once: bool):
     """All rows of a slice -> its words with their counts, then its filter."""
     from collections import Counter
 
@@ -202,7 +202,7 @@ def _reduce():
         order = np.argsort(keys)
         keys, times = keys[order], times[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        level = pair_level(np.add.reduceat(times, first)) if len(first) else np.zeros(0, np.int64)
+        level = pair_level(np.add.reduceat(times, first), once) if len(first) else np.zeros(0, np.int64)
         own = word_key(np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names)))
         bits = filled(np.concatenate([own, keys[first]]), np.concatenate([word_level(counts), level]))
         docs = sum(x.as_py() for x in table["docs"])
@@ -305,7 +305,7 @@ def _answer(key, filters: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table({"chunk": asked["chunk"].cast(pa.int64()), "slice": asked["slice"].cast(pa.int32()), "data": pa.array(out, pa.binary())})
 
 
-def _score(below: float):
+def _score(below: float, once: bool):
     """A chunk's tokens and the answers of all slices -> (rid, score)."""
 
     def score(table: pa.Table) -> pa.Table:
@@ -320,22 +320,22 @@ def _score(below: float):
         p = (q + 0.1) / below
         after = _after(seq)
         before = q[after - 1]
-        held = before >= 2
+        held = before >= (1 if once else 2)
         level = levels[np.searchsorted(keys, pairs[held])].astype(float)
         after, before = after[held], before[held]
-        p[after] = MIX * np.minimum(np.where(level > 0, 2.0**level, 0) / before, 1) + (1 - MIX) * p[after]
+        p[after] = MIX * np.minimum(np.where(level > 0, 2.0 ** (level - once), 0) / before, 1) + (1 - MIX) * p[after]
         scores = np.add.reduceat(np.log10(p), np.cumsum(np.r_[0, lengths[:-1]]).astype(np.int64))
         return pa.table({"rid": pa.array(range(rid, rid + len(lengths)), pa.int64()), "score": pa.array(scores)})
 
     return score
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+def train(texts: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """texts (text) -> counts of all words (word, c), the filter (slice, bits), and to be broadcast: hot words and totals."""
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = min(1 << 15, 1 << max(0, (chars >> 23)).bit_length())
     sent = texts.mapInArrow(_count(slices), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary, docs long")
-    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(), "slice int, word binary, c long, bits binary"), "slices")
+    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(once), "slice int, word binary, c long, bits binary"), "slices")
     counts = done.where("word IS NOT NULL").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     filters = done.where("word IS NULL")
@@ -352,16 +352,16 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     return counts, filters.select("slice", "bits"), {"slices": slices, "hot": hot, "total": total + ends, "distinct": distinct + (ends > 0), "ends": ends}
 
 
-def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs; learns from rows not held out.
 
     Null texts are empty; an empty text is one end token. A null held_out counts as true. With nothing to learn from,
     every token is unknown and all probabilities are 1. Repeated rows and ids are scored each for itself. Other columns
-    are not looked at.
+    are not looked at. With `once` the filter holds pairs seen once too.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
-    counts, filters, model = train(base.where("NOT held_out").select("text"))
+    counts, filters, model = train(base.where("NOT held_out").select("text"), once=once)
     total, below = model["total"], model["total"] + 0.1 * (model["distinct"] + 1)
     shared = spark.sparkContext.broadcast(model)
     kind = base.schema["doc_id"].dataType
@@ -371,7 +371,7 @@ def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: st
     rows = asked.where("rid IS NOT NULL").drop("chunk", "slice", "data")
     chunks = asked.where("rid IS NULL").select("chunk", "slice", "data")
     levels = filters.groupBy("slice").cogroup(chunks.where("slice >= 0").groupBy("slice")).applyInArrow(_answer, "chunk long, slice int, data binary")
-    scores = chunks.where("slice < 0").unionAll(levels).groupBy("chunk").applyInArrow(_score(float(below)), "rid long, score double")
+    scores = chunks.where("slice < 0").unionAll(levels).groupBy("chunk").applyInArrow(_score(float(below), once), "rid long, score double")
     rest = rows.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(below))
     rest = (

@@ -68,7 +68,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteweave.llm import bloom_lm
 
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    return bloom_lm.scored(table(spark, sf_dir, "documents"), held_out)
+    return bloom_lm.scored(table(spark, sf_dir, "documents"), held_out, once=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -447,3 +447,31 @@ def test_lm_chunks_meet_all_slices(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "train", lambda texts, **kw: train(texts.withColumn("text", F.concat("text", F.lit(" " * (1 << 20)))), **kw))  # 60 MB: many slices
     got = {r["doc_id"]: r["score"] for r in bloom_lm.scored(docs, held).collect()}
     assert len(got) == 80 and np.mean([abs(got[k] - one[k]) / 61 for k in one]) < 0.01
+
+
+def test_lm_query_holds_pairs_seen_once(spark, tmp_path):
+    """Scores of op10 against exact counts, all pairs in."""
+    from siteweave.llm.queries import op10_bloom_lm
+
+    rng = np.random.default_rng(11)
+    texts = [(k, " ".join(f"W{int(x)}" for x in rng.zipf(1.5, 80) % 500)) for k in range(200)]
+    spark.createDataFrame(texts, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_bloom_lm(spark, str(tmp_path)).collect()}
+    c, pairs = Counter(), Counter()
+    for d, t in texts:
+        if not got[d]["held_out"]:
+            w = [*bloom_lm.words(t), bloom_lm.END]
+            c.update(w)
+            pairs.update(zip(w, w[1:]))
+    below = sum(c.values()) + 0.1 * (len(c) + 1)
+    off = {False: [], True: []}
+    for d, t in texts:
+        w, s = [*bloom_lm.words(t), bloom_lm.END], 0.0
+        for k, x in enumerate(w):
+            p = (c[x] + 0.1) / below
+            if k and c[w[k - 1]]:
+                n = pairs[w[k - 1], x]
+                p = bloom_lm.MIX * (2 ** int(math.log2(n)) if n else 0) / c[w[k - 1]] + (1 - bloom_lm.MIX) * p
+            s += math.log10(p)
+        off[got[d]["held_out"]].append(abs(got[d]["score"] - s) / len(w))
+    assert np.mean(off[True]) < 0.01 and np.mean(off[False]) < 0.01
