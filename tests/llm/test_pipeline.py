@@ -59,3 +59,56 @@ def test_no_documents(spark, tables, tmp_path):
     for _, f in pipeline.STAGES:
         docs = f(spark, docs, tables)
     assert docs.count() == 0
+
+
+def _near_texts():
+    """Texts with copies and near copies of many degrees, a common passage, and a group whose members are all near copies."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"v{int(x)}" for x in rng.integers(0, 4000, n)]
+    common, texts = word(30), []
+    for k in range(60):
+        w = word(int(rng.integers(3, 150)))
+        w = w + common if k % 2 else w
+        texts.append(w)
+        for _ in range(3):
+            v = list(w)
+            for at in rng.integers(0, len(v), int(rng.integers(0, 1 + len(v) // 30))):
+                v[at] = word(1)[0]
+            texts.append(v)
+    base = word(120)
+    for k in range(40):
+        texts.append([*base[:60], f"n{k}", *base[61:]])
+    return [" ".join(w) for w in texts]
+
+
+def _near_groups(texts):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    own, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(own)):
+        for j in range(i):
+            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("shard", [512, 4])
+def test_near_duplicates_are_those_of_likeness(spark, monkeypatch, shard):
+    from siteweave.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "SHARD", shard)
+    texts = _near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert left == {k for k, root in enumerate(_near_groups(texts)) if k == root}
