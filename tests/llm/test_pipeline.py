@@ -112,3 +112,12 @@ def test_near_duplicates_are_those_of_likeness(spark, monkeypatch, shard):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
     assert left == {k for k, root in enumerate(_near_groups(texts)) if k == root}
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (3, c), (5, c), (5, d), (None, e), (None, e), (7, b + " more"), (1, a), (None, None), (None, "")] + [(None, f"{d} {k} {c} {k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()), key=str)
+    assert [x for x in got if x[0] is None and x[1].startswith(d)] and len([x for x in got if x[1].startswith(d + " ")]) == 1
+    assert sorted((x for x in got if not x[1].startswith(d + " ")), key=str) == sorted([(1, a), (7, b + " more"), (3, c), (5, d), (None, e), (None, "")], key=str)
