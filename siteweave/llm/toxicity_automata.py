@@ -1,7 +1,8 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
 learn() finds the lexicon in labelled rows: words, and stems of word families, that toxic rows hold far more often than
-others. Its entries form a trie. The Levenshtein automaton of a token intersected with that trie is run as a product
+others; the words of a family that toxic rows hold are entries of their own, of the family's evidence. The entries form a
+trie. The Levenshtein automaton of a token intersected with that trie is run as a product
 automaton over the token's characters - a state is the set of (trie node, edits so far) still alive - whose states and
 steps are made when first needed. Words of five letters or more match within one edit, of nine or more within two;
 stems match exactly, as beginnings. Tokens that clean rows hold are never misspellings.
@@ -281,8 +282,15 @@ def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "
                 now = best["term"]
             stems[now] = stems.pop(s)
         for r in got:
-            if not r["stem"] and len(r["term"]) >= 3 and not any(r["term"][:k] in stems for k in range(4, len(r["term"]) + 1)):
+            if not r["stem"] and len(r["term"]) >= 3:
                 words[r["term"]] = r["gain"]
+        # a family's words are matched with edits too: all that toxic rows hold and clean rows hardly do
+        family = [F.substring("term", 1, k).isin([s for s in stems if len(s) == k]) for k in sorted({len(s) for s in stems})]
+        if family:
+            of = terms.where(~F.col("stem") & (F.col("t") > 0) & (p > 0.9) & F.greatest(*family, F.lit(False))).select("term")
+            for r in of.collect():
+                s = next(s for k in range(len(r["term"]), 3, -1) if (s := r["term"][:k]) in stems)
+                words[r["term"]] = max(words.get(r["term"], 0.0), stems[s])
     # what clean rows hold within the reach of an entry is no misspelling
     raw = Lexicon(words, stems, frozenset())
     clean = rows.where("y = 0").select("text").mapInPandas(_near(raw), "term string").distinct().limit(100_000).collect()

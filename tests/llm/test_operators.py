@@ -169,6 +169,19 @@ def test_toxicity_finds_words_misspellings_and_spares_quotes(spark, odd, none):
     assert toxicity_automata.judged(none, labels).count() == 0
 
 
+def test_misspelt_words_of_a_family_are_caught(spark):
+    docs, labels = labelled(spark)
+    forms = ["idiot", "idiots", "idiotic", "idiotical", "idiotisms"]
+    docs = docs.select("doc_id", F.regexp_replace("text", "idiot|moron|stupid", "FORM").alias("text")).collect()
+    docs = spark.createDataFrame([(r["doc_id"], re.sub("FORM", lambda m, k=r["doc_id"]: forms[(k // 7 + m.start()) % 5], r["text"])) for r in docs], SCHEMA)
+    model = toxicity_automata.learn(docs, labels, ~toxicity_automata.held_out())
+    assert any("idiotic".startswith(s) for s in model.lexicon.stems)
+    reader = toxicity_automata.Reader(model.lexicon)
+    score = lambda t: float(model.scores(np.array([reader.counts(t)]))[0])
+    assert all([x[2] for x in reader.hits(w)] == [1] for w in ("idxotic", "idi0t", "idi0ts", "ixiotical"))
+    assert score("you idi0t and ixiotical idi0ts") > 0.7 and score("a quiet river") < 0.5
+
+
 def test_automaton_equals_edit_distance():
     import itertools
 
