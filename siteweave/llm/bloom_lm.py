@@ -6,7 +6,7 @@ word has level 1 + floor(2 log2 c) and a pair 1 + floor(log2 c), so all that was
 leave out pairs seen once (once=False) a pair has floor(log2 c). The filter is cut into slices by hash: a slice is counted and filled in one task from what all parts of
 the corpus send it, so no task and not the driver sees all n-grams. A slice has MEMBER_BITS bits for each member put
 into it, however many there are, so that the part of bits set (some 22 %) and of false hits (some 0.24 % a probe) is
-the same at all sizes. The filter is never in one place: texts are taken in chunks of some FLUSH tokens; a chunk sends
+the same at all sizes. The filter is never in one place: texts are taken in chunks of some ASK tokens; a chunk sends
 each slice the distinct n-grams that it asks for, the slice answers with their levels, and the answers meet the chunk's
 tokens. Only the counts of at most HOT words are broadcast; counts of all other words meet their texts in a join.
 
@@ -36,6 +36,8 @@ HOT = 150_000
 HASHES = 4
 MIX = 0.3
 FLUSH = 1_500_000
+ASK = 750_000
+ROWS = 500
 KEY = 5  # bytes of a key within its slice, whose number is the key's top bits
 LOW = np.uint64((1 << 8 * KEY) - 1)
 END = b"\n"  # no word holds white space
@@ -113,16 +115,22 @@ def cut(keys: np.ndarray, slices: int) -> np.ndarray:
     return np.searchsorted(top, np.arange(slices + 1))
 
 
-def sent_keys(keys: np.ndarray) -> np.ndarray:
-    """What of the keys a slice is sent: rows of KEY bytes."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
+def within(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The KEY bytes of keys that follow their slice's number: in the order of the keys of a slice."""
+    return (keys << np.uint64(slices.bit_length() - 1)) >> np.uint64(64 - 8 * KEY)
 
 
-def read_keys(parts: list[bytes]) -> np.ndarray:
-    low = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, KEY)
-    keys = np.zeros((len(low), 8), np.uint8)
-    keys[:, :KEY] = low
-    return keys.view("<u8").ravel()
+def sent_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys within a slice: their differences, byte by byte, packed."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
+    return zlib.compress(np.ascontiguousarray(gaps.T).tobytes(), 1)
+
+
+def read_keys(data: bytes) -> np.ndarray:
+    low = np.frombuffer(zlib.decompress(data), np.uint8).reshape(KEY, -1)
+    gaps = np.zeros((low.shape[1], 8), np.uint8)
+    gaps[:, :KEY] = low.T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
 def word_key(h: np.ndarray) -> np.ndarray:
@@ -156,14 +164,14 @@ def _count(slices: int):
         order = np.argsort(top[1:], kind="stable") + 1
         edge = np.searchsorted(top[order], np.arange(slices + 1))
         pair_edge = cut(pairs, slices)
-        low = sent_keys(pairs)
+        low = within(pairs, slices)
         cols: list[list] = [[] for _ in range(6)]
         for s in range(slices):
             own, p = order[edge[s] : edge[s + 1]], slice(pair_edge[s], pair_edge[s + 1])
             cols[0].append(s)
             cols[1].append(b" ".join([names[k] for k in own.tolist()]))
             cols[2].append(counts[own].astype("<u4").tobytes())
-            cols[3].append(np.ascontiguousarray(low[p]).tobytes())
+            cols[3].append(sent_keys(low[p]))
             cols[4].append(times[p].astype("<u4").tobytes())
             cols[5].append(docs if s == 0 else 0)
         kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64()]
@@ -185,7 +193,7 @@ def _count(slices: int):
     return count
 
 
-def _reduce(once: bool):
+def _reduce(slices: int, once: bool):
     """All rows of a slice -> its words with their counts, then its filter."""
     from collections import Counter
 
@@ -197,13 +205,13 @@ def _reduce(once: bool):
             if w := w.as_py():
                 c.update(dict(zip(w.split(b" "), np.frombuffer(n.as_py(), "<u4").tolist(), strict=True)))
         names, counts = list(c), np.fromiter(c.values(), np.int64, len(c))
-        keys = read_keys([x.as_py() for x in table["pairs"]])
+        keys = np.concatenate([np.zeros(0, np.uint64), *[read_keys(x.as_py()) for x in table["pairs"]]])
         times = np.frombuffer(b"".join(x.as_py() for x in table["pair_counts"]), "<u4").astype(np.int64)
         order = np.argsort(keys)
         keys, times = keys[order], times[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         level = pair_level(np.add.reduceat(times, first), once) if len(first) else np.zeros(0, np.int64)
-        own = word_key(np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names)))
+        own = within(word_key(np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))), slices)
         bits = filled(np.concatenate([own, keys[first]]), np.concatenate([word_level(counts), level]))
         docs = sum(x.as_py() for x in table["docs"])
         n = len(names)
@@ -260,22 +268,23 @@ def _ask(model, kind: pa.DataType):
             exact[0] = m["ends"]
             seq, lengths = np.concatenate(seqs), np.fromiter(map(len, seqs), np.int64, len(seqs))
             keys = _wanted(seq, h, exact)[0]
-            edge, low = cut(keys, slices), sent_keys(keys)
+            edge, low = cut(keys, slices), within(keys, slices)
             data = [zlib.compress(pickle.dumps((rid, lengths.astype("<u4"), h, exact, seq), 5), 1)]
-            data += [np.ascontiguousarray(low[edge[s] : edge[s + 1]]).tobytes() for s in range(slices)]
+            data += [sent_keys(low[edge[s] : edge[s + 1]]) for s in range(slices)]
             yield rows_of({"chunk": [rid] * (slices + 1), "slice": list(range(-1, slices)), "data": data})
-            del keys, low, data
+            keys = low = data = None
             bounds = np.cumsum(np.r_[0, lengths])
             c = exact[seq]
             is_hot = c >= 0
             base = np.add.reduceat(np.where(is_hot, np.log10((np.maximum(c, 0) + 0.1) / below), 0.0), bounds[:-1])
             seen = np.add.reduceat((c > 0).astype(np.int64), bounds[:-1])
-            rests = []
-            for k, s in enumerate(seqs):
-                rest, times = np.unique(s[~is_hot[bounds[k] : bounds[k + 1]]], return_counts=True)
-                rests.append(([listed[x] for x in rest.tolist()], times.tolist()))
-            n = len(seqs)
-            yield rows_of({"rid": list(range(rid, rid + n)), "doc_id": ids, "held_out": outs, "n_tokens": lengths.tolist(), "hot_known": seen.tolist(), "base_hot": base.tolist(), "words": [w for w, _ in rests], "counts": [t for _, t in rests]})
+            for at in range(0, len(seqs), ROWS):
+                to = min(len(seqs), at + ROWS)
+                rests = []
+                for k in range(at, to):
+                    rest, times = np.unique(seqs[k][~is_hot[bounds[k] : bounds[k + 1]]], return_counts=True)
+                    rests.append(([listed[x] for x in rest.tolist()], times.tolist()))
+                yield rows_of({"rid": list(range(rid + at, rid + to)), "doc_id": ids[at:to], "held_out": outs[at:to], "n_tokens": lengths[at:to].tolist(), "hot_known": seen[at:to].tolist(), "base_hot": base[at:to].tolist(), "words": [w for w, _ in rests], "counts": [t for _, t in rests]})
 
         numbers, seqs, ids, outs, held = _Numbers({END: 0}), [], [], [], 0
         for batch in batches:
@@ -285,7 +294,7 @@ def _ask(model, kind: pa.DataType):
                 ids.append(d)
                 outs.append(out)
                 held += len(w) + 1
-                if held >= FLUSH:
+                if held >= ASK:
                     yield from done()
                     rid += len(seqs)
                     numbers, seqs, ids, outs, held = _Numbers({END: 0}), [], [], [], 0
@@ -300,7 +309,7 @@ def _answer(key, filters: pa.Table, asked: pa.Table) -> pa.Table:
     held = Filter(np.frombuffer(filters["bits"][0].as_py(), np.uint8)) if filters.num_rows else None
     out = []
     for x in asked["data"]:
-        keys = read_keys([x.as_py()])
+        keys = read_keys(x.as_py())
         out.append((held.levels(keys) if held else np.zeros(len(keys), np.uint8)).tobytes())
     return pa.table({"chunk": asked["chunk"].cast(pa.int64()), "slice": asked["slice"].cast(pa.int32()), "data": pa.array(out, pa.binary())})
 
@@ -335,7 +344,7 @@ def train(texts: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame, d
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = min(1 << 15, 1 << max(0, (chars >> 23)).bit_length())
     sent = texts.mapInArrow(_count(slices), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary, docs long")
-    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(once), "slice int, word binary, c long, bits binary"), "slices")
+    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(slices, once), "slice int, word binary, c long, bits binary"), "slices")
     counts = done.where("word IS NOT NULL").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     filters = done.where("word IS NULL")

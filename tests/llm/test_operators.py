@@ -477,7 +477,7 @@ def test_lm_chunks_meet_all_slices(spark, monkeypatch):
     held = F.col("doc_id") % 4 == 0
     one = {r["doc_id"]: r["score"] for r in bloom_lm.scored(docs, held).collect()}
     train = bloom_lm.train
-    monkeypatch.setattr(bloom_lm, "FLUSH", 200)
+    monkeypatch.setattr(bloom_lm, "ASK", 200)
     monkeypatch.setattr(bloom_lm, "train", lambda texts, **kw: train(texts.withColumn("text", F.concat("text", F.lit(" " * (1 << 20)))), **kw))  # 60 MB: many slices
     got = {r["doc_id"]: r["score"] for r in bloom_lm.scored(docs, held).collect()}
     assert len(got) == 80 and np.mean([abs(got[k] - one[k]) / 61 for k in one]) < 0.01
