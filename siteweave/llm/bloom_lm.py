@@ -36,7 +36,7 @@ HOT = 150_000
 HASHES = 4
 MIX = 0.3
 FLUSH = 1_500_000
-ASK = 1_000_000
+ASK = 750_000
 ROWS = 500
 KEY = 5  # bytes of a key within its slice, whose number is the key's top bits
 LOW = np.uint64((1 << 8 * KEY) - 1)
@@ -371,7 +371,6 @@ def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     counts, filters, model = train(base.where("NOT held_out").select("text"), once=once)
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner drops the shuffle of the counts, which is not read again
     total, below = model["total"], model["total"] + 0.1 * (model["distinct"] + 1)
     shared = spark.sparkContext.broadcast(model)
     kind = base.schema["doc_id"].dataType
