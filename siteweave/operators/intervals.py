@@ -1,8 +1,10 @@
 """Interval operators on (chrom, start, end), inclusive at both ends.
 
 Overlap joins hash both sides on chromosome and bin, so they are equi-joins that Spark can shuffle, split when skewed,
-or broadcast by size; each pair is kept in the first bin that both intervals lie in. Runs and gaps are windows by
-chromosome.
+or broadcast by size; each pair is kept in the first bin that both intervals lie in. Bins are as long as the mean region
+of the longer side, so that both sides together have at most some two rows a region, unless a caller who knows the
+lengths gives a size. Runs, gaps and running extrema are windows by chromosome and tile of TILE positions, with what the
+tiles before bring along from a small table of one row a tile: no chromosome is one task.
 """
 
 from __future__ import annotations
@@ -10,21 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Least length of a bin.
 BIN = 128
+#: Positions of a tile.
+TILE = 1 << 20
 #: Distance for regions whose chromosome the other set lacks: a fixed value.
 FAR = 10_000_000
 
 
+def bin_size_for(*sides: DataFrame) -> int:
+    """The power of two that no side's mean length exceeds, BIN at least: regions have two rows each on average at most. One aggregate a side reaches the driver."""
+    longest = max((df.agg(F.avg(F.col("end") - F.col("start") + 1.0)).first()[0] or 0.0) for df in sides)
+    return max(BIN, 1 << max(0, int(longest) - 1).bit_length())
+
+
 def _binned(df: DataFrame, bin_size: int, name: str) -> DataFrame:
     low, high = F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size)
     return df.select(F.struct(*df.columns).alias(name), F.col("chrom").alias("__c"), low.alias(f"__{name}0"), F.explode(F.sequence(low, high)).alias("__bin"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, bin_size: int = BIN, strand: bool = False) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, bin_size: int | None = None, strand: bool = False) -> DataFrame:
     """(a struct, b struct, ol_start, ol_end, l_overlap) for each overlapping pair; strand: on one strand only."""
     for side in (a, b):
         if not {"chrom", "start", "end"} <= set(side.columns):
             raise ValueError("regions need chrom, start and end")
+    bin_size = bin_size or bin_size_for(a, b)
     x, y = _binned(a.where("end >= start"), bin_size, "a"), _binned(b.where("end >= start"), bin_size, "b")
     out = x.join(y, ["__c", "__bin"]).where("a.start <= b.end AND b.start <= a.end AND __bin = greatest(__a0, __b0)")
     if strand:
@@ -32,29 +44,50 @@ def overlaps(a: DataFrame, b: DataFrame, bin_size: int = BIN, strand: bool = Fal
     return out.select("a", "b", F.greatest("a.start", "b.start").alias("ol_start"), F.least("a.end", "b.end").alias("ol_end")).withColumn("l_overlap", F.col("ol_end") - F.col("ol_start") + 1)
 
 
-def overlaps_first(a: DataFrame, b: DataFrame, key: str, bin_size: int = BIN) -> DataFrame:
+def overlaps_first(a: DataFrame, b: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
     """Of each region of a (named by `key`) the overlap with the first region of b by start and end: a grouped minimum, not a sort."""
     all_of = overlaps(a, b, bin_size)
     order = F.struct(F.col("b.start"), F.col("b.end"), F.col("b"))
     return all_of.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct("a", "b", "ol_start", "ol_end", "l_overlap"), order).alias("r")).select("r.*")
 
 
-def without_overlap(a: DataFrame, b: DataFrame, bin_size: int = BIN) -> DataFrame:
+def without_overlap(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
     """Regions of a that overlap none of b."""
+    bin_size = bin_size or bin_size_for(a, b)
     x = _binned(a.withColumn("__id", F.struct("chrom", "start", "end")), bin_size, "a")
     y = _binned(b.select("chrom", "start", "end"), bin_size, "b")
     hit = x.join(y, ["__c", "__bin"]).where("a.start <= b.end AND b.start <= a.end").select(F.col("a.__id").alias("__id")).distinct()
     return a.withColumn("__id", F.struct("chrom", "start", "end")).join(hit, "__id", "left_anti").drop("__id")
 
 
-def merge(a: DataFrame, gap: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+def _tiled(a: DataFrame, tile: int) -> DataFrame:
+    return a.withColumn("__tile", F.floor(F.col("start") / tile))
+
+
+def _carried(tiled: DataFrame, keys: list[str], sums: dict[str, tuple[Column, Column]], after: bool = False) -> DataFrame:
+    """tiled with columns of what the tiles before (or after) bring along: name -> (aggregate of a tile, aggregate of tiles' `__x`)."""
+    w = Window.partitionBy(*keys).orderBy("__tile")
+    w = w.rowsBetween(1, Window.unboundedFollowing) if after else w.rowsBetween(Window.unboundedPreceding, -1)
+    each = tiled.groupBy(*keys, "__tile").agg(*[of.alias(name) for name, (of, _) in sums.items()])
+    each = each.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__tile").alias("__k_tile"), *[over(F.col(name)).over(w).alias(name) for name, (_, over) in sums.items()])
+    on = F.col("__tile") == F.col("__k_tile")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return tiled.join(each, on).drop("__k_tile", *[f"__k_{k}" for k in keys])
+
+
+def merge(a: DataFrame, gap: int = 0, by: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
     """(chrom, ..., start, end, n): regions no further apart than gap fused. by: further columns that separate, as strand."""
     keys = ["chrom", *by]
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.when(F.col("start") <= far + gap, 0).otherwise(1)
-    numbered = a.select(*keys, "start", "end").withColumn("__new", first).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("__run")
+    own = _carried(_tiled(a.select(*keys, "start", "end"), tile), keys, {"__far": (F.max("end"), F.max)})
+    w = Window.partitionBy(*keys, "__tile").orderBy("start", "end")
+    far = F.greatest("__far", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.when(F.col("start") <= far + gap, F.lit(None)).otherwise(F.col("start"))
+    own = own.withColumn("__opens", opens).drop("__far")
+    own = _carried(own, keys, {"__open": (F.max("__opens"), F.max)})
+    # the run of a region begins at the last region up to it, or equal to it, that opened one
+    run = F.coalesce(F.max("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "__open")
+    return own.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("__run")
 
 
 def union_merge(parts: list[DataFrame], gap: int = 0) -> DataFrame:
@@ -63,7 +96,7 @@ def union_merge(parts: list[DataFrame], gap: int = 0) -> DataFrame:
     return merge(reduce(DataFrame.unionByName, [p.select("chrom", "start", "end") for p in parts]), gap)
 
 
-def subtract(a: DataFrame, b: DataFrame, key: str, bin_size: int = BIN) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
     """(key, chrom, start, end): what is left of each region of a outside b."""
     cut = overlaps(a, merge(b), bin_size).groupBy(F.col(f"a.{key}").alias(key)).agg(F.sort_array(F.collect_list(F.struct("ol_start", "ol_end"))).alias("__cuts"))
     own = a.select(key, "chrom", "start", "end").join(cut, key, "left")
@@ -75,6 +108,14 @@ def subtract(a: DataFrame, b: DataFrame, key: str, bin_size: int = BIN) -> DataF
     return own.select(key, "chrom", F.explode(pieces).alias("p")).select(key, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
 
 
+def pairwise_remainders(a: DataFrame, b: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
+    """(key, chrom, start, end, b): for each overlapping pair what is left of the region of a outside that one region of b, up to two pieces."""
+    pairs = overlaps(a, b, bin_size)
+    sides = F.array(F.struct(F.col("a.start").alias("s"), (F.col("ol_start") - 1).alias("e")), F.struct((F.col("ol_end") + 1).alias("s"), F.col("a.end").alias("e")))
+    own = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.chrom").alias("chrom"), F.explode(sides).alias("p"), "b").where("p.s <= p.e")
+    return own.select(key, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"), "b")
+
+
 def covered(a: DataFrame) -> DataFrame:
     """One row: number of positions that a covers."""
     return merge(a).agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("coverage"))
@@ -107,33 +148,39 @@ def shuffled_overlap(a: DataFrame, b: DataFrame, span: int, replicates: int, see
     return numbers.join(found, "replicate", "left").select("replicate", F.coalesce("coverage", F.lit(0)).alias("coverage"))
 
 
-def nearest_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def nearest_distance(a: DataFrame, b: DataFrame, key: str, tile: int = TILE) -> DataFrame:
     """(key, distance): to the closest region of b, 0 for overlaps, FAR without one on the chromosome. A union ordered by position and two running extrema: no range join."""
     cols = lambda df, side, k: df.select("chrom", "start", "end", F.lit(side).alias("side"), k.alias("k"))
     both = cols(a, 1, F.col(key)).unionByName(cols(b, 0, F.lit(None).cast(a.schema[key].dataType)))
-    before = Window.partitionBy("chrom").orderBy("start", "side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("chrom").orderBy(F.desc("start"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when(F.col("side") == 0, F.col("end"))
-    marked = both.withColumn("left_end", F.max(own).over(before)).withColumn("right_start", F.min(F.when(F.col("side") == 0, F.col("start"))).over(after))
-    # greatest() and least() skip nulls: a side without regions must stay null
+    end, start = (F.when(F.col("side") == 0, F.col(c)) for c in ("end", "start"))
+    both = _carried(_tiled(both, tile), ["chrom"], {"__left": (F.max(end), F.max)})
+    both = _carried(both, ["chrom"], {"__right": (F.min(start), F.min)}, after=True)
+    before = Window.partitionBy("chrom", "__tile").orderBy("start", "side").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("chrom", "__tile").orderBy(F.desc("start"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    # greatest() and least() skip nulls, as they should for what tiles bring along
+    marked = both.withColumn("left_end", F.greatest("__left", F.max(end).over(before))).withColumn("right_start", F.least("__right", F.min(start).over(after)))
+    # but a side without regions must stay null
     left = F.when(F.col("left_end").isNotNull(), F.greatest(F.col("start") - F.col("left_end"), F.lit(0)))
     right = F.when(F.col("right_start").isNotNull(), F.greatest(F.col("right_start") - F.col("end"), F.lit(0)))
     return marked.where("side = 1").select(F.col("k").alias(key), F.coalesce(F.least(left, right), F.lit(FAR)).alias("distance"))
 
 
-def gaps(a: DataFrame) -> DataFrame:
+def gaps(a: DataFrame, tile: int = TILE) -> DataFrame:
     """(chrom, start, gap): distance of each region from the one before it on its chromosome, by start."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    return a.withColumn("gap", F.col("start") - F.lag("end").over(w)).where("gap IS NOT NULL").select("chrom", "start", "gap")
+    last = F.max(F.struct("start", "end"))
+    own = _carried(_tiled(a, tile), ["chrom"], {"__last": (last, F.max)})
+    w = Window.partitionBy("chrom", "__tile").orderBy("start", "end")
+    return own.withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(w), F.col("__last.end"))).where("gap IS NOT NULL").select("chrom", "start", "gap")
 
 
-def cumulative_ends(a: DataFrame) -> DataFrame:
-    """With the greatest end so far and the least start from here on, by position."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    return a.withColumn("cumul_end", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("cumul_start", F.min("start").over(w.rowsBetween(0, Window.unboundedFollowing)))
+def cumulative_ends(a: DataFrame, tile: int = TILE) -> DataFrame:
+    """With the greatest end so far and the least start from here on, by position: the latter is the region's own."""
+    own = _carried(_tiled(a, tile), ["chrom"], {"__far": (F.max("end"), F.max)})
+    w = Window.partitionBy("chrom", "__tile").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("cumul_end", F.greatest("__far", F.max("end").over(w))).withColumn("cumul_start", F.col("start")).drop("__far", "__tile")
 
 
-def in_super_region(a: DataFrame, supers: DataFrame, key: str, bin_size: int = BIN) -> DataFrame:
+def in_super_region(a: DataFrame, supers: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
     """(key, a, super): the region of `supers` that holds each of a. A region only partly inside one raises."""
     inside = F.col("a.start").between(F.col("b.start"), F.col("b.end")) & F.col("a.end").between(F.col("b.start"), F.col("b.end"))
     found = overlaps(a, supers, bin_size)

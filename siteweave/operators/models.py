@@ -5,6 +5,7 @@ Sites, iterations and blocks are columns. Every iteration is one grouped aggrega
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -192,12 +193,16 @@ def site_informations(subjects: DataFrame, p: int) -> dict:
 
 
 def meta_site_stats(geno: DataFrame, subjects: DataFrame, p: int) -> DataFrame:
-    """(site, var_idx, score, var): each site projects with its own covariates only."""
+    """(site, var_idx, score, var): each site projects with its own covariates only. Sites' Z (p x p each) meet their sums in a join."""
     local = score_stats(geno, subjects, p, ["site", "var_idx"])
-    parts = [tested(local.where(F.col("site") == F.lit(s)), z, ["site", "var_idx"]).select("site", "var_idx", "score", F.col("t").alias("var")) for s, z in sorted(site_informations(subjects, p).items(), key=lambda x: str(x[0]))]
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, parts)
+    kind = subjects.schema["site"].dataType.simpleString()
+    rows = [(s, [float(v) for v in z.ravel()]) for s, z in site_informations(subjects, p).items()]
+    own = local.join(subjects.sparkSession.createDataFrame(rows, f"site {kind}, __z array<double>"), "site")
+    quad = F.lit(0.0)
+    for i in range(p):
+        for j in range(p):
+            quad = quad + F.col("__z")[p * i + j] * F.col(f"gwx_{i}") * F.col(f"gwx_{j}")
+    return own.select("site", "var_idx", "score", (F.col("gwg") - quad).alias("var"))
 
 
 def meta(summary: DataFrame, by: str = "var_idx") -> DataFrame:
@@ -239,7 +244,8 @@ def gradient(data: DataFrame, epochs: int, step: float, penalty: float = 0.0, do
 def sequential_gradient(data: DataFrame, epochs: int, step: float, penalty: float = 0.0, order: str = "PER_SUBJECT", seed: int = 1, by: str | None = None) -> DataFrame:
     """(by, beta): updates after each subject in a random order ("PER_SUBJECT") or feature by feature ("PER_FEAT").
 
-    Each update reads the one before, so a group is one task; for many models of bounded data side by side.
+    The order of an epoch is that of the MD5 digests of "seed:epoch:key", so that it can be made again; keys are
+    subject_idx, or the rows' places, or the features' numbers. Each update reads the one before, so a group is one task; for many models of bounded data side by side.
     """
     keyed = data if by else data.withColumn("__all", F.lit(0))
     name = by or "__all"
@@ -250,16 +256,18 @@ def sequential_gradient(data: DataFrame, epochs: int, step: float, penalty: floa
         keys = pdf["subject_idx"].to_numpy() if "subject_idx" in pdf else np.arange(len(pdf))
         x, y = x[np.argsort(keys, kind="stable")], y[np.argsort(keys, kind="stable")]
         n, p = x.shape
-        rng, w = np.random.default_rng(seed), np.zeros(p)
+        w = np.zeros(p)
+        dealt = lambda epoch, keys: sorted(range(len(keys)), key=lambda k: hashlib.md5(f"{seed}:{epoch}:{keys[k]}".encode()).hexdigest())
+        keys = np.sort(keys, kind="stable").tolist()
         keep = np.ones(p) * penalty
         keep[0] = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
             if order == "PER_FEAT":
-                for k in rng.permutation(p):
+                for k in dealt(epoch, range(p)):
                     mu = 1 / (1 + np.exp(-(x @ w)))
                     w[k] += step * ((y - mu) @ x[:, k] / n - keep[k] * w[k])
             else:
-                for i in rng.permutation(n):
+                for i in dealt(epoch, keys):
                     mu = 1 / (1 + np.exp(-(x[i] @ w)))
                     w += step / n * ((y[i] - mu) * x[i] - keep * w)
         return pd.DataFrame({name: [pdf[name].iloc[0]], "beta": [w.tolist()]})

@@ -18,15 +18,50 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(flat, F.lit(0.0)).otherwise(F.corr(a, b)).alias("r"))
 
 
-def pearson_permutation_z(df: DataFrame, x: str, y: str, replicates: int, seed: int = 1) -> DataFrame:
-    """One row: r, and its z-score among correlations with y dealt anew within hash order."""
-    n = Window.partitionBy("rep")
-    base = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.monotonically_increasing_id().alias("i"))
-    reps = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    a = reps.withColumn("k", F.row_number().over(n.orderBy("i"))).select("rep", "k", "x")
-    b = reps.withColumn("k", F.row_number().over(n.orderBy(F.xxhash64(F.lit(seed), "rep", "i"), "i"))).select("rep", "k", "y")
+def numbered(df: DataFrame, parts: Column, order: list[Column], name: str = "k", by: list[str] | None = None) -> DataFrame:
+    """df with `name`, the place of each row from 1 in an order, within groups `by`.
+
+    parts must not fall as the order goes up. A window runs over each part, and a part's first place is the number of
+    rows of those before it, from a small table of one row a part: no group is one task.
+    """
+    by = by or []
+    own = df.withColumn("__part", parts)
+    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(*by, F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__p", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    on = F.col("__part").eqNullSafe(F.col("__p"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    placed = own.join(counts, on)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    return placed.withColumn(name, place).drop("__part", "__p", "__before", *[f"__k_{c}" for c in by])
+
+
+def parts_of(df: DataFrame, v: Column, parts: int = 64) -> tuple[DataFrame, Column]:
+    """df with the quantiles of v, and the number of those below a row's v: parts of nearly equal size in its order. A single value, however frequent, lies in one part; nulls come first."""
+    cuts = df.agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 100 * parts).alias("__cuts"))
+    own = df.crossJoin(F.broadcast(cuts))  # one row
+    return own, F.coalesce(F.size(F.filter("__cuts", lambda c: c < v)), F.lit(-1))
+
+
+def dealt(rep: Column, tie: Column) -> Column:
+    """A number from 0 to 2^32 - 1 by the MD5 digest of "rep:tie": an order at random that can be made again."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), tie.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def pearson_permutation_z(df: DataFrame, x: str, y: str, replicates: int, tie: str = "id") -> DataFrame:
+    """One row: r, and its z-score among correlations with y dealt anew.
+
+    Replicate n pairs the row at a place by the digests of "0:tie" with the row at the same place by those of "n:tie".
+    Digests are spread evenly, so their leading bits cut each replicate into parts.
+    """
+    base = df.select(F.col(tie).alias("t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    place = lambda d: numbered(d, F.floor(F.col("d") / (1 << 22)), [F.col("d"), F.col("t")], "k", ["rep"])
+    a = place(base.select(reps.alias("rep"), "t", "x", dealt(F.lit(0), F.col("t")).alias("d"))).select("rep", "k", "x")
+    b = place(base.select(reps.alias("rep"), "t", "y").withColumn("d", dealt(F.col("rep"), F.col("t")))).select("rep", "k", "y")
     null = pearson(a.join(b, ["rep", "k"]), ["rep"], "x", "y").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    return pearson(base, [], "x", "y").crossJoin(null).select("r", F.try_divide(F.col("r") - F.col("m"), F.col("s")).alias("z"))
+    return pearson(base, [], "x", "y").crossJoin(null).select("r", F.try_divide(F.col("r") - F.col("m"), F.col("s")).alias("z"))  # two single rows
 
 
 def zscore(df: DataFrame, by: list[str], v: str = "v") -> DataFrame:
@@ -53,13 +88,19 @@ def quantile_normalised(df: DataFrame, sample: str, v: str = "v", tie: str = "id
 
 
 def bh(df: DataFrame, p: str = "p", tie: str = "id", monotone: bool = False) -> DataFrame:
-    """q = p n / rank. monotone: the running minimum from the largest p down, capped at 1."""
-    w = Window.orderBy(p, tie)
+    """q = p n / rank. monotone: the running minimum from the largest p down, capped at 1. Ranks are made part by part (numbered)."""
     n = df.agg(F.count(F.lit(1)).alias("__n"))
-    out = df.withColumn("__r", F.row_number().over(w)).crossJoin(F.broadcast(n))  # one row
+    own, part = parts_of(df, F.col(p))
+    out = numbered(own, part, [F.col(p), F.col(tie)], "__r").drop("__cuts").crossJoin(F.broadcast(n))  # one row
     out = out.withColumn("q", F.col(p) * F.col("__n") / F.col("__r"))
     if monotone:
-        out = out.withColumn("q", F.least(F.lit(1.0), F.min("q").over(Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))))
+        own, part = parts_of(out, F.col(p))
+        own = own.withColumn("__part", part).drop("__cuts")
+        up = Window.orderBy(F.desc("__q")).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        least = own.groupBy(F.col("__part").alias("__q")).agg(F.min("q").alias("__m")).select("__q", F.min("__m").over(up).alias("__m"))
+        w = Window.partitionBy("__part").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+        own = own.join(least, F.col("__part") == F.col("__q"))
+        out = own.withColumn("q", F.least(F.lit(1.0), F.col("__m"), F.min("q").over(w))).drop("__part", "__q", "__m")
     return out.drop("__n", "__r")
 
 

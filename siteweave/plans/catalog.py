@@ -79,8 +79,6 @@ _matrix_query("mat_elementwise_mul", lambda a, b: a.mul(b), JOINED.format(v="a.v
 _matrix_query("mat_div", lambda a, b: a.div(b), JOINED.format(v="a.v / b.v"))
 _matrix_query("mat_scalar", lambda a, b: a.scale(2.5), CELL.format(v="v * CAST(2.5 AS DOUBLE)"))
 _matrix_query("mat_transpose", lambda a, b: a.transpose(), 'SELECT c AS "row", r AS "col", round(v, 6) AS v FROM a')
-_matrix_query("mat_mul", lambda a, b: a.matmul(b), 'SELECT a.r AS "row", b.c AS "col", round(sum(a.v * b.v), 6) AS v FROM a JOIN b ON a.c = b.r GROUP BY 1, 2')
-_matrix_query("mat_mul_blocked", lambda a, b: a.matmul_blocked(b, 4), 'SELECT a.r AS "row", b.c AS "col", round(sum(a.v * b.v), 6) AS v FROM a JOIN b ON a.c = b.r GROUP BY 1, 2')
 _matrix_query("mat_row2row", lambda a, b: a.row_dot(b), 'SELECT a.r AS "row", 0 AS "col", round(sum(a.v * b.v), 6) AS v FROM a JOIN b ON a.r = b.r AND a.c = b.c GROUP BY 1')
 _matrix_query("mat_diag_extract", lambda a, b: a.diagonal(), 'SELECT r AS "row", 0 AS "col", round(v, 6) AS v FROM a WHERE r = c')
 _matrix_query("mat_diag_build", lambda a, b: a.diagonal().as_diagonal(), 'SELECT r AS "row", c AS "col", round(v, 6) AS v FROM a WHERE r = c')
@@ -108,6 +106,34 @@ _matrix_query(
 )
 
 
+# ---- products of larger matrices: quantities by supplier and part class (P), items by part class and order class (Q) ----
+
+WIDE = 250
+PQ_SQL = f"""WITH a AS (SELECT CAST(l_suppkey % {WIDE} AS INT) AS r, CAST(l_partkey % {WIDE} AS INT) AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+b AS (SELECT CAST(l_partkey % {WIDE} AS INT) AS r, CAST(l_orderkey % {WIDE} AS INT) AS c, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
+SELECT a.r AS "row", b.c AS "col", round(sum(a.v * b.v), 6) AS v FROM a JOIN b ON a.c = b.r GROUP BY 1, 2"""
+
+
+def _wide(s, d) -> tuple[M.Matrix, M.Matrix]:
+    li = _t(s, d, "lineitem")
+    key = lambda c, n: (F.col(c) % WIDE).cast("int").alias(n)
+    a = li.groupBy(key("l_suppkey", "row"), key("l_partkey", "col")).agg(F.sum("l_quantity").alias("v"))
+    b = li.groupBy(key("l_partkey", "row"), key("l_orderkey", "col")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return M.Matrix(a, WIDE, WIDE), M.Matrix(b, WIDE, WIDE)
+
+
+@query("mat_mul", PQ_SQL)
+def _(s, d):
+    a, b = _wide(s, d)
+    return _cells(a.matmul(b))
+
+
+@query("mat_mul_blocked", PQ_SQL)
+def _(s, d):
+    a, b = _wide(s, d)
+    return _cells(M.Matrix(a.matmul_blocked(b, 128).df.where("v <> 0"), WIDE, WIDE))
+
+
 @query("mat_inner", f"{AB} SELECT round(sum(a.v * b.v), 6) AS v FROM a JOIN b ON a.r = b.r WHERE a.r = a.c AND b.r = b.c")
 def _(s, d):
     return _a(s, d).diagonal().inner(_b(s, d).diagonal()).select(_r("v"))
@@ -205,14 +231,14 @@ def _(s, d):
 
 # ---- tables ----
 
-LOOK = "WITH q AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS q_pos, CAST(s_nationkey AS INT) AS k FROM supplier WHERE s_suppkey % 5 = 0), t AS (SELECT c_custkey AS row_pos, c_nationkey AS k, c_name FROM customer WHERE c_custkey % 7 = 0) "
+LOOK = "WITH q AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS q_pos, CAST(s_nationkey AS INT) AS k FROM supplier), t AS (SELECT c_custkey AS row_pos, c_nationkey AS k, c_name FROM customer) "
 
 
 def _lookup(s, d):
     from pyspark.sql import Window
 
-    q = _t(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("q_pos"), F.col("s_nationkey").cast("int").alias("k"))
-    return q, _t(s, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("row_pos"), F.col("c_nationkey").alias("k"), "c_name")
+    q = _t(s, d, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("q_pos"), F.col("s_nationkey").cast("int").alias("k"))
+    return q, _t(s, d, "customer").select(F.col("c_custkey").alias("row_pos"), F.col("c_nationkey").alias("k"), "c_name")
 
 
 @query("lookup_all", LOOK + "SELECT q_pos, q.k AS k, row_pos, c_name FROM q JOIN t ON q.k = t.k")
@@ -251,49 +277,53 @@ def _(s, d):
     return T.split_parts(_t(s, d, "customer").select("c_custkey"), 3, [(F.col("c_custkey") * 7919) % 1009, F.col("c_custkey")])
 
 
-@query("manifest_gate", "SELECT CAST(s_suppkey AS VARCHAR) AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 997 = 1)")
+@query("manifest_gate", "SELECT CAST(s_suppkey AS VARCHAR) AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49 AND l_discount = 0)")
 def _(s, d):
     from siteweave.sources.exchange import missing_of
 
-    have = _t(s, d, "lineitem").where("l_orderkey % 997 = 1").select(F.col("l_suppkey").cast("string").alias("name")).distinct()
+    have = _t(s, d, "lineitem").where("l_quantity >= 49 AND l_discount = 0").select(F.col("l_suppkey").cast("string").alias("name")).distinct()
     return missing_of(_t(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("name")), have)
 
 
-# ---- intervals: a purchase from its order's day for as many days as its quantity, by nation ----
+# ---- intervals: a purchase at a place made of its order's day and its customer, as long as its quantity, by nation.
+# Odd line numbers are one side, even ones the other: together all line items ----
 
-IV = """WITH iv0 AS (SELECT l.l_orderkey * 10 + l.l_linenumber AS id, n.n_name AS chrom, CAST(date_diff('day', DATE '1990-01-01', CAST(o.o_orderdate AS DATE)) AS INT) AS s,
-CAST(date_diff('day', DATE '1990-01-01', CAST(o.o_orderdate AS DATE)) + l.l_quantity AS INT) AS e, l.l_linenumber AS ln
+IV = """WITH iv0 AS (SELECT l.l_orderkey * 10 + l.l_linenumber AS id, n.n_name AS chrom, CAST(date_diff('day', DATE '1990-01-01', CAST(o.o_orderdate AS DATE)) * 100 + o.o_custkey % 100 AS INT) AS s,
+CAST(date_diff('day', DATE '1990-01-01', CAST(o.o_orderdate AS DATE)) * 100 + o.o_custkey % 100 + l.l_quantity AS INT) AS e, l.l_linenumber AS ln
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
 iv AS (SELECT id, chrom, s, min(e) AS e, ln FROM iv0 GROUP BY id, chrom, s, ln),
-a AS (SELECT id, chrom, s, e FROM iv WHERE id % 40 = 11), b AS (SELECT id, chrom, s, e FROM iv WHERE id % 40 = 22) """
+a AS (SELECT id, chrom, s, e FROM iv WHERE ln % 2 = 1), b AS (SELECT id, chrom, s, e FROM iv WHERE ln % 2 = 0) """
+#: Lengths here are quantities, 50 at most.
+BINS = 64
 
 
-def _intervals(s, d, rest: int, by: int = 40) -> DataFrame:
-    li = _t(s, d, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).where(F.col("id") % by == rest)
+def _intervals(s, d, odd: int | None = 1) -> DataFrame:
+    li = _t(s, d, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = li if odd is None else li.where(F.col("l_linenumber") % 2 == odd)
     own = li.join(_t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
-    own = own.select("id", F.col("n_name").alias("chrom"), day.alias("start"), (day + F.col("l_quantity")).cast("int").alias("end"))
+    at = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")) * 100 + F.col("o_custkey") % 100
+    own = own.select("id", F.col("n_name").alias("chrom"), at.cast("int").alias("start"), (at + F.col("l_quantity")).cast("int").alias("end"))
     return own.groupBy("id", "chrom", "start").agg(F.min("end").alias("end"))
 
 
 def _ab(s, d):
-    return _intervals(s, d, 11), _intervals(s, d, 22)
+    return _intervals(s, d, 1), _intervals(s, d, 0)
 
 
 @query("overlap_join_all", IV + "SELECT a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS l_overlap FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e")
 def _(s, d):
-    return I.overlaps(*_ab(s, d)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "l_overlap")
+    return I.overlaps(*_ab(s, d), BINS).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "l_overlap")
 
 
 @query("overlap_join_first", IV + "SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY b.s, b.e, b.id) AS k FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e) WHERE k = 1")
 def _(s, d):
     a, b = _ab(s, d)
-    return I.overlaps_first(a, b.select("chrom", "start", "end", "id"), "id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return I.overlaps_first(a, b.select("chrom", "start", "end", "id"), "id", BINS).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @query("interval_anti", IV + "SELECT a.id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e)")
 def _(s, d):
-    return I.without_overlap(*_ab(s, d)).select("id")
+    return I.without_overlap(*_ab(s, d), BINS).select("id")
 
 
 RUNS = "SELECT chrom, s, e, sum(n) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT chrom, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS n FROM {t})"
@@ -305,7 +335,7 @@ def _merged(t: str, gap: int) -> str:
 
 @query("merge_gap", IV + f'SELECT chrom, s AS start, e AS "end", n FROM ({_merged("a", 3)})')
 def _(s, d):
-    return I.merge(_intervals(s, d, 11), 3).select("chrom", "start", "end", "n")
+    return I.merge(_intervals(s, d), 3).select("chrom", "start", "end", "n")
 
 
 @query("super_merge", IV + f'SELECT chrom, s AS start, e AS "end", n FROM ({_merged("(SELECT * FROM a UNION ALL SELECT * FROM b)", 0)})')
@@ -315,7 +345,7 @@ def _(s, d):
 
 @query("coverage", IV + f"SELECT CAST(sum(e - s + 1) AS BIGINT) AS coverage FROM ({_merged('a', 0)})")
 def _(s, d):
-    return I.covered(_intervals(s, d, 11))
+    return I.covered(_intervals(s, d))
 
 
 @query(
@@ -329,7 +359,12 @@ def _(s, d):
 
 @query("interval_subtract", IV + f", y AS ({_merged('b', 0)}), p AS (SELECT a.id, a.chrom, a.s AS s0, a.e AS e0, greatest(a.s, y.s) AS cs, least(a.e, y.e) AS ce FROM a JOIN y ON a.chrom = y.chrom AND a.s <= y.e AND y.s <= a.e), pieces AS (SELECT id, chrom, coalesce(lag(ce) OVER w + 1, s0) AS s, cs - 1 AS e FROM p WINDOW w AS (PARTITION BY id ORDER BY cs) UNION ALL SELECT id, chrom, max(ce) + 1, max(e0) FROM p GROUP BY id, chrom UNION ALL SELECT id, chrom, s, e FROM a WHERE id NOT IN (SELECT id FROM p)) SELECT id, chrom, s AS start, e AS \"end\" FROM pieces WHERE s <= e")
 def _(s, d):
-    return I.subtract(*_ab(s, d), "id")
+    return I.subtract(*_ab(s, d), "id", BINS)
+
+
+@query("pairwise_remainders", IV + ", p AS (SELECT a.id, a.s AS s0, a.e AS e0, greatest(a.s, b.s) AS cs, least(a.e, b.e) AS ce, b.id AS b FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e) SELECT id, s0 AS start, cs - 1 AS \"end\", b FROM p WHERE s0 < cs UNION ALL SELECT id, ce + 1, e0, b FROM p WHERE ce < e0")
+def _(s, d):
+    return I.pairwise_remainders(*_ab(s, d), "id", BINS).select("id", "start", "end", F.col("b.id").alias("b"))
 
 
 @query("nearest_dist", IV + "SELECT a.id, coalesce(min(CASE WHEN b.id IS NOT NULL THEN greatest(a.s - b.e, b.s - a.e, 0) END), 10000000) AS distance FROM a LEFT JOIN b ON a.chrom = b.chrom GROUP BY a.id")
@@ -339,42 +374,42 @@ def _(s, d):
 
 @query("interval_gaps", IV + "SELECT chrom, start, gap FROM (SELECT chrom, s AS start, s - lag(e) OVER (PARTITION BY chrom ORDER BY s, e) AS gap FROM a) WHERE gap IS NOT NULL")
 def _(s, d):
-    return I.gaps(_intervals(s, d, 11))
+    return I.gaps(_intervals(s, d))
 
 
 @query("cumulative_ends", IV + 'SELECT chrom, s AS start, e AS "end", max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS cumul_end, min(s) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cumul_start FROM a')
 def _(s, d):
-    return I.cumulative_ends(_intervals(s, d, 11).drop("id"))
+    return I.cumulative_ends(_intervals(s, d).drop("id"))
 
 
 @query("flank_extend", IV + 'SELECT id, chrom, greatest(1, s - 5) AS start, e + 3 AS "end" FROM a')
 def _(s, d):
-    return I.extend(_intervals(s, d, 11), 5, 3)
+    return I.extend(_intervals(s, d), 5, 3)
 
 
 @query("flanks", IV + 'SELECT id, greatest(1, s - 4) AS start, s - 1 AS "end", 5 AS side FROM a WHERE s > 1 UNION ALL SELECT id, e + 1, e + 4, 3 FROM a')
 def _(s, d):
-    return I.flanks(_intervals(s, d, 11), 4).select("id", "start", "end", "side")
+    return I.flanks(_intervals(s, d), 4).select("id", "start", "end", "side")
 
 
 @query("midpoints", IV + 'SELECT id, CAST(floor((s + e) / 2.0) AS INT) AS start, CAST(floor((s + e) / 2.0) AS INT) AS "end" FROM a')
 def _(s, d):
-    return I.midpoints(_intervals(s, d, 11)).select("id", "start", "end")
+    return I.midpoints(_intervals(s, d)).select("id", "start", "end")
 
 
-@query("region_filters", IV + "SELECT id FROM a WHERE chrom IN ('NATION_1', 'FRANCE', 'CHINA', 'NATION_2') AND e < 2500 AND e - s > 5 AND e - s < 40")
+@query("region_filters", IV + "SELECT id FROM a WHERE chrom IN ('NATION_1', 'FRANCE', 'CHINA', 'NATION_2') AND e < 250000 AND e - s > 5 AND e - s < 40")
 def _(s, d):
-    return I.filtered(_intervals(s, d, 11), ["NATION_1", "FRANCE", "CHINA", "NATION_2"], end_max=2500, min_run=5, max_run=40).select("id")
+    return I.filtered(_intervals(s, d), ["NATION_1", "FRANCE", "CHINA", "NATION_2"], end_max=250000, min_run=5, max_run=40).select("id")
 
 
 @query("unique_by_pos", IV + 'SELECT chrom, s AS start, e AS "end", min(id) AS id FROM a GROUP BY 1, 2, 3 HAVING count(*) = 1')
 def _(s, d):
-    return I.unique_by_position(_intervals(s, d, 11), keep_one=False)
+    return I.unique_by_position(_intervals(s, d), keep_one=False)
 
 
 @query("top_coverage", IV + "SELECT id FROM (SELECT id, coalesce(sum(e - s + 1) OVER (ORDER BY e - s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) WHERE before < 500")
 def _(s, d):
-    return I.top_until_coverage(_intervals(s, d, 11), [F.desc(F.col("end") - F.col("start")), F.col("id")], 500).select("id")
+    return I.top_until_coverage(_intervals(s, d), [F.desc(F.col("end") - F.col("start")), F.col("id")], 500).select("id")
 
 
 @query("best_overlap_hist", IV + "SELECT CAST(floor(coalesce(best, 0) / CAST(a.e - a.s + 1 AS DOUBLE) / 0.25 + 1e-9) AS INT) AS bin, count(*) AS n FROM a LEFT JOIN (SELECT a.id, max(least(a.e, b.e) - greatest(a.s, b.s) + 1) AS best FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e GROUP BY a.id) o ON a.id = o.id GROUP BY 1")
@@ -382,11 +417,9 @@ def _(s, d):
     return I.best_overlap_histogram(*_ab(s, d), "id", 0.25)
 
 
-@query("peak_associations", IV + "SELECT x.ln AS x, y.ln AS y, count(*) AS n FROM (SELECT * FROM iv WHERE id % 40 IN (11, 22, 33)) x JOIN (SELECT * FROM iv WHERE id % 40 IN (11, 22, 33)) y ON x.chrom = y.chrom AND x.s <= y.e AND y.s <= x.e WHERE x.ln < y.ln GROUP BY 1, 2")
+@query("peak_associations", IV + "SELECT x.ln AS x, y.ln AS y, count(*) AS n FROM iv x JOIN iv y ON x.chrom = y.chrom AND x.s <= y.e AND y.s <= x.e WHERE x.ln < y.ln GROUP BY 1, 2")
 def _(s, d):
-    parts = [_intervals(s, d, k) for k in (11, 22, 33)]
-    own = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("ln", (F.col("id") % 10).cast("int"))
-    return I.associations(own, "ln")
+    return I.associations(_intervals(s, d, None).withColumn("ln", (F.col("id") % 10).cast("int")), "ln")
 
 
 # ---- genotypes: a customer's purchases of a part class, 0 to 2 ----
@@ -420,10 +453,10 @@ def _(s, d):
     return G.impute(_counts(s, d)).select("var_idx", "subject_idx", "g")
 
 
-@query("geno_impute_wide", GENO + "SELECT r.v AS var_idx, CAST(sum(CASE WHEN g <= 2 THEN g ELSE m END) AS BIGINT) AS total, CAST(max(n_missing) AS INT) AS n_missing FROM raw r JOIN (SELECT v, floor(coalesce(avg(g) FILTER (WHERE g <= 2), 0)) AS m, count(*) FILTER (WHERE g > 2) AS n_missing FROM raw GROUP BY v) f ON r.v = f.v GROUP BY r.v")
+@query("geno_impute_wide", GENO + "SELECT r.v AS var_idx, CAST(row_number() OVER (PARTITION BY r.v ORDER BY sid) - 1 AS INT) AS place, CAST(CASE WHEN g <= 2 THEN g ELSE m END AS INT) AS g, CAST(n_missing AS INT) AS n_missing FROM raw r JOIN (SELECT v, floor(coalesce(avg(g) FILTER (WHERE g <= 2), 0)) AS m, count(*) FILTER (WHERE g > 2) AS n_missing FROM raw GROUP BY v) f ON r.v = f.v")
 def _(s, d):
     own = G.impute_wide(G.wide_form(_counts(s, d), ["var_idx"]))
-    return own.select("var_idx", F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "n_missing")
+    return own.select("var_idx", F.posexplode("g").alias("place", "g"), "n_missing")
 
 
 @query("allele_freq", GENO + "SELECT v AS var_idx, round(sum(g) / (2.0 * count(*)), 6) AS af, count(*) AS n FROM geno GROUP BY v")
@@ -431,19 +464,19 @@ def _(s, d):
     return G.allele_frequencies(_geno(s, d)).select("var_idx", _r("af"), "n")
 
 
-@query("geno_center", GENO + "SELECT v AS var_idx, round(sum(gc), 4) AS total, round(sum(gc * gc), 4) AS square FROM (SELECT v, g - 2.0 * avg(g / 2.0) OVER (PARTITION BY v) AS gc FROM geno) GROUP BY v")
+@query("geno_center", GENO + "SELECT v AS var_idx, sid AS subject_idx, round(g - 2.0 * avg(g / 2.0) OVER (PARTITION BY v), 6) AS gc FROM geno")
 def _(s, d):
     own = _geno(s, d)
-    return G.centred(own, G.allele_frequencies(own).select("var_idx", "af")).groupBy("var_idx").agg(F.round(F.sum("gc"), 4).alias("total"), F.round(F.sum(F.col("gc") * F.col("gc")), 4).alias("square"))
+    return G.centred(own, G.allele_frequencies(own).select("var_idx", "af")).select("var_idx", "subject_idx", _r("gc"))
 
 
-SAMPLES = "samples AS (SELECT row_number() OVER (ORDER BY c_custkey DESC) AS sample_pos, c_custkey AS sample_id FROM customer WHERE c_custkey % 100 = 7) "
+SAMPLES = "samples AS (SELECT row_number() OVER (ORDER BY c_custkey DESC) AS sample_pos, c_custkey AS sample_id FROM customer) "
 
 
 def _samples(s, d) -> DataFrame:
     from pyspark.sql import Window
 
-    return _t(s, d, "customer").where("c_custkey % 100 = 7").select(F.row_number().over(Window.orderBy(F.desc("c_custkey"))).cast("long").alias("sample_pos"), F.col("c_custkey").alias("sample_id"))
+    return _t(s, d, "customer").select(F.row_number().over(Window.orderBy(F.desc("c_custkey"))).cast("long").alias("sample_pos"), F.col("c_custkey").alias("sample_id"))
 
 
 @query("geno_subset_outer", GENO + ", " + SAMPLES + "SELECT CAST(vv.v AS INT) AS var_idx, sample_pos, sample_id, coalesce(g, -1) AS g FROM samples CROSS JOIN (SELECT DISTINCT v FROM geno) vv LEFT JOIN geno ON geno.sid = sample_id AND geno.v = vv.v")
@@ -527,12 +560,46 @@ def _(s, d):
     return L.noised_ratio(L.score_test(_geno(s, d), subj, z)).select("var_idx", _r("chisq", 4))
 
 
-@query("score_test_pvalues")
+def _irls_sql(steps: int) -> str:
+    """CTEs b0 (zero) to b<steps>, each with the X'WX that led to it, for an intercept and bal / 10000."""
+    out = ", x AS (SELECT sid, site, CAST(y AS DOUBLE) AS y, bal / 10000 AS z FROM subj), b0 AS (SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1)"
+    for k in range(steps):
+        fitted = f"(SELECT y, z, nu, mu, mu * (1 - mu) AS w FROM (SELECT y, z, nu, 1 / (1 + exp(-nu)) AS mu FROM (SELECT y, z, b0 + b1 * z AS nu FROM x, b{k})))"
+        out += f", m{k} AS (SELECT sum(w) AS a, sum(w * z) AS b, sum(w * z * z) AS d, sum(w * nu + y - mu) AS u, sum(z * (w * nu + y - mu)) AS v FROM {fitted})"
+        out += f", b{k + 1} AS (SELECT (d * u - b * v) / (a * d - b * b) AS b0, (a * v - b * u) / (a * d - b * b) AS b1, a, b, d, a * d - b * b AS det FROM m{k})"
+    return out
+
+
+STEPS = 6
+TESTED = (
+    GENO.replace("WITH subj", "WITH RECURSIVE subj")
+    + _irls_sql(STEPS)
+    + f""", f AS (SELECT sid, y, z, 1 / (1 + exp(-(b0 + b1 * z))) AS mu, a, b, d, det FROM x, b{STEPS}),
+st AS (SELECT v, sum(g * (y - mu)) AS sc, sum(mu * (1 - mu) * g * g) AS gwg, sum(mu * (1 - mu) * g) AS g0, sum(mu * (1 - mu) * g * z) AS g1, max(a) AS a, max(b) AS b, max(d) AS d, max(det) AS det FROM geno JOIN f ON geno.sid = f.sid GROUP BY v),
+res AS (SELECT v, sc, sc * sc AS s, gwg - (d * g0 * g0 - 2 * b * g0 * g1 + a * g1 * g1) / det AS t FROM st),
+tail AS (SELECT v, sc, s, t, s / t AS q, 0 AS i, CAST(1 AS DOUBLE) AS term, CAST(1 AS DOUBLE) AS total FROM res UNION ALL SELECT v, sc, s, t, q, i + 1, term * (q / 2) / (1.5 + i), total + term * (q / 2) / (1.5 + i) FROM tail WHERE i < 150)
+SELECT v AS var_idx, round(sc, 4) AS score, round(s, 3) AS s, round(t, 4) AS t, round(q, 4) AS chisq, round(1 - sqrt(q / 2) * exp(-q / 2) * 2 * total / sqrt(pi()), 6) AS p FROM tail WHERE i = 150"""
+)
+
+
+def _tested(df: DataFrame) -> DataFrame:
+    return df.select("var_idx", _r("score", 4), _r("s", 3), _r("t", 4), _r("chisq", 4), _r("p"))
+
+
+@query("score_test_pvalues", TESTED)
+def _(s, d):
+    """With a covariate, and p-values."""
+    subj = _subjects(s, d)
+    fit = L.irls(subj, STEPS, 0.0)
+    return _tested(L.score_test(_geno(s, d), L.fitted(subj, fit.beta), fit.z))
+
+
+@query("score_test_fed_covariates", TESTED)
 def _(s, d):
-    """Covariates and p-values: no SQL for the fit."""
+    """In the protocol's phases, under the sites' full masks."""
     subj = _subjects(s, d)
-    fit = L.irls(subj)
-    return L.score_test(_geno(s, d), L.fitted(subj, fit.beta), fit.z)
+    fit = L.irls(subj, STEPS, 0.0, mask="full")
+    return _tested(L.score_test_federated(_geno(s, d), L.fitted(subj, fit.beta), fit.z))
 
 
 META = """, mu AS (SELECT site, avg(y) AS mu, count(*) AS n FROM subj GROUP BY site),
@@ -565,10 +632,10 @@ def _(s, d):
     return s.createDataFrame([(round(beta[0], 5), round(beta[1], 5))], "b0 double, b1 double")
 
 
-@query("irls_fit")
+@query("irls_fit", GENO + _irls_sql(STEPS) + f" SELECT 0 AS feature, round(b0, 6) AS beta FROM b{STEPS} UNION ALL SELECT 1, round(b1, 6) FROM b{STEPS}")
 def _(s, d):
-    fit = L.irls(_subjects(s, d), mask="diagonal")
-    return s.createDataFrame([(k, b) for k, b in enumerate(fit.beta)], "feature int, beta double")
+    fit = L.irls(_subjects(s, d), STEPS, 0.0, mask="diagonal")
+    return s.createDataFrame([(k, round(b, 6)) for k, b in enumerate(fit.beta)], "feature int, beta double")
 
 
 BETA = "(0.1 + 0.5 * bal / 10000)"
@@ -590,9 +657,19 @@ def _(s, d):
     return s.createDataFrame([(round(beta[0], 6), round(beta[1], 6))], "b0 double, b1 double")
 
 
-@query("sgd_sequential")
+SGD = "1 / (1 + exp(-(b0 + b1 * z)))"
+
+
+@query(
+    "sgd_sequential",
+    GENO.replace("WITH subj", "WITH RECURSIVE subj")
+    + f""", o AS (SELECT site, CAST(y AS DOUBLE) AS y, bal / 10000 AS z, row_number() OVER (PARTITION BY site ORDER BY e, md5('1:' || e || ':' || sid)) AS i, count(*) OVER (PARTITION BY site, e) AS n FROM subj, range(2) t(e)),
+r AS (SELECT DISTINCT site, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM o UNION ALL SELECT r.site, o.i, b0 + 0.5 / n * (y - {SGD}), b1 + 0.5 / n * (y - {SGD}) * z FROM r JOIN o ON o.site = r.site AND o.i = r.i + 1)
+SELECT CAST(site AS INT) AS site, round(max_by(b0, i), 6) AS b0, round(max_by(b1, i), 6) AS b1 FROM r GROUP BY site""",
+)
 def _(s, d):
-    return L.sequential_gradient(_subjects(s, d), 2, 0.5, by="site")
+    own = L.sequential_gradient(_subjects(s, d), 2, 0.5, by="site")
+    return own.select("site", *[F.round(F.col("beta")[k], 6).alias(f"b{k}") for k in (0, 1)])
 
 
 @query("convergence", "SELECT iter, ll, delta, coalesce(abs(delta) < 0.5, false) AS converged FROM (SELECT iter, ll, ll - lag(ll) OVER (ORDER BY iter) AS delta FROM (SELECT CAST(l_linenumber AS INT) AS iter, round(CAST(count(*) AS DOUBLE), 4) AS ll FROM lineitem GROUP BY 1))")
@@ -614,17 +691,27 @@ CENTRES = [[0.1] * 64, [-0.1] * 64]
 
 @query(
     "kmeans_soft_step",
-    "WITH p AS (SELECT embedding AS x FROM embeddings), w AS (SELECT k, x, exp(-0.2 * list_sum(list_transform(x, lambda v: (CAST(v AS DOUBLE) - c) * (CAST(v AS DOUBLE) - c)))) AS w FROM p, (VALUES (0, 0.1::DOUBLE), (1, -0.1::DOUBLE)) t(k, c)) SELECT k, round(sum(w), 4) AS w, round(sum(w * x[1]), 4) AS c_0, round(sum(w * x[64]), 4) AS c_63 FROM w GROUP BY k",
+    "WITH p AS (SELECT embedding AS x FROM embeddings), w AS (SELECT k, x, exp(-0.2 * list_sum(list_transform(x, lambda v: (CAST(v AS DOUBLE) - c) * (CAST(v AS DOUBLE) - c)))) AS w FROM p, (VALUES (0, 0.1::DOUBLE), (1, -0.1::DOUBLE)) t(k, c)) SELECT k, CAST(d AS INT) AS d, round(sum(w), 4) AS w, round(sum(w * x[d + 1]), 4) AS c FROM w, range(64) r(d) GROUP BY k, d",
 )
 def _(s, d):
     points = _t(s, d, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    return L.soft_kmeans_step(points, CENTRES).select("k", _r("w", 4), _r("c_0", 4), _r("c_63", 4))
+    step = L.soft_kmeans_step(points, CENTRES)
+    return step.select("k", _r("w", 4), F.posexplode(F.array(*[F.col(f"c_{k}") for k in range(64)])).alias("d", "c")).withColumn("c", F.round("c", 4))
 
 
-@query("kmeans_soft_fit")
+def _kmeans_sql(steps: int) -> str:
+    out = "WITH p AS (SELECT list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), c0 AS (SELECT * FROM (VALUES (0, list_transform(range(64), lambda i: CAST(0.1 AS DOUBLE))), (1, list_transform(range(64), lambda i: CAST(-0.1 AS DOUBLE)))) t(k, c))"
+    for n in range(steps):
+        out += f", w{n} AS (SELECT k, x, exp(-0.2 * list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))) AS w FROM p, c{n})"
+        out += f", c{n + 1} AS (SELECT k, list(v ORDER BY d) AS c FROM (SELECT k, d, sum(w * x[d]) / sum(w) AS v FROM w{n}, range(1, 65) r(d) GROUP BY k, d) GROUP BY k)"
+    return out + f" SELECT k, CAST(d AS INT) AS d, round(c[d + 1], 6) AS c FROM c{steps}, range(64) r(d)"
+
+
+@query("kmeans_soft_fit", _kmeans_sql(3))
 def _(s, d):
     points = _t(s, d, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("vec_id") % 3).cast("int").alias("site"))
-    return s.createDataFrame([(k, c) for k, c in enumerate(L.soft_kmeans(points, CENTRES, 3, site="site"))], "k int, c array<double>")
+    centres = L.soft_kmeans(points, CENTRES, 3, site="site")
+    return s.createDataFrame([(k, i, round(v, 6)) for k, c in enumerate(centres) for i, v in enumerate(c)], "k int, d int, c double")
 
 
 # ---- statistics ----
@@ -672,9 +759,15 @@ def _(s, d):
     return A.pearson(_t(s, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", _r("r", 5))
 
 
-@query("pearson_perm")
+DEALT = "(SELECT n, v, row_number() OVER (PARTITION BY n ORDER BY substr(md5({seed} || ':' || s_suppkey), 1, 8), s_suppkey) AS k FROM (SELECT CAST(n AS INT) AS n, s_suppkey, {v} AS v FROM supplier, range(1, 21) t(n)))"
+
+
+@query(
+    "pearson_perm",
+    f"WITH null_r AS (SELECT a.n, corr(a.v, b.v) AS r FROM {DEALT.format(seed="'0'", v='CAST(s_suppkey AS DOUBLE)')} a JOIN {DEALT.format(seed='n', v='s_acctbal')} b ON a.n = b.n AND a.k = b.k GROUP BY a.n), own AS (SELECT corr(s_suppkey, s_acctbal) AS r FROM supplier) SELECT round(max(own.r), 6) AS r, round((max(own.r) - avg(null_r.r)) / stddev_samp(null_r.r), 5) AS z FROM null_r, own",
+)
 def _(s, d):
-    return A.pearson_permutation_z(_t(s, d, "supplier"), "s_suppkey", "s_acctbal", 20)
+    return A.pearson_permutation_z(_t(s, d, "supplier"), "s_suppkey", "s_acctbal", 20, "s_suppkey").select(_r("r"), _r("z", 5))
 
 
 HIST = "(SELECT event_type AS a, CAST(floor(value / 10) AS INT) AS b, count(*) AS n FROM events GROUP BY 1, 2)"
@@ -819,20 +912,23 @@ def _(s, d):
     return _t(s, d, "customer").select("c_custkey", S.quantize(F.col("c_acctbal"), [-100000.0, 0.0, 5000.0]).alias("q"))
 
 
-@query("events_stream")
+@query("events_stream", "SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
     """The events table as a stream, in windows of event time; run to its end."""
+    from siteweave.sources.exchange import scratch
     from siteweave.streaming.gate import windowed_counts
 
-    path = f"{d}/events.parquet"
-    stream = s.readStream.schema(s.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith("events.parquet") or _is_folder(s, path) else d + "/events.parquet*")
-    name = f"events_{abs(hash(d)) % 10**8}"
-    q = windowed_counts(stream, "ts", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).start()
-    q.processAllAvailable()
-    q.stop()
-    return s.table(name)
+    path, out = f"{d}/events.parquet", scratch(s, "events")
+    stream = s.readStream.schema(s.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(s, path) else f"{path}*")
+    counts = windowed_counts(stream, "ts", ["event_type"]).select(F.unix_seconds("start").alias("start"), "event_type", "n")
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/counts")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{out}/counts")
 
 
 def _is_folder(s: SparkSession, path: str) -> bool:
     place = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
+from siteweave.plans import catalog_files as _files  # noqa: E402, F401  (registers its queries here)

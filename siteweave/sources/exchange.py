@@ -6,6 +6,7 @@ The manifest (name, size) is the commit mark: data without one is not there yet.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,22 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), removed when the application ends. Only a local session without one gets a folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        import tempfile
+
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        root = tempfile.mkdtemp(prefix="siteweave-")
+        spark.sparkContext.setCheckpointDir(root)
+    fs, place = _fs(spark, path := f"{root.rstrip('/')}/{what}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    fs.deleteOnExit(place)
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, place = _fs(spark, path)
     return fs.exists(place)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siteweave.functions.scalar import genotype_code, haplotype_code, is_number, normalise_chrom
 from siteweave.operators.reads import flagged
+from siteweave.operators.stats import numbered
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -176,12 +177,19 @@ def write_bedgraph(runs: DataFrame, path: str) -> None:
     runs.select(F.concat_ws("\t", "chrom", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), F.col("v").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): lines that are not blank, numbered from 0 in the order of files and places in them. Numbers are made split by split, so a file need not be one task."""
+    own = lines(spark, path).select("value", F.struct(F.input_file_name().alias("f"), F.input_file_block_start().alias("b")).alias("at"), F.monotonically_increasing_id().alias("i"))
+    own = own.where("trim(value) <> ''")
+    return numbered(own, F.col("at"), [F.col("i")], "n").select((F.col("n") - 1).cast("int").alias("n"), "value")
+
+
 def text_matrix(spark: SparkSession, path: str, row_ids: bool = False, col_ids: bool = False) -> DataFrame:
-    """(row, col, v) of one tab-separated file. Row numbers follow the lines' order, which needs the file in one task."""
-    own = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("n", "line"))
+    """(row, col, v) of a tab-separated file, or of a folder of parts in the order of their names."""
+    own = numbered_lines(spark, path)
     if col_ids:
         own = own.where("n > 0").withColumn("n", F.col("n") - 1)
-    cells = F.split("line", "\t")
+    cells = F.split(F.rtrim("value"), "\t")
     cells = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))) if row_ids else cells
     return own.select(F.col("n").alias("row"), F.posexplode(cells).alias("col", "t")).select("row", "col", F.col("t").cast("double").alias("v"))
 
@@ -193,7 +201,7 @@ def dumped(rows: DataFrame) -> DataFrame:
 
 def binary_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(path, nrow, ncol, row, v array): int32 rows, int32 columns, then row-major doubles, little-endian."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = binary_files(spark, path)
 
     def read(frames):
         import numpy as np
@@ -215,6 +223,69 @@ def encode_matrix(x) -> bytes:
     return np.asarray(x.shape, "<i4").tobytes() + np.ascontiguousarray(x, "<f8").tobytes()
 
 
+def write_binary_matrix(cells: DataFrame, nrow: int, ncol: int, path: str) -> None:
+    """Cells (row, col, v) as files that binary_matrix() reads: one of all rows, made in one task, as the format has it."""
+
+    def pack(pdf):
+        import numpy as np
+        import pandas as pd
+
+        x = np.zeros((nrow, ncol))
+        x[pdf["row"], pdf["col"]] = pdf["v"]
+        return pd.DataFrame({"name": ["matrix.bin"], "content": [encode_matrix(x)]})
+
+    own = cells.select("row", "col", "v", F.lit(0).alias("all"))
+    write_files(own.groupBy("all").applyInPandas(pack, "name string, content binary"), path)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Contents (name, content) into a folder, as rows of Parquet: a task lost and run again leaves one of each."""
+    files.select("name", "content").write.parquet(path)
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of a folder: plain files, or those of write_files()."""
+    own = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).limit(1).count()
+    if own:
+        return spark.read.parquet(path).select(F.col("name").alias("path"), "content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+#: Bytes of a run: int32 start, int32 end, float64 value, little-endian.
+RUN = 16
+
+
+def write_binary_runs(runs: DataFrame, path: str) -> None:
+    """Runs (chrom, start, end, v), a content for each chromosome and a million positions, by start."""
+
+    def pack(pdf):
+        import numpy as np
+        import pandas as pd
+
+        own = pdf.sort_values("start")
+        out = np.zeros(len(own), np.dtype([("s", "<i4"), ("e", "<i4"), ("v", "<f8")]))
+        out["s"], out["e"], out["v"] = own["start"], own["end"], own["v"]
+        return pd.DataFrame({"name": [f"{own['chrom'].iloc[0]}.{int(own['tile'].iloc[0])}"], "content": [out.tobytes()]})
+
+    tiled = runs.select("chrom", "start", "end", "v", F.floor(F.col("start") / 1_000_000).alias("tile"))
+    write_files(tiled.groupBy("chrom", "tile").applyInPandas(pack, "name string, content binary"), path)
+
+
+def binary_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, end, v) of contents named by chromosome and part."""
+
+    def read(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            for p, b in zip(f["path"], f["content"], strict=True):
+                x = np.frombuffer(b, np.dtype([("s", "<i4"), ("e", "<i4"), ("v", "<f8")]))
+                yield pd.DataFrame({"chrom": p.rsplit("/", 1)[-1].rsplit(".", 1)[0], "start": x["s"], "end": x["e"], "v": x["v"]})
+
+    return binary_files(spark, path).mapInPandas(read, "chrom string, start int, end int, v double")
+
+
 # ---- reads and sequences ----
 
 
@@ -254,12 +325,17 @@ def bed_reads(spark: SparkSession, path, columns: int = 6) -> DataFrame:
     return f.select(*_simple(_get(1), _get(2).cast("int") + 1, _get(3).cast("int") - _get(2).cast("int"), _get(columns)))
 
 
+#: Bases of a chunk at most.
+CHUNK = 1 << 16
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, start, seq): a row a line; a file is one task, as its lines follow one another."""
-    own = spark.read.text(path, wholetext=True).select(F.explode(F.filter(F.split("value", ">"), lambda x: F.trim(x) != "")).alias("r"))
-    rows = own.select(F.split("r", r"\r?\n").alias("l")).select(normalise_chrom(F.split(F.col("l")[0], r"\s+")[0]).alias("chrom"), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(1))).alias("l"))
-    starts = F.aggregate("l", F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
-    return rows.select("chrom", F.explode(F.arrays_zip(starts.alias("start"), F.col("l").alias("seq"))).alias("x")).select("chrom", F.col("x.start").alias("start"), F.upper("x.seq").alias("seq")).where("seq <> ''")
+    """(chrom, start, seq): chunks of CHUNK bases at most. Files are cut at `>`, so each sequence is a row of its own and files of any size are split."""
+    own = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
+    body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
+    rows = own.select(normalise_chrom(F.split(head, r"\s+")[0]).alias("chrom"), F.posexplode(F.regexp_extract_all(F.upper(body), F.lit(f"(.{{1,{CHUNK}}})"), F.lit(1))).alias("k", "seq"))
+    return rows.select("chrom", (F.col("k") * CHUNK + 1).cast("int").alias("start"), "seq")
 
 
 # ---- writers ----
