@@ -53,6 +53,8 @@ def save_enc(c: E.Cipher, path: str) -> None:
 
 def run(spark: SparkSession, option: str, *args: str):
     """Run an option; unknown ones raise KeyError."""
+    from siteweave.plans import steps  # noqa: F401  (the protocols' options)
+
     return COMMANDS[option.lstrip("-")](spark, *args)
 
 
