@@ -60,7 +60,12 @@ def _and(*qs):
 
 
 def _or(*qs):
-    return None if any(q is None for q in qs) else qs[0] if len(qs) == 1 else ("or", *qs)
+    """Without conjunctions of trigrams that another one is part of."""
+    if any(q is None for q in qs):
+        return None
+    sets = [{q} if isinstance(q, str) else set(q[1:]) if q[0] == "and" and all(isinstance(x, str) for x in q[1:]) else None for q in qs]
+    kept = [q for k, q in enumerate(qs) if sets[k] is None or not any(s is not None and (s < sets[k] or s == sets[k] and j < k) for j, s in enumerate(sets))]
+    return kept[0] if len(kept) == 1 else ("or", *kept)
 
 
 def _of(strings: set[str]):
@@ -156,11 +161,20 @@ def _evaluate(query, bits: dict[str, Column]) -> Column:
     return out
 
 
+def _each(names: list[str]) -> str:
+    """An expression that is found, empty, wherever one of the trigrams begins, and captures it: one pass finds all, overlapping ones too."""
+    quote = lambda c: c if c.isalnum() else "\\" + c
+    trie: dict[str, dict[str, str]] = {}
+    for a, b, c in names:
+        trie.setdefault(a, {})[b] = trie.get(a, {}).get(b, "") + quote(c)
+    return "(?=(" + "|".join(quote(a) + "(?:" + "|".join(f"{quote(b)}[{c}]" for b, c in sorted(rest.items())) + ")" for a, rest in sorted(trie.items())) + "))"
+
+
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (trigram, id): for each trigram that the rules' queries name, the documents that have it in lower case."""
     names = sorted(set().union(*[trigrams_of(query_of(r.pattern)) for r in rules]))
     low = F.lower(F.col("t"))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(x)), F.lit(x)) for x in names])) if names else F.array().cast("array<string>")
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(_each(names)), F.lit(1))) if names else F.array().cast("array<string>")
     return docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t")).select("id", F.explode(found).alias("trigram"))
 
 
