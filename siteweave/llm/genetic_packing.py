@@ -12,7 +12,6 @@ of the instances' last bins does not add up.
 from __future__ import annotations
 
 import random
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,19 +26,14 @@ from siteweave.llm._common import materialize
 
 ISLANDS = 3
 INSTANCE = 1500
-EPOCHS = 2
+EPOCHS = 3
 POPULATION = 5
-CHILDREN = 10
+CHILDREN = 12
 ROUNDS = 3
-CACHED = 400_000
 
 
 class Ids:
-    """Ids of byte-level BPE as little-endian 32-bit bytes.
-
-    A match of the vocabulary's pattern never runs across a space that follows a non-space, so texts are cut there and
-    the ids of the parts remembered. Texts that name a special token go through the tokenizers library itself.
-    """
+    """Ids of byte-level BPE as little-endian 32-bit bytes: whole texts at once by the vocabulary's pattern and ranks. Texts that name a special token go through the tokenizers library."""
 
     def __init__(self, name: str) -> None:
         import base64
@@ -57,35 +51,23 @@ class Ids:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.whole = None
         self.Tokenizer = Tokenizer
-        self.known: dict[str, bytes] = {}
-        self.cut = re.compile(r"(?<=\S)(?= )")
-        self.odd = re.compile(r"\s ")
 
     def of(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             self.whole = self.whole or self.Tokenizer.from_file(self.path)
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text:
-            return b""
-        known = self.known
-        if text[0] == " " or self.odd.search(text):
-            parts = self.cut.split(text)
-        else:
-            parts = text.split(" ")
-            parts = [parts[0], *[" " + x for x in parts[1:]]]
-        out = [known.get(x) for x in parts]
-        if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    p = parts[k]
-                    if (x := known.get(p)) is None:
-                        x = np.asarray(self.fast.encode_ordinary(p), "<u4").tobytes()
-                        if len(p) <= 48:
-                            if len(known) >= CACHED:
-                                known.clear()
-                            known[p] = x
-                    out[k] = x
-        return b"".join(out)
+        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+
+
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(name: str) -> Ids:
+    """The encoder of a vocabulary, one for all tasks of a worker."""
+    if name not in _ids:
+        _ids.clear()
+        _ids[name] = Ids(name)
+    return _ids[name]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = "byte_bpe_50k", end: int = 0) -> DataFrame:
@@ -94,7 +76,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "rid"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rid = Ids(tokenizer), TaskContext.get().partitionId() << 40
+        ids, rid = ids_of(tokenizer), TaskContext.get().partitionId() << 40
         last = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {x: [] for x in names}
@@ -177,28 +159,35 @@ def _refill(bins: list[list[int]], displaced: list[int], lens: list[int], capaci
     return packed.bins
 
 
-def evolve(lens: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = ()) -> list[list[int]]:
-    """The best packing that one island finds from random starts, best fit decreasing and the elites given."""
+def perfect(bins: list[list[int]], lens: list[int], capacity: int) -> bool:
+    """All bins but one are full: no packing has fewer or fuller ones."""
+    return sum(sum(lens[x] for x in b) < capacity for b in bins) <= 1
+
+
+def evolve(lens: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), children: int = CHILDREN) -> list[list[int]]:
+    """The best packing that one island finds from best fit decreasing, random starts and the elites given: fewest bins, then fitness."""
     rng = random.Random(seed)
     first = Bins(lens, capacity)
     first.add(list(range(len(lens))))
-    bound = -(-sum(lens) // capacity)
-    rated = lambda b: (fitness(b, lens, capacity), b)
+    rated = lambda b: (len(b), -fitness(b, lens, capacity), b)
+    by = lambda x: x[:2]
     herd = [rated(b) for b in [*elites, first.bins]]
-    if min(len(b) for _, b in herd) > bound:
+    if not any(perfect(b, lens, capacity) for _, _, b in herd):
         while len(herd) < POPULATION:
             order = sorted(range(len(lens)), key=lambda x: lens[x] * rng.uniform(0.7, 1.3), reverse=True)
             start = Bins(lens, capacity)
             for x in order:
                 start.add([x])
             herd.append(rated(start.bins))
-        for _ in range(CHILDREN):
-            herd.sort(key=lambda x: (len(x[1]), -x[0]))
-            if len(herd[0][1]) <= bound:
+        herd = sorted(herd, key=by)[:POPULATION]
+        for _ in range(children):
+            one, other = rng.sample(herd, 2)
+            child = rated(crossover(one[2], other[2], lens, capacity, rng))
+            if all(by(child) != by(x) for x in herd):  # copies would take the herd over
+                herd = sorted([*herd, child], key=by)[:POPULATION]
+            if perfect(herd[0][2], lens, capacity):
                 break
-            one, other = rng.sample(herd[:POPULATION], 2)
-            herd[POPULATION - 1 :] = [rated(crossover(one[1], other[1], lens, capacity, rng))]
-    return min(herd, key=lambda x: (len(x[1]), -x[0]))[1]
+    return min(herd, key=by)[2]
 
 
 def _island(capacity: int, seed: int):
@@ -234,7 +223,7 @@ def _packed(items: DataFrame, capacity: int, seed: int, instances: int) -> DataF
     lens = F.transform("its", lambda x: x["length"].cast("int")).alias("lens")
     state = held.select("instance", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), lens, F.expr("cast(array() as array<array<int>>)").alias("elites"))
     for epoch in range(EPOCHS):
-        state = state.repartition(max(n, min(4 * n, instances * ISLANDS)), "instance", "island")
+        state = state.repartition(n, "instance", "island")
         state = materialize(state.mapInPandas(_island(capacity, seed + 104729 * epoch), "instance long, island int, lens array<int>, best array<int>, bins int"), "islands")
         if epoch + 1 < EPOCHS:  # each island keeps its elite and gets that of the island before it
             to = F.array(F.col("island"), (F.col("island") + 1) % ISLANDS)
