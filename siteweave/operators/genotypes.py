@@ -93,6 +93,14 @@ def merge_cohorts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, coding.alias("g"))
 
 
+def merge_cohort_list(parts: list[DataFrame], sizes: list[int], keys: list[str]) -> DataFrame:
+    """Arrays of several cohorts side by side for every variant that any has; a cohort without it gives zeros. Of a variant that a cohort holds twice the first array by order counts."""
+    each = [p.groupBy(*keys).agg(F.min("g").alias("g")).withColumn("k", F.lit(k)) for k, p in enumerate(parts)]
+    held = reduce(DataFrame.unionByName, each).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "g"))).alias("m"))
+    filled = [F.coalesce(F.try_element_at("m", F.lit(k)), F.array_repeat(F.lit(0), n)) for k, n in enumerate(sizes)]
+    return held.select(*keys, F.concat(*filled).alias("g"))
+
+
 def concat_variants(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -48,6 +48,14 @@ def irls_moments(data: DataFrame, beta: list[float], kind: str = "NATIVE", by: l
     return own.groupBy(*by).agg(*sums, F.sum(ll).alias("ll"), F.max(F.abs("nu")).alias("max_nu"))
 
 
+def scaled_inverse(z: np.ndarray, rhs: np.ndarray, scaler: float = 1000.0) -> np.ndarray:
+    """Weights by an inverse that travels scaled and padded to a power of two, and is unpadded and scaled back after the product."""
+    n = 1 << max(0, len(z) - 1).bit_length()
+    wide, right = np.zeros((n, n)), np.zeros(n)
+    wide[: len(z), : len(z)], right[: len(z)] = z * scaler, rhs
+    return (wide @ right)[: len(z)] / scaler
+
+
 class Fit(NamedTuple):
     beta: list[float]
     z: np.ndarray  # (X'WX)^-1 of the last step

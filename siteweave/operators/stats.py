@@ -191,8 +191,17 @@ def distinct_values(df: DataFrame, c: str) -> DataFrame:
 # ---- tracks ----
 
 
-def bin_totals(track: DataFrame, size: int) -> DataFrame:
-    """(chrom, bin, total, n) of a track (chrom, pos, v) in bins of a length."""
+def bin_totals(track: DataFrame, size: int, borders: DataFrame | None = None) -> DataFrame:
+    """(chrom, bin, total, n) of a track (chrom, pos, v) in bins of a length.
+
+    borders (chrom, start, end, region): bins begin anew in each region and none spans a border; (region, bin, total, n).
+    """
+    if borders is not None:
+        from siteweave.operators.intervals import overlaps
+
+        points = track.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), "v")
+        inside = overlaps(borders, points).select(F.col("a.region").alias("region"), F.floor((F.col("b.start") - F.col("a.start")) / size).cast("int").alias("bin"), F.col("b.v").alias("v"))
+        return inside.groupBy("region", "bin").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
     return track.groupBy("chrom", F.floor((F.col("pos") - 1) / size).cast("int").alias("bin")).agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
@@ -238,6 +247,29 @@ def smoothed(df: DataFrame, by: list[str], pos: str, v: str, half: int, self_wei
     return df
 
 
+def smoothed_logs(df: DataFrame, by: list[str], pos: str, v: str, half: int, self_weight: float, iterations: int = 1) -> DataFrame:
+    """smoothed() of values kept as logarithms: into the linear domain, and back."""
+    from siteweave.functions.scalar import xexp, xlog
+
+    own = smoothed(df.withColumn(v, xexp(F.col(v))), by, pos, v, half, self_weight, iterations)
+    return own.withColumn(v, xlog(F.col(v)))
+
+
+def spread_over_powers(df: DataFrame, by: list[str], pos: str, v: str, base: float) -> DataFrame:
+    """(by, bin, v): values at positions from 0 summed into bins of growing length, bin = floor(log_base(1 + pos)): the logarithmic index."""
+    k = F.floor(F.log1p(F.col(pos).cast("double")) / F.ln(F.lit(float(base))) + 1e-9).cast("int")
+    return df.groupBy(*by, k.alias("bin")).agg(F.sum(v).alias(v))
+
+
+def smoothed_by_powers(df: DataFrame, by: list[str], pos: str, v: str, base: float, half: int, self_weight: float, iterations: int = 1, logs: bool = False) -> DataFrame:
+    """(by, bin, v): smoothed() over the logarithmic index; logs: values come and go as logarithms."""
+    from siteweave.functions.scalar import xexp, xlog
+
+    own = df.withColumn(v, xexp(F.col(v))) if logs else df
+    own = smoothed(spread_over_powers(own, by, pos, v, base), by, "bin", v, half, self_weight, iterations)
+    return own.withColumn(v, xlog(F.col(v))) if logs else own
+
+
 def without_duplicate_samples(signal: DataFrame, sample: str = "sample", keep: str = "copy") -> DataFrame:
     """Of each sample the first copy."""
     first = signal.groupBy(sample).agg(F.min(keep).alias(keep))

@@ -673,6 +673,71 @@ def _(s, d):
     return own.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("site").alias("sites"), F.bool_and(F.col("y").isin(0.0, 1.0)).alias("binary")).withColumn("near", F.lit(near))
 
 
+@query("smooth_logs", f"SELECT chrom, pos, round(ln(0.5 * v + 0.125 * (sum(v) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - v)), 5) AS v FROM {SMOOTH}")
+def _(s, d):
+    """Values as logarithms."""
+    from siteweave.plans.catalog import _track
+
+    return A.smoothed_logs(_track(s, d).withColumn("v", F.ln("v")), ["chrom"], "pos", "v", 2, 0.5).select("chrom", "pos", _r("v", 5))
+
+
+POWERS = f"(SELECT chrom, CAST(floor(ln(CAST(pos AS DOUBLE)) / ln(CAST(1.5 AS DOUBLE)) + 1e-9) AS INT) AS bin, sum(v) AS v FROM {SMOOTH} GROUP BY 1, 2)"
+
+
+@query("smooth_by_powers", f"SELECT chrom, bin, round(0.6 * v + 0.2 * (sum(v) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) - v), 5) AS v FROM {POWERS}")
+def _(s, d):
+    """Over bins that grow by powers of 1.5."""
+    from siteweave.plans.catalog import _track
+
+    own = _track(s, d).select("chrom", (F.col("pos") - 1).alias("at"), "v")
+    return A.smoothed_by_powers(own, ["chrom"], "at", "v", 1.5, 1, 0.6).select("chrom", "bin", _r("v", 5))
+
+
+@query("smooth_logs_by_powers", f"SELECT chrom, bin, round(ln(0.6 * v + 0.2 * (sum(v) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) - v)), 5) AS v FROM {POWERS}")
+def _(s, d):
+    from siteweave.plans.catalog import _track
+
+    own = _track(s, d).select("chrom", (F.col("pos") - 1).alias("at"), F.ln("v").alias("v"))
+    return A.smoothed_by_powers(own, ["chrom"], "at", "v", 1.5, 1, 0.6, logs=True).select("chrom", "bin", _r("v", 5))
+
+
+@query("track_bins_at_borders", f"SELECT CAST(i AS INT) AS region, CAST((pos - i * 50 - 1) // 20 AS INT) AS bin, sum(v) AS total, count(*) AS n FROM {SMOOTH}, range(4) t(i) WHERE pos BETWEEN i * 50 + 1 AND i * 50 + 50 AND chrom = (SELECT min(n_name) FROM nation) GROUP BY 1, 2")
+def _(s, d):
+    """Bins of 20 positions that begin anew every 50."""
+    from siteweave.plans.catalog import _track
+
+    first = _t(s, d, "nation").agg(F.min("n_name").alias("chrom"))
+    borders = s.range(4).crossJoin(first).select(F.col("id").cast("int").alias("region"), "chrom", (F.col("id") * 50 + 1).cast("int").alias("start"), (F.col("id") * 50 + 50).cast("int").alias("end"))  # one row
+    return A.bin_totals(_track(s, d), 20, borders)
+
+
+COHORTS = "WITH g AS (SELECT CAST(l_partkey % 40 AS INT) AS v, l_linenumber % 3 AS cohort, CAST(l_suppkey % 4 AS INT) AS s, CAST(least(2, count(*)) AS INT) AS g FROM lineitem WHERE l_partkey % 40 % 3 <> l_linenumber % 3 GROUP BY 1, 2, 3) "
+
+
+@query("cohort_merge_list", COHORTS + "SELECT CAST(v.v AS INT) AS var_idx, CAST(c.c * 4 + s.s AS INT) AS place, CAST(coalesce(g.g, 0) AS INT) AS g FROM (SELECT DISTINCT v FROM g) v, range(3) c(c), range(4) s(s) LEFT JOIN g ON g.v = v.v AND g.cohort = c.c AND g.s = s.s")
+def _(s, d):
+    """Three cohorts of four samples, each without a third of the variants."""
+    part, line = F.col("l_partkey") % 40, F.col("l_linenumber") % 3
+    own = _t(s, d, "lineitem").where(part % 3 != line).groupBy(part.cast("int").alias("var_idx"), line.alias("cohort"), (F.col("l_suppkey") % 4).cast("int").alias("s")).agg(F.least(F.lit(2), F.count(F.lit(1))).cast("int").alias("g"))
+    wide = own.groupBy("var_idx", "cohort").pivot("s", [0, 1, 2, 3]).agg(F.first("g")).select("var_idx", "cohort", F.array(*[F.coalesce(F.col(str(k)), F.lit(0)) for k in range(4)]).alias("g"))
+    parts = [wide.where(F.col("cohort") == k).drop("cohort") for k in range(3)]
+    return G.merge_cohort_list(parts, [4, 4, 4], ["var_idx"]).select("var_idx", F.posexplode("g").alias("place", "g"))
+
+
+@query("weights_by_scaled_inverse", "SELECT * FROM (SELECT 0 AS feature, round((d * u - b * w) / (a * d - b * b), 6) AS beta FROM (SELECT sum(CAST(0.25 AS DOUBLE)) a, sum(0.25 * z) b, sum(0.25 * z * z) d, sum(y - 0.5) u, sum(z * (y - 0.5)) w FROM (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(1 AS DOUBLE) ELSE 0 END AS y, c_acctbal / 10000 AS z FROM customer)) UNION ALL SELECT 1, round((a * w - b * u) / (a * d - b * b), 6) FROM (SELECT sum(CAST(0.25 AS DOUBLE)) a, sum(0.25 * z) b, sum(0.25 * z * z) d, sum(y - 0.5) u, sum(z * (y - 0.5)) w FROM (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(1 AS DOUBLE) ELSE 0 END AS y, c_acctbal / 10000 AS z FROM customer)))")
+def _(s, d):
+    """A step of the null model whose inverse travels scaled and padded."""
+    import numpy as np
+
+    from siteweave.operators import models as L
+    from siteweave.plans.catalog import _subjects
+
+    r = L.irls_moments(_subjects(s, d), [0.0, 0.0], by=[]).first()
+    z = L.eliminated(np.array([[r["xtwx_0_0"], r["xtwx_0_1"]], [r["xtwx_0_1"], r["xtwx_1_1"]]]))
+    beta = L.scaled_inverse(z, np.array([r["xtwz_0"], r["xtwz_1"]]))
+    return s.createDataFrame([(k, round(float(b), 6)) for k, b in enumerate(beta)], "feature int, beta double")
+
+
 @query("track_bins_by_region", f"SELECT CAST(i AS INT) AS region, sum(v) AS total, count(*) AS n FROM {SMOOTH}, range(4) t(i) WHERE pos BETWEEN i * 50 + 1 AND i * 50 + 50 GROUP BY i")
 def _(s, d):
     """Totals by region, of all chromosomes together."""
