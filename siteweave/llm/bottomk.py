@@ -85,32 +85,51 @@ def sketches(docs: DataFrame, text: str = "text", k: int = K, words: int = WORDS
 
 
 def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (id, text) dealt by ranges of id, descending: (part, trail, id, text). Each part ends with the row that follows its last one, marked trail; after the last row comes the first."""
-    ids = docs.select(F.coalesce("id", F.lit(LEAST)).alias("key"))
-    cuts = ids.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] if parts > 1 else []
-    cuts = np.unique(np.asarray(cuts or [], np.int64))
+    """docs (id, text) dealt by ranges, ids descending, texts of an id ascending: (part, trail, id, text). Each part ends with the row that follows its last one, marked trail; after the last row comes the first.
+
+    Ranges end at quantiles of the ids. An id that several quantiles fall on is cut further, at quantiles of its texts'
+    first seven bytes as a number.
+    """
+    first_bytes = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = docs.select("id", "text", F.coalesce("id", F.lit(LEAST)).alias("key"), first_bytes.alias("at"))
+    got = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] if parts > 1 else []
+    cuts, times = np.unique(np.asarray(got or [], np.int64), return_counts=True)
+    hot = {int(c): int(m) for c, m in zip(cuts, times, strict=True) if m > 1}
+    inner: dict[int, np.ndarray] = {}
+    if hot:
+        each = rows.where(F.col("key").isin(list(hot))).groupBy("key").agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 100 * parts).alias("q"))
+        for r in each.collect():  # at most half as many ids as parts
+            q = np.asarray(r["q"], np.int64)
+            inner[r["key"]] = np.unique(q[np.linspace(0, len(q) - 1, hot[r["key"]] + 1).astype(int)[1:-1]])
+    # ranges by upper end, the greatest first; a hot id's rows lie in the first parts of its range, what is below it in the last
+    sizes = np.array([1, *[1 + len(inner.get(int(c), ())) for c in cuts[::-1]]], np.int64)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+
+    def number(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = len(cuts) - np.searchsorted(cuts, key, side="left")
+        out = begin[k] + sizes[k] - 1
+        for c, q in inner.items():
+            own = key == c
+            out[own] = begin[k[own]] + np.searchsorted(q, at[own], side="left")
+        return out.astype(np.int32)
 
     @F.pandas_udf(IntegerType())
-    def part(key: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, key.to_numpy(np.int64), side="left"), dtype="int32")
+    def part(key: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(number(key.to_numpy(np.int64), at.to_numpy(np.int64)), dtype="int32")
 
-    first = {r["part"]: r["key"] for r in ids.groupBy(part("key").alias("part")).agg(F.max("key").alias("key")).collect()}
-    order = sorted(first)
-    # the least part has the greatest ids; a part's head also goes to the part before it
-    heads = np.array([first[p] for p in order], np.int64)
-    at = np.argsort(heads)
-    heads, to = heads[at], np.array([order[k - 1] for k in range(len(order))], np.int32)[at]
+    # a part's head: of its greatest id the least text's bytes; rows that share both are told apart by their order only
+    heads = rows.groupBy(part("key", "at").alias("part")).agg(F.max(F.struct("key", (-F.col("at")).alias("at"))).alias("head")).collect()
+    order = sorted(r["part"] for r in heads)
+    before = {p: order[k - 1] for k, p in enumerate(order)}
+    to = {(r["head"]["key"], -r["head"]["at"]): before[r["part"]] for r in heads}
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def parts_of(key: pd.Series) -> pd.Series:
-        x = key.to_numpy(np.int64)
-        own = (len(cuts) - np.searchsorted(cuts, x, side="left")).tolist()
-        where = np.searchsorted(heads, x)
-        return pd.Series([[p, int(to[w])] if w < len(heads) and heads[w] == v else [p] for p, w, v in zip(own, where.tolist(), x.tolist(), strict=True)])
+    def parts_of(key: pd.Series, at: pd.Series) -> pd.Series:
+        own = number(key.to_numpy(np.int64), at.to_numpy(np.int64)).tolist()
+        return pd.Series([[p, t] if (t := to.get(x)) is not None else [p] for p, x in zip(own, zip(key.tolist(), at.tolist(), strict=True), strict=True)])
 
-    dealt = docs.select("id", "text", F.coalesce("id", F.lit(LEAST)).alias("key"))
-    dealt = dealt.select("id", "text", "key", F.posexplode(parts_of("key")).alias("trail", "part"))
-    return dealt.repartitionById(max(1, len(cuts) + 1), F.col("part")).sortWithinPartitions("part", "trail", F.desc("key"), F.asc("text"))
+    dealt = rows.select("id", "text", "key", F.posexplode(parts_of("key", "at")).alias("trail", "part"))
+    return dealt.repartitionById(max(1, int(begin[-1])), F.col("part")).sortWithinPartitions("part", "trail", F.desc("key"), F.asc("text"))
 
 
 def edited(text: str, other: str) -> str:
@@ -120,16 +139,20 @@ def edited(text: str, other: str) -> str:
 
 
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_distinct per row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_distinct, contained_edited, contained_next per row.
+
+    n_distinct estimates the number of distinct shingles, contained_* the part of the text's shingles that the edited
+    text, the next document, has.
 
     The next document is that of the next lower id, after the least one that of the greatest; equal ids follow each other
     by their texts, null ids come last. A single document is its own next. Null texts are empty. Each task gets a
-    range of ids, sorted, and the row after its last; nothing else is moved. Other columns are not looked at.
+    range of rows, sorted, and the row after its last; an id of very many rows is several ranges. Nothing else is moved.
+    Other columns are not looked at.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _neighbours(docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")), parts)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "contained_edited", "contained_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 5]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -149,11 +172,11 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
                 new = edited(before[1], own)
                 other = sketch(new, k, words)
                 digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                row = (before[0], len(before[1]), digest, written(before[2]), written(other), resemblance(before[2], other, k), resemblance(before[2], now[2], k), distinct(before[2], k))
+                row = (before[0], len(before[1]), digest, written(before[2]), written(other), resemblance(before[2], other, k), resemblance(before[2], now[2], k), distinct(before[2], k), containment(before[2], other, k), containment(before[2], now[2], k))
                 for c, value in zip(cols, row, strict=True):
                     c.append(value)
                 before = None if trails[n].as_py() else now
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_edited double, contained_next double"
     return rows.select("id", "text", "trail", "part").mapInArrow(compare, schema)
