@@ -32,14 +32,14 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None = None, date: str = DATE) -> bytes:
-    """One record as a gzip member. A revisit's block holds the HTTP header of the full payload only."""
+    """One record as a gzip member. A revisit's block holds the HTTP header of the full payload only. Record ids follow from kind, page and digest, so that a revisit can name its response; rows that repeat all three share one."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    own = lambda p, d: f"<urn:uuid:{uuid5(NAMESPACE_URL, f'page:{p}:{d}')}>"
+    own = lambda k, p: f"<urn:uuid:{uuid5(NAMESPACE_URL, f'{k}:page:{p}:{digest}')}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {own(page, f'{kind}:{url}:{digest}')}",
+        f"WARC-Record-ID: {own(kind, page)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or 'urn:x-unknown', safe=';/?:@&=+$,#%[]!*()~')}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
@@ -48,7 +48,7 @@ def record(kind: str, page: int | None, url: str | None, payload: bytes, digest:
     if page is not None:
         head.append(f"X-Page-ID: {page}")
     if kind == "revisit":
-        head += [f"WARC-Profile: {SAME}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {SAME}", f"WARC-Refers-To: {own('response', refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
@@ -147,14 +147,14 @@ def _write(folder: str) -> Callable:
         held, size, count, number, done = [], 0, 0, 0, []
 
         def flush() -> None:
-            """A whole archive under a name of its own, then renamed: a task run twice leaves one."""
+            """A whole archive, renamed once it is written. Its name holds the attempt: a task run twice never writes over its other run, and only one run's list counts."""
             nonlocal held, size, count, number
             if held:
-                name = f"part-{part:06d}-{number:05d}.warc.gz"
-                with place.open_output_stream(f"{root}/.{name}.{attempt}", compression=None) as out:
+                name = f"part-{part:06d}-{number:05d}-{attempt}.warc.gz"
+                with place.open_output_stream(f"{root}/.{name}", compression=None) as out:
                     for x in held:
                         out.write(x)
-                place.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+                place.move(f"{root}/.{name}", f"{root}/{name}")
                 done.append((f"{folder}/{name}", count, size))
                 held, size, count, number = [], 0, 0, number + 1
 
@@ -174,7 +174,7 @@ def _write(folder: str) -> Callable:
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 100) -> DataFrame:
-    """Write a record per row into archives in `folder`; their list (path, records, bytes).
+    """Write a record per row into archives in `folder`; their list (path, records, bytes), which alone says what counts.
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest page_id are responses and the others
     revisits; smaller ones are all responses, and so are rows with a null page_id. Null payloads are empty. Which rows
