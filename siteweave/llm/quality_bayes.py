@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType
 from siteweave.llm import _logit
 from siteweave.llm._common import materialize
 
-#: Labelled rows that the document classifier is fitted on, at most.
+#: Labelled rows that the document classifier is fitted on, at most: one of each labelled id.
 SAMPLE = 20_000
 #: Part of the site's log odds that counts: the sites' rates stem from the same classifier, not from labels.
 SITE_WEIGHT = 0.25
@@ -76,7 +76,7 @@ class Model(NamedTuple):
         """Log likelihood ratios: log odds less those of the sample."""
         if not len(texts):
             return np.zeros(0)
-        x = (np.stack([features(t) for t in texts]) - self.mean) / self.scale
+        x = np.clip((np.stack([features(t) for t in texts]) - self.mean) / self.scale, -30, 30)
         return np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30) - np.log(self.rate / (1 - self.rate))
 
 
@@ -85,6 +85,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & learn)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # so many rows at most are broadcast
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(own), "doc_id")
+    # of a repeated id the row whose text has the least hash
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r")).select("r.text", "r.y")
 
     def described(frames):
         for f in frames:
