@@ -8,7 +8,7 @@ steps are made when first needed. Words of five letters or more match within one
 stems match exactly, as beginnings. Tokens that clean rows hold are never misspellings.
 
 Each hit is weighed by its context: a window of WINDOW tokens around it that quotes it (quotation marks open and close
-around it, or it is reported with a colon) turns a hit into a quotation. Hits, misspelt hits and quotations are added
+around it) turns a hit into a quotation. Hits, misspelt hits and quotations are added
 with weights chosen by likelihood; a logistic model of that sum gives the score.
 """
 
@@ -29,10 +29,8 @@ from siteweave.llm import _logit
 from siteweave.llm._common import materialize
 from siteweave.llm.bottomk import sketch
 
-#: Labelled rows that are learnt from, at most.
+#: Labelled rows that are learnt from, at most: one of each labelled id. Their texts bound the lexicon too.
 SAMPLE = 20_000
-#: Lexicon entries at most: those of the strongest evidence.
-ENTRIES = 4_000
 WINDOW = 8
 #: Evidence (a log likelihood ratio) from which a hit counts fully.
 SURE = 25.0
@@ -252,6 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & from_rows)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # so many rows at most are broadcast
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(own), "doc_id")
+    # of a repeated id the row whose text has the least hash
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r")).select("doc_id", "r.text", "r.y")
     rows = materialize(_distinct(materialize(rows, "labelled")).select("y", "text"), "labelled")
     terms = rows.mapInPandas(_terms, "term string, stem boolean, y int, n long, forms array<string>").groupBy("term", "stem")
     terms = materialize(terms.agg(
@@ -266,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "
         p = (F.col("t") + 0.1) / (F.col("t") + F.col("c") + 0.2)
         gain = F.col("t") * F.log(p / base) + F.col("c") * F.log((1 - p) / (1 - base))
         strong = terms.where("term <> ''").select("term", "stem", "forms", "t", p.alias("p"), gain.alias("gain")).where((F.col("p") > 0.9) & (F.col("gain") > np.log(terms.count()) + 3))
-        got = strong.orderBy(F.desc("gain"), "term", "stem").limit(ENTRIES).collect()
+        got = strong.orderBy(F.desc("gain"), "term", "stem").collect()
         for r in sorted(got, key=lambda r: (len(r["term"]), r["term"])):
             if r["stem"] and r["forms"] >= 4 and not any(r["term"][:k] in stems for k in range(4, len(r["term"]))):
                 stems[r["term"]] = r["gain"]
@@ -293,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, from_rows: Column, doc_id: str = "
                 words[r["term"]] = max(words.get(r["term"], 0.0), stems[s])
     # what clean rows hold within the reach of an entry is no misspelling
     raw = Lexicon(words, stems, frozenset())
-    clean = rows.where("y = 0").select("text").mapInPandas(_near(raw), "term string").distinct().limit(100_000).collect()
+    clean = rows.where("y = 0").select("text").mapInPandas(_near(raw), "term string").distinct().collect()
     lexicon = Lexicon(words, stems, frozenset(r["term"] for r in clean))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
