@@ -154,6 +154,82 @@ def test_sparse_sites_shrink_more(spark):
     assert got["c"] < got["d"] < got["a"] < got["b"]
 
 
+def test_site_rates_by_brute_force(spark):
+    """Shrunk rates from the formulas, host by host and path by path."""
+    rng = np.random.default_rng(12)
+    rows = [(f"h{h}" if h else None, f"p{p}", float(np.clip(rng.normal(0.2 + 0.15 * h + 0.05 * p, 0.2), 0.01, 0.99))) for h in range(5) for p in range(4) for _ in range(int(rng.integers(1, 40)))]
+    v = lambda x: x * (1 - x)
+
+    def strength(groups):
+        """Of (n, rate, rate above): by the spread beyond sampling."""
+        part = max(0.0, (sum(n * (r - u) ** 2 for n, r, u in groups) - sum(v(u) for _, _, u in groups)) / sum(n * v(u) for n, _, u in groups))
+        return min(10_000.0, max(1.0, 1 / part - 1)) if part > 0 else 10_000.0
+
+    total = sum(p for *_, p in rows) / len(rows)
+    hosts = {h: [p for x, _, p in rows if x == h] for h in {r[0] for r in rows}}
+    a = strength([(len(x), sum(x) / len(x), total) for x in hosts.values()])
+    host = {h: (sum(x) + a * total) / (len(x) + a) for h, x in hosts.items()}
+    paths = {k: [p for h, q, p in rows if (h, q) == k] for k in {r[:2] for r in rows}}
+    b = strength([(len(x), sum(x) / len(x), host[h]) for (h, _), x in paths.items()])
+    want = {(h, q): (sum(x) + b * host[h]) / (len(x) + b) for (h, q), x in paths.items()}
+    got = {(r["host"], r["path"]): r["path_rate"] for r in quality_bayes.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_quality_is_evidence_on_the_site(spark):
+    """Every row's quality from its evidence and its site's rate; a labelled id that repeats is learnt from once."""
+    docs, labels = labelled(spark)
+    docs = docs.withColumns({"source": F.concat(F.lit("s"), F.col("doc_id") % 3), "lang": F.lit("x")})
+    model = quality_bayes.train(docs.unionByName(docs), labels, ~quality_bayes.held_out())
+    once = quality_bayes.train(docs, labels, ~quality_bayes.held_out())
+    assert np.allclose(model.weights, once.weights) and model.rate == once.rate
+    odds = math.log(once.rate / (1 - once.rate))
+    for r in quality_bayes.classified(docs, once).collect():
+        z = r["__evidence"] + odds + quality_bayes.SITE_WEIGHT * (math.log(r["__site"] / (1 - r["__site"])) - odds)
+        assert r["__quality"] == pytest.approx(1 / (1 + math.exp(-z))) and r["__evidence"] == pytest.approx(float(once.evidence([r["text"]])[0]))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Hits by edit distances to every entry, quotations by the window's tokens, the score by the model's formula."""
+    docs, labels = labelled(spark)
+    model = toxicity_automata.learn(docs.unionByName(docs), labels, ~toxicity_automata.held_out())
+    lexicon, allowed = model.lexicon, toxicity_automata.Automaton.allowed
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def found(w):
+        if begun := [x for x in lexicon.stems if w.startswith(x)]:
+            return 0, max(begun, key=len)
+        near = min(((d, x) for x in lexicon.words if (d := distance(w, x)) <= allowed(x)), default=None)
+        return None if near is None or near[0] and w in lexicon.clean else near
+
+    def counts(t):
+        out, low = [0.0, 0.0, 0.0], t.lower()
+        at = [m.span() for m in toxicity_automata.TOKEN.finditer(low)]
+        for k, (a, b) in enumerate(at):
+            if hit := found(low[a:b]):
+                left, right = low[at[max(0, k - 8)][0] : a], low[b : at[min(len(at) - 1, k + 8)][1] + 1]
+                inside = left.count('"') % 2 == 1 and '"' in right
+                gain = lexicon.words.get(hit[1]) or lexicon.stems[hit[1]]
+                out[2 if inside else 1 if hit[0] else 0] += min(1.0, gain / toxicity_automata.SURE)
+        return out
+
+    texts = [(k, t) for k, t in enumerate(["you stupid idiot", "a quiet river", 'he said "you moron" and left', "stuped idi0t morons", "", "moron " * 30, 'x "idiot'])]
+    rows = spark.createDataFrame(texts, SCHEMA)
+    got = {r["doc_id"]: r["s"] for r in rows.select("doc_id", toxicity_automata.scores(rows, model).alias("s")).collect()}
+    for k, t in texts:
+        n = counts(t)
+        s = n[0] + model.misspelt * n[1] + model.quoted * n[2]
+        z = model.weights[0] * min(1, s) + model.weights[1] * math.log1p(s) + model.weights[2]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, z)))))
+
+
 def test_toxicity_finds_words_misspellings_and_spares_quotes(spark, odd, none):
     docs, labels = labelled(spark)
     got = toxicity_automata.judged(docs, labels).collect()
@@ -242,6 +318,28 @@ def test_packing_is_whole_and_tight(spark, odd, none):
     assert genetic_packing.packed_documents(none).count() == 0
 
 
+def test_the_genetic_step_beats_best_fit():
+    """Triplets that fill bins exactly, on which best fit decreasing wastes bins."""
+    import random
+
+    saved = 0
+    for seed in range(4):
+        rng, lens = random.Random(seed), []
+        for _ in range(30):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1000 - a) // 2)
+            lens += [a, b, 1000 - a - b]
+        first = genetic_packing.Bins(lens, 1000)
+        first.add(list(range(len(lens))))
+        best = genetic_packing.evolve(lens, 1000, seed, children=200)
+        assert sorted(x for b in best for x in b) == list(range(len(lens))) and all(sum(lens[x] for x in b) <= 1000 for b in best)
+        better = genetic_packing.evolve(lens, 1000, seed + 99, [best, first.bins], children=50)
+        assert len(better) <= len(best) <= len(first.bins)
+        saved += len(first.bins) - len(best)
+    assert saved >= 4
+    assert genetic_packing.evolve([5, 5, 5], 10, 1) and genetic_packing.evolve([], 10, 1) == []
+
+
 def test_parts_have_the_ids_of_the_whole():
     from tokenizers import Tokenizer
 
@@ -318,6 +416,21 @@ def test_simhash_links(spark, odd, none):
 # ---- 7 ----
 
 
+def test_rows_of_a_hot_id_are_several_ranges(spark):
+    """Half of the rows have no id, a fifth share one: the order is the same as in one task."""
+    rng = np.random.default_rng(13)
+    texts = [(None if k % 2 else 7 if k % 5 == 0 else k, " ".join(rng.choice(["ab", "cd", "e", "fgh", "ij"], int(rng.integers(0, 9))))) for k in range(400)]
+    rows = bottomk._neighbours(spark.createDataFrame(texts, SCHEMA).select(F.col("doc_id").alias("id"), "text"), 16)
+    sizes = [r["n"] for r in rows.where("trail = 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 400 and len(sizes) > 9 and max(sizes) < 120
+    order = sorted(((d if d is not None else -(1 << 63), t) for d, t in texts), key=lambda x: (-x[0], x[1]))
+    want = Counter()
+    for (d, t), (_, o) in zip(order, order[1:] + order[:1]):
+        n = len(t) // 3
+        want[d if d >= 0 else None, hashlib.sha256((t[: len(t) - n] + o[:n]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in bottomk.compared(spark.createDataFrame(texts, SCHEMA)).collect()) == want
+
+
 def test_sketches(spark, odd, none):
     def shingles(t):
         w = t.encode().lower().split()
@@ -339,6 +452,16 @@ def test_sketches(spark, odd, none):
     assert bottomk.resemblance(x, y) == pytest.approx(len(sa & sb) / len(sa | sb), abs=0.1)
     assert bottomk.containment(x, y) == pytest.approx(len(sa & sb) / len(sa), abs=0.12)
     assert bottomk.distinct(x) == pytest.approx(len(sa), rel=0.2)
+    short = [(k, " ".join(str(x) for x in rng.integers(0, 40, 2 * k))) for k in range(60)]  # up to 256 shingles all is exact
+    rows = {r["doc_id"]: r for r in bottomk.compared(spark.createDataFrame(short, SCHEMA)).collect()}
+    for k, t in short:
+        o = short[k - 1][1]
+        n = len(t) // 3
+        own, new, after = shingles(t), shingles(t[: len(t) - n] + o[:n]), shingles(o)
+        like = lambda p, q: len(p & q) / len(p | q) if p | q else 1.0
+        part = lambda p, q: len(p & q) / len(p) if p else 1.0
+        want = [like(own, new), like(own, after), len(own), part(own, new), part(own, after)]
+        assert [rows[k][c] for c in ("near_edited", "near_next", "n_distinct", "contained_edited", "contained_next")] == pytest.approx(want)
     half = bottomk.merged(bottomk.sketch(" ".join(a.split()[:1500])), bottomk.sketch(" ".join(a.split()[1496:])))
     assert half.tolist() == x.tolist() and bottomk.read(bottomk.written(x)).tolist() == x.tolist()
 

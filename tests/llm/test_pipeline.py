@@ -48,6 +48,35 @@ def test_stages(spark, tables):
     assert any(re.search(r"\[assign\]", r["text"] or "") for r in four)
 
 
+def test_rows_are_decided_one_by_one(spark, tables):
+    """Null and repeated ids, repeated rows, ties, and columns named as the stages' own."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 300")
+    good, junk, toxic = ({r["doc_id"]: r["text"] for r in docs.where("doc_id IN (1, 5, 7)").collect()}[k] for k in (1, 5, 7))
+    secret = 'token = "0123456789abcdef0123" and more words here'
+    texts = [(None, good), (None, junk), (None, toxic), (1, junk), (1, good + " one more word"), (1, good + " one more word"), (7, good + " two other words at the end"), (None, secret), (None, None), (3, "")]
+    rows = spark.createDataFrame([(d, t, "s1", "en", k) for k, (d, t) in enumerate(texts)], "doc_id long, text string, source string, lang string, k int")
+    rows = rows.unionByName(docs.where("doc_id NOT IN (1, 3, 7)").select("doc_id", "text", "source", "lang", (F.col("doc_id") + 1000).cast("int").alias("k")))
+    clash = ["__row", "__set", "__n", "__prefix", "__bits", "__of", "__spans", "__merged", "__quality", "__toxicity", "__evidence", "root", "first", "key", "kept_0"]
+    rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), *[F.col("k").alias(c) for c in clash])
+    stage = dict(pipeline.STAGES)
+    left = {}
+    for name in ("quality", "toxicity", "near_duplicates", "secrets"):
+        got = stage[name](spark, rows, tables)
+        assert got.columns == rows.columns
+        out = got.collect()
+        assert all(r[c] == r["k"] for r in out for c in clash)
+        left[name] = {r["k"] for r in out if r["k"] < 1000}
+        if name == "secrets":
+            assert {r["k"]: r["text"] for r in out if r["k"] < 1000} == {k: '[assign]" and more words here' if t == secret else t for k, (_, t) in enumerate(texts)}
+    every = set(range(len(texts)))
+    assert not left["quality"] & {1, 3} and {0, 4, 5, 6} <= left["quality"]
+    assert left["toxicity"] == every - {2} and left["secrets"] == every
+    # of each group the least id stays, null ids last: 4 of 0, 4, 5, 6 (5 repeats 4), 3 of 1 and 3, 9 of the texts without words
+    assert left["near_duplicates"] == {2, 3, 4, 7, 9}
+    packed = stage["packing"](spark, rows.where("k < 1000"), tables).collect()
+    assert sorted({str(r["doc_id"]) for r in packed}) == sorted({str(d) for d, _ in texts}) and len(packed) == len(texts)
+
+
 def test_run_packs_what_is_left(spark, tables):
     rows = pipeline.run(spark, tables).collect()
     assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 2048) + 1
