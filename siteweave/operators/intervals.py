@@ -60,8 +60,9 @@ def without_overlap(a: DataFrame, b: DataFrame, bin_size: int | None = None) ->
     return a.withColumn("__id", F.struct("chrom", "start", "end")).join(hit, "__id", "left_anti").drop("__id")
 
 
-def _tiled(a: DataFrame, tile: int) -> DataFrame:
-    return a.withColumn("__tile", F.floor(F.col("start") / tile))
+def _tiled(a: DataFrame, tile: int, keys: list[str]) -> DataFrame:
+    """Dealt by tile once: the aggregates of tiles and the windows over them read the same exchange."""
+    return a.withColumn("__tile", F.floor(F.col("start") / tile)).repartition(*keys, "__tile")
 
 
 def _carried(tiled: DataFrame, keys: list[str], sums: dict[str, tuple[Column, Column]], after: bool = False) -> DataFrame:
@@ -79,7 +80,7 @@ def _carried(tiled: DataFrame, keys: list[str], sums: dict[str, tuple[Column, Co
 def merge(a: DataFrame, gap: int = 0, by: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
     """(chrom, ..., start, end, n): regions no further apart than gap fused. by: further columns that separate, as strand."""
     keys = ["chrom", *by]
-    own = _carried(_tiled(a.select(*keys, "start", "end"), tile), keys, {"__far": (F.max("end"), F.max)})
+    own = _carried(_tiled(a.select(*keys, "start", "end"), tile, keys), keys, {"__far": (F.max("end"), F.max)})
     w = Window.partitionBy(*keys, "__tile").orderBy("start", "end")
     far = F.greatest("__far", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     opens = F.when(F.col("start") <= far + gap, F.lit(None)).otherwise(F.col("start"))
@@ -153,7 +154,7 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str, tile: int = TILE) ->
     cols = lambda df, side, k: df.select("chrom", "start", "end", F.lit(side).alias("side"), k.alias("k"))
     both = cols(a, 1, F.col(key)).unionByName(cols(b, 0, F.lit(None).cast(a.schema[key].dataType)))
     end, start = (F.when(F.col("side") == 0, F.col(c)) for c in ("end", "start"))
-    both = _carried(_tiled(both, tile), ["chrom"], {"__left": (F.max(end), F.max)})
+    both = _carried(_tiled(both, tile, ["chrom"]), ["chrom"], {"__left": (F.max(end), F.max)})
     both = _carried(both, ["chrom"], {"__right": (F.min(start), F.min)}, after=True)
     before = Window.partitionBy("chrom", "__tile").orderBy("start", "side").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("chrom", "__tile").orderBy(F.desc("start"), "side").rowsBetween(Window.unboundedPreceding, 0)
@@ -168,14 +169,14 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str, tile: int = TILE) ->
 def gaps(a: DataFrame, tile: int = TILE) -> DataFrame:
     """(chrom, start, gap): distance of each region from the one before it on its chromosome, by start."""
     last = F.max(F.struct("start", "end"))
-    own = _carried(_tiled(a, tile), ["chrom"], {"__last": (last, F.max)})
+    own = _carried(_tiled(a, tile, ["chrom"]), ["chrom"], {"__last": (last, F.max)})
     w = Window.partitionBy("chrom", "__tile").orderBy("start", "end")
     return own.withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(w), F.col("__last.end"))).where("gap IS NOT NULL").select("chrom", "start", "gap")
 
 
 def cumulative_ends(a: DataFrame, tile: int = TILE) -> DataFrame:
     """With the greatest end so far and the least start from here on, by position: the latter is the region's own."""
-    own = _carried(_tiled(a, tile), ["chrom"], {"__far": (F.max("end"), F.max)})
+    own = _carried(_tiled(a, tile, ["chrom"]), ["chrom"], {"__far": (F.max("end"), F.max)})
     w = Window.partitionBy("chrom", "__tile").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     return own.withColumn("cumul_end", F.greatest("__far", F.max("end").over(w))).withColumn("cumul_start", F.col("start")).drop("__far", "__tile")
 
