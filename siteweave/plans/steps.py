@@ -9,6 +9,7 @@ protect nothing. Block sizes of variants are accepted and not needed: a step tre
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 import numpy as np
@@ -502,6 +503,31 @@ def _(s, gmmat, features, phenotypes, sites, out, seed="1"):
     parts.unpersist()
 
 
+# ---- key material: random text keys for the built-in AES functions; archives come from any file system that Spark reaches ----
+
+
+command("generate_openssl_hash")(lambda s, size="32": secrets.token_hex(int(size)))
+
+
+@command("generate_DSK_encryption_key")
+def _(s, out):
+    """A random key of 32 characters."""
+    s.createDataFrame([(secrets.token_hex(16),)], "value string").coalesce(1).write.mode("overwrite").text(out)
+
+
+@command("download_DSK_archive")
+def _(s, source, out):
+    """A copy of a folder or file."""
+    (a, x), (b, y) = X._fs(s, source), X._fs(s, out)
+    s.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(a, x, b, y, False, s.sparkContext._jsc.hadoopConfiguration())
+
+
+@command("decrypt_site_DSK")
+def _(s, sealed, column, key_file, out):
+    """A site's shares of the key, sealed under the key of a file."""
+    E.unsealed(s.read.parquet(sealed), column, names_in(s, key_file)[0]).write.mode("overwrite").parquet(out)
+
+
 # ---- soft K-means by sites: points are (row, col, v) of a matrix ----
 
 
@@ -559,6 +585,14 @@ def _(s, points, centroids, iterations, out):
     save(M.Matrix(s.createDataFrame(cells, "row int, col int, v double"), len(got), len(got[0])), out)
 
 
+@command("plot_results")
+def _(s, points, centroids, out):
+    """What a plot shows: (row, x, centroid, distance) of each point and the centroid closest to it."""
+    cs = _centroids(s, centroids)
+    d2 = [F.struct(F.sqrt(F.aggregate(F.zip_with("v", L._array(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)).alias("distance"), F.lit(k).alias("centroid")) for k, c in enumerate(cs)]
+    load(s, points).rows().select("row", F.col("v").alias("x"), F.array_min(F.array(*d2)).alias("n")).select("row", "x", "n.centroid", "n.distance").write.mode("overwrite").parquet(out)
+
+
 @command("run_FedGWAS")
 def _(s, gmmat, features, phenotypes, sites, epochs, shared, private):
     """The whole study in one process: split by site, the null model's steps in turn, then the tests."""

@@ -143,6 +143,11 @@ def test_checks_and_exchange(spark, study, tmp_path):
     run(spark, "-symmetric_encrypt_partdec_data", t("plain"), "share", "0123456789abcdef", t("sealed"))
     run(spark, "-symmetric_decrypt_partdec_data", t("sealed"), "share", "0123456789abcdef", t("open"))
     assert spark.read.parquet(t("open")).first()["share"] == 2.5
+    run(spark, "-generate_DSK_encryption_key", t("key"))
+    run(spark, "-symmetric_encrypt_partdec_data", t("plain"), "share", spark.read.text(t("key")).first()["value"], t("dsk"))
+    run(spark, "-download_DSK_archive", t("dsk"), t("dsk2"))
+    run(spark, "-decrypt_site_DSK", t("dsk2"), "share", t("key"), t("dsk3"))
+    assert spark.read.parquet(t("dsk3")).first()["share"] == 2.5 and len(run(spark, "-generate_openssl_hash", "16")) == 32
     run(spark, "-clean_shared_directory", t("shared"))
     assert not X.exists(spark, t("shared"))
 
@@ -167,12 +172,15 @@ def test_kmeans_by_options(spark, tmp_path):
     w = np.exp(-0.2 * ((x[:, None] - np.array(centres)[None]) ** 2).sum(-1))
     want = (w.T @ x) / w.sum(0)[:, None]
     assert got == pytest.approx({(i, j): want[i, j] for i in range(2) for j in range(2)})
+    run(spark, "-plot_results", t("x1"), t("c"), t("plot"))
+    near = {r["row"]: r["centroid"] for r in spark.read.parquet(t("plot")).collect()}
+    assert near == {k: int(((p - np.array(centres)) ** 2).sum(1).argmin()) for k, p in enumerate(parts[1])}
 
 
 def test_run_whole_study(spark, study, tmp_path):
     """Split by site, fitted and tested: the result does not depend on the split."""
     files, data, geno = study
-    _, want = expected(spark, data.where("site = 1"), geno.where("subject_idx LIKE 's1%'"), 2)
-    got = run(spark, "-run_FedGWAS", *files[1], "2", "2", str(tmp_path / "shared"), str(tmp_path / "private"))
+    _, want = expected(spark, data.where("site = 1"), geno.where("subject_idx LIKE 's1%'"), 1)
+    got = run(spark, "-run_FedGWAS", *files[1], "2", "1", str(tmp_path / "shared"), str(tmp_path / "private"))
     assert {r["var_idx"]: r["chisq"] for r in got.collect()} == pytest.approx({v: c for v, (c, _) in want.items()}, rel=1e-4)
     assert len(COMMANDS) > 170
