@@ -8,19 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python: 10,000 (Spark's default) of very long texts would not fit a worker.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = "500"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller batches for this session, unless it has set their size itself."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local session, as in tests) a folder of this machine is chosen and set.
+    Only where that is unset in a local session, as in tests, a folder of this machine is chosen and set; on any other
+    master ValueError is raised, as executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+
         root = tempfile.mkdtemp(prefix="siteweave-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -35,18 +52,48 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: no lineage, no second computation."""
+#: Makes Spark remove the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, what: str = "table", tasks: int | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: no lineage, no second computation.
+
+    What is written is all that is read again, so the shuffle files of the write go with it. tasks: so many tasks and
+    files at most, for tables that are known to be small.
+    """
+    df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    bounded_batches(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path := fresh_path(spark, what))
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def pair_blocks(df: DataFrame, key: str, item: str, size: int) -> DataFrame:
-    """Rows (task, items): together they bring every two items of a key into one row, no row holding over ~2*size.
+def tasks_for(rows: int, each: int) -> int:
+    """Tasks of `each` rows."""
+    return max(1, -(-rows // each))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that no plan reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df._written_at)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dealt_pairs(df: DataFrame, key: str, item: str, size: int) -> DataFrame:
+    """Rows (task, shard, item): together the tasks bring every two items of a key together, none having over ~2*size.
 
     A key with more than `size` items is dealt by hash into shards; a task is a pair of shards (lo <= hi), so a hot
-    key becomes many bounded tasks. items: array of struct(shard, item); task: struct(key, lo, hi). Keys of one item go.
+    key becomes many bounded tasks. task: struct(key, lo, hi). Keys of one item go.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
@@ -54,14 +101,17 @@ def pair_blocks(df: DataFrame, key: str, item: str, size: int) -> DataFrame:
     dealt = df.join(counts.repartition(n), key).withColumn("__s", F.ceil(F.col("__n") / size).cast("int"))
     dealt = dealt.withColumn("__i", F.pmod(F.xxhash64(F.lit(7), F.col(item)), F.col("__s")).cast("int"))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__s") - 1)))
-    return (
-        dealt.select(
-            F.struct(F.col(key).alias("key"), F.least("__i", "__j").alias("lo"), F.greatest("__i", "__j").alias("hi")).alias("task"),
-            F.struct(F.col("__i").alias("shard"), F.col(item).alias("item")).alias("it"),
-        )
-        .groupBy("task")
-        .agg(F.collect_list("it").alias("items"))
-    )
+    task = F.struct(F.col(key).alias("key"), F.least("__i", "__j").alias("lo"), F.greatest("__i", "__j").alias("hi"))
+    return dealt.select(task.alias("task"), F.col("__i").alias("shard"), F.col(item).alias("item"))
+
+
+def pair_blocks(df: DataFrame, key: str, item: str, size: int) -> DataFrame:
+    """Rows (task, items) of dealt_pairs(), a row a task; items: array of struct(shard, item)."""
+    return dealt_pairs(df, key, item, size).groupBy("task").agg(F.collect_list(F.struct("shard", "item")).alias("items"))
+
+
+#: Edges of a task of components().
+EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -71,7 +121,8 @@ def components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder; minima combine before the shuffle, and joins on hubs can be split.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = materialize(edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).where("a < b").distinct(), "edges")
+    few = tasks_for(edges.count(), EDGES)
+    e = materialize(edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).where("a < b").distinct(), "edges", few)
     seen = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -81,10 +132,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("b").alias("u"), F.col("a").alias("v")).unionAll(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(n)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).distinct()
-        large = materialize(large, "edges")
+        large, old = materialize(large, "edges", few), e
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low.repartition(n), "b").select(F.col("a").alias("b"), F.col("m").alias("a")).where("a < b")
-        e = materialize(small.unionAll(low.select("b", F.col("m").alias("a"))).distinct(), "edges")
+        e = materialize(small.unionAll(low.select("b", F.col("m").alias("a"))).distinct(), "edges", few)
+        discard(large, old)
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(e.select(F.col("a"), F.col("a")).distinct())
 
 
