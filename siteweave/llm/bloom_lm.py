@@ -3,18 +3,20 @@
 Training counts words and word pairs of all training texts. Counts are quantised on a log scale; a filter holds, for an
 n-gram of level q, the q members (n-gram, 1) .. (n-gram, q), and reading probes level after level until one misses. A
 word has level 1 + floor(2 log2 c) and a pair 1 + floor(log2 c), so all that was seen is in; only if scored() is told to
-leave out pairs seen once (once=False) a pair has floor(log2 c). The filter is cut into slices by hash: a slice is counted and filled in one task from what all parts of
-the corpus send it, so no task and not the driver sees all n-grams. A slice has MEMBER_BITS bits for each member put
-into it, however many there are, so that the part of bits set (some 22 %) and of false hits (some 0.24 % a probe) is
-the same at all sizes. The filter is never in one place: texts are taken in chunks of some ASK tokens; a chunk sends
-each slice the distinct n-grams that it asks for, the slice answers with their levels, and the answers meet the chunk's
-tokens. Only the counts of at most HOT words are broadcast; counts of all other words meet their texts in a join.
+leave out pairs seen once (once=False) a pair has floor(log2 c). The filter is cut into slices by hash: a slice is
+counted and filled in one task from what all parts of the corpus send it, so no task and not the driver sees all
+n-grams. A slice has MEMBER_BITS bits for each member put into it, however many there are, so that the part of bits set
+(some 22 %) and of false hits (some 0.24 % a probe) is the same at all sizes.
+
+The filter is never in one place: texts are taken in chunks of some ASK tokens; a chunk sends each slice the distinct
+pairs and words that it asks for, the slice answers with the levels that its filter gives (and the exact counts of the
+words, for the base score), and the answers meet the chunk's tokens. Only the counts of at most HOT words are
+broadcast; these words need not be asked for.
 
 Scores: base uses the exact counts, P1(w) = (c + 0.1) / (N + 0.1 (V + 1)). The model interpolates:
-P(w | h) = L(h) q(h w) / c(h) + (1 - L(h)) P1'(w), where q is the least count of the pair's level, P1' is P1 with the
-word's quantised count and L(h) is MIX if the word before was seen in training (without pairs seen once: at least
-twice), else 0 (and at the beginning). As q(h w) never exceeds the true count, this sums to at most one over words but for the filter's rare false
-hits.
+P(w | h) = L(h) q(h w) / q(h) + (1 - L(h)) P1'(w), where q is the least count of a level (of a hot word its count), P1'
+is P1 with the word's q and L(h) is MIX if the word before was seen in training (without pairs seen once: at least
+twice), else 0 (and at the beginning). As q(h w) is cut to q(h), P(w | h) is at most one.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from siteweave.llm._common import materialize
 
 MEMBER_BITS = 16
 HOT = 150_000
+#: Bytes of a hot word at most.
+SHORT = 256
 HASHES = 4
 MIX = 0.3
 FLUSH = 1_500_000
 ASK = 750_000
-ROWS = 500
-KEY = 5  # bytes of a key within its slice, whose number is the key's top bits
+#: Bytes of a key within its slice, whose number is the key's top bits. A slice has some million n-grams at all sizes of the corpus, so two of them share a key in some 0.03 % of cases.
+KEY = 4
 LOW = np.uint64((1 << 8 * KEY) - 1)
 END = b"\n"  # no word holds white space
 
@@ -138,6 +142,30 @@ def word_key(h: np.ndarray) -> np.ndarray:
     return h ^ np.uint64(0x5851F42D4C957F2D & ((1 << 40) - 1))
 
 
+def bin_of(counts: np.ndarray) -> np.ndarray:
+    """Of the histogram of counts: eighths of their logarithm."""
+    return np.floor(8 * np.log2(counts)).astype(np.int32)
+
+
+def unpacked(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The words of a slice and their counts."""
+    names = zlib.decompress(words)
+    return names.split(b" ") if names else [], np.frombuffer(zlib.decompress(counts), "<u8").astype(np.int64)
+
+
+def _over(bound: int):
+    """Slices -> (word, c) of their short words whose count lies in the bin `bound` or above."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, n in zip(batch.column(0), batch.column(1), strict=True):
+                names, counts = unpacked(w.as_py(), n.as_py())
+                kept = [(names[k], int(counts[k])) for k in np.flatnonzero(bin_of(counts) >= bound).tolist() if len(names[k]) <= SHORT]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.binary()), pa.array([x[1] for x in kept], pa.int64())], names=["word", "c"])
+
+    return over
+
+
 class _Numbers(dict):
     """word -> number, given in order of appearance."""
 
@@ -168,6 +196,8 @@ def _count(slices: int):
         cols: list[list] = [[] for _ in range(6)]
         for s in range(slices):
             own, p = order[edge[s] : edge[s + 1]], slice(pair_edge[s], pair_edge[s + 1])
+            if s and not len(own) and p.start == p.stop:
+                continue
             cols[0].append(s)
             cols[1].append(b" ".join([names[k] for k in own.tolist()]))
             cols[2].append(counts[own].astype("<u4").tobytes())
@@ -194,7 +224,7 @@ def _count(slices: int):
 
 
 def _reduce(slices: int, once: bool):
-    """All rows of a slice -> its words with their counts, then its filter."""
+    """All rows of a slice -> its words and their counts, packed, a histogram of the counts, and its filter."""
     from collections import Counter
 
     from xxhash import xxh64_intdigest
@@ -214,20 +244,26 @@ def _reduce(slices: int, once: bool):
         own = within(word_key(np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))), slices)
         bits = filled(np.concatenate([own, keys[first]]), np.concatenate([word_level(counts), level]))
         docs = sum(x.as_py() for x in table["docs"])
-        n = len(names)
+        short = counts[np.fromiter((len(w) <= SHORT for w in names), bool, len(names))]
+        bins, sizes = np.unique(bin_of(short), return_counts=True)
         return pa.table(
             {
-                "slice": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-                "word": pa.array([*names, None], pa.binary()),
-                "c": pa.array([*counts.tolist(), docs], pa.int64()),
-                "bits": pa.array([*[None] * n, bits.tobytes()], pa.binary()),
+                "slice": pa.array([key[0].as_py()], pa.int32()),
+                "words": pa.array([zlib.compress(b" ".join(names), 1)], pa.binary()),
+                "counts": pa.array([zlib.compress(counts.astype("<u8").tobytes(), 1)], pa.binary()),
+                "bins": pa.array([bins.tolist()], pa.list_(pa.int32())),
+                "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())),
+                "distinct": pa.array([len(names)], pa.int64()),
+                "total": pa.array([int(counts.sum())], pa.int64()),
+                "docs": pa.array([docs], pa.int64()),
+                "bits": pa.array([bits.tobytes()], pa.binary()),
             }
         )
 
     return reduce
 
 
-ASKED = "chunk long, slice int, data binary, rid long, doc_id {}, held_out boolean, n_tokens long, hot_known long, base_hot double, words array<binary>, counts array<long>"
+ASKED = "chunk long, slice int, data binary, names binary, rid long, doc_id {}, held_out boolean"
 
 
 def _after(seq: np.ndarray) -> np.ndarray:
@@ -235,21 +271,26 @@ def _after(seq: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seq[:-1] != 0) + 1
 
 
-def _wanted(seq: np.ndarray, h: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, pairs, rare, rare_keys): all distinct keys that a chunk asks for, sorted; the keys of its pairs in order; its words that are not hot, and their keys."""
+def _wanted(seq: np.ndarray, h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, rare): the keys of a chunk's pairs in order, and its words that are not hot in the order of their slices."""
     after = _after(seq)
-    pairs = pair_hash(h[seq[after - 1]], h[seq[after]])
-    rare = np.flatnonzero(exact < 0)
-    own = word_key(h[rare])
-    return np.unique(np.concatenate([pairs, own])), pairs, rare, own
+    rare = np.flatnonzero(hot < 0)
+    return pair_hash(h[seq[after - 1]], h[seq[after]]), rare[np.argsort(h[rare] >> np.uint64(40), kind="stable")]
+
+
+def _hot(names: list[bytes], model: dict) -> np.ndarray:
+    """The count of each word if it is hot, else -1; the end comes first."""
+    out = np.fromiter((model["hot"].get(w, -1) for w in names), np.int64, len(names))
+    out[0] = model["ends"]
+    return out
 
 
 def _ask(model, kind: pa.DataType):
     """Texts -> a row for each, and for each chunk of them its tokens (slice -1) and what it asks of each slice."""
     from xxhash import xxh64_intdigest
 
-    names = ["chunk", "slice", "data", "rid", "doc_id", "held_out", "n_tokens", "hot_known", "base_hot", "words", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names = ["chunk", "slice", "data", "names", "rid", "doc_id", "held_out"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), kind, pa.bool_()]
 
     def rows_of(cols: dict) -> pa.RecordBatch:
         n = len(next(iter(cols.values())))
@@ -257,34 +298,33 @@ def _ask(model, kind: pa.DataType):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        hot, slices = m["hot"], m["slices"]
-        below = m["total"] + 0.1 * (m["distinct"] + 1)
+        slices = m["slices"]
         rid = TaskContext.get().partitionId() << 40
 
         def done() -> Iterator[pa.RecordBatch]:
             listed = list(numbers)
-            h = np.fromiter(map(xxh64_intdigest, listed), np.uint64, len(listed))
-            exact = np.fromiter((hot.get(w, -1) for w in listed), np.int64, len(listed))
-            exact[0] = m["ends"]
             seq, lengths = np.concatenate(seqs), np.fromiter(map(len, seqs), np.int64, len(seqs))
-            keys = _wanted(seq, h, exact)[0]
-            edge, low = cut(keys, slices), within(keys, slices)
-            data = [zlib.compress(pickle.dumps((rid, lengths.astype("<u4"), h, exact, seq), 5), 1)]
-            data += [sent_keys(low[edge[s] : edge[s + 1]]) for s in range(slices)]
-            yield rows_of({"chunk": [rid] * (slices + 1), "slice": list(range(-1, slices)), "data": data})
-            keys = low = data = None
-            bounds = np.cumsum(np.r_[0, lengths])
-            c = exact[seq]
-            is_hot = c >= 0
-            base = np.add.reduceat(np.where(is_hot, np.log10((np.maximum(c, 0) + 0.1) / below), 0.0), bounds[:-1])
-            seen = np.add.reduceat((c > 0).astype(np.int64), bounds[:-1])
-            for at in range(0, len(seqs), ROWS):
-                to = min(len(seqs), at + ROWS)
-                rests = []
-                for k in range(at, to):
-                    rest, times = np.unique(seqs[k][~is_hot[bounds[k] : bounds[k + 1]]], return_counts=True)
-                    rests.append(([listed[x] for x in rest.tolist()], times.tolist()))
-                yield rows_of({"rid": list(range(rid + at, rid + to)), "doc_id": ids[at:to], "held_out": outs[at:to], "n_tokens": lengths[at:to].tolist(), "hot_known": seen[at:to].tolist(), "base_hot": base[at:to].tolist(), "words": [w for w, _ in rests], "counts": [t for _, t in rests]})
+            # numbered anew, the end first and then by frequency: tokens pack better
+            times = np.bincount(seq, minlength=len(listed))
+            times[0] = len(seq) + 1
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            seq, listed = rank[seq], [listed[k] for k in order.tolist()]
+            h = np.fromiter(map(xxh64_intdigest, listed), np.uint64, len(listed))
+            pairs, rare = _wanted(seq, h, _hot(listed, m))
+            pairs = np.unique(pairs)
+            edge, low, word_edge = cut(pairs, slices), within(pairs, slices), cut(h[rare], slices)
+            planes = np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            cols: dict[str, list] = {"slice": [-1], "data": [pickle.dumps((lengths.astype("<u4"), zlib.compress(planes.tobytes(), 1)), 5)], "names": [zlib.compress(b" ".join(listed[1:]), 1)]}
+            for s in range(slices):
+                p, own = slice(edge[s], edge[s + 1]), rare[word_edge[s] : word_edge[s + 1]]
+                if p.start < p.stop or len(own):
+                    cols["slice"].append(s)
+                    cols["data"].append(sent_keys(low[p]))
+                    cols["names"].append(zlib.compress(b" ".join([listed[k] for k in own.tolist()]), 1) if len(own) else None)
+            yield rows_of(cols | {"chunk": [rid] * len(cols["slice"])})
+            yield rows_of({"rid": list(range(rid, rid + len(seqs))), "doc_id": ids, "held_out": outs})
 
         numbers, seqs, ids, outs, held = _Numbers({END: 0}), [], [], [], 0
         for batch in batches:
@@ -304,61 +344,91 @@ def _ask(model, kind: pa.DataType):
     return ask
 
 
-def _answer(key, filters: pa.Table, asked: pa.Table) -> pa.Table:
-    """A slice and what all chunks ask of it -> (chunk, slice, data): the levels, a byte each."""
-    held = Filter(np.frombuffer(filters["bits"][0].as_py(), np.uint8)) if filters.num_rows else None
-    out = []
-    for x in asked["data"]:
-        keys = read_keys(x.as_py())
-        out.append((held.levels(keys) if held else np.zeros(len(keys), np.uint8)).tobytes())
-    return pa.table({"chunk": asked["chunk"].cast(pa.int64()), "slice": asked["slice"].cast(pa.int32()), "data": pa.array(out, pa.binary())})
-
+def _answer(slices: int):
+    """A slice and what all chunks ask of it -> (chunk, slice, data, names): the levels of the pairs, a byte each; the levels of the words and then their counts."""
+    from xxhash import xxh64_intdigest
 
-def _score(below: float, once: bool):
-    """A chunk's tokens and the answers of all slices -> (rid, score)."""
+    def answer(key, own, asked):
+        held, counts = None, {}
+        if own.num_rows:
+            held = Filter(np.frombuffer(own["bits"][0].as_py(), np.uint8))
+            w, n = unpacked(own["words"][0].as_py(), own["counts"][0].as_py())
+            counts = dict(zip(w, n.tolist(), strict=True))
+        levels = lambda keys: held.levels(keys) if held else np.zeros(len(keys), np.uint8)
+        data, names = [], []
+        for pairs, listed in zip(asked["data"], asked["names"], strict=True):
+            data.append(zlib.compress(levels(read_keys(pairs.as_py())).tobytes(), 1))
+            w = zlib.decompress(listed.as_py()).split(b" ") if listed.is_valid else []
+            keys = within(word_key(np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))), slices)
+            names.append(zlib.compress(levels(keys).tobytes() + np.array([counts.get(x, 0) for x in w], "<u8").tobytes(), 1))
+        return pa.table({"chunk": asked["chunk"].cast(pa.int64()), "slice": asked["slice"].cast(pa.int32()), "data": pa.array(data, pa.binary()), "names": pa.array(names, pa.binary())})
+
+    return answer
+
+
+def _score(model, below: float, once: bool):
+    """A chunk's tokens and the answers of all slices -> (rid, n_tokens, n_known, base_score, score)."""
+    from xxhash import xxh64_intdigest
 
-    def score(table: pa.Table) -> pa.Table:
-        parts = dict(zip(table["slice"].to_pylist(), table["data"].to_pylist(), strict=True))
-        rid, lengths, h, exact, seq = pickle.loads(zlib.decompress(parts.pop(-1)))
-        keys, pairs, rare, own = _wanted(seq, h, exact)
-        levels = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8)
-        level = levels[np.searchsorted(keys, own)].astype(float)
-        guess = exact.astype(float)
+    def score(key, table):
+        parts = dict(zip(table["slice"].to_pylist(), zip(table["data"].to_pylist(), table["names"].to_pylist(), strict=True), strict=True))
+        blob, listed = parts.pop(-1)
+        lengths, planes = pickle.loads(blob)
+        planes = np.frombuffer(zlib.decompress(planes), np.uint8).reshape(4, -1)
+        seq = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        listed = zlib.decompress(listed)
+        listed = [END, *(listed.split(b" ") if listed else [])]
+        h = np.fromiter(map(xxh64_intdigest, listed), np.uint64, len(listed))
+        count = _hot(listed, model.value)
+        pairs, rare = _wanted(seq, h, count)
+        keys, at = np.unique(pairs, return_inverse=True)
+        got = [tuple(map(zlib.decompress, parts[s])) for s in sorted(parts)]
+        sizes = [len(x) // 9 for _, x in got]
+        level = np.frombuffer(b"".join(x[:n] for (_, x), n in zip(got, sizes, strict=True)), np.uint8).astype(float)
+        guess = count.astype(float)
         guess[rare] = np.where(level > 0, np.ceil(2.0 ** ((level - 1) / 2)), 0)
+        count[rare] = np.frombuffer(b"".join(x[n:] for (_, x), n in zip(got, sizes, strict=True)), "<u8").astype(np.int64)
+        of_pairs = np.frombuffer(b"".join(x for x, _ in got), np.uint8).astype(float)[at] if len(keys) else np.zeros(0)
         q = guess[seq]
         p = (q + 0.1) / below
         after = _after(seq)
         before = q[after - 1]
-        held = before >= (1 if once else 2)
-        level = levels[np.searchsorted(keys, pairs[held])].astype(float)
-        after, before = after[held], before[held]
-        p[after] = MIX * np.minimum(np.where(level > 0, 2.0 ** (level - once), 0) / before, 1) + (1 - MIX) * p[after]
-        scores = np.add.reduceat(np.log10(p), np.cumsum(np.r_[0, lengths[:-1]]).astype(np.int64))
-        return pa.table({"rid": pa.array(range(rid, rid + len(lengths)), pa.int64()), "score": pa.array(scores)})
+        seen = before >= (1 if once else 2)
+        after, before, of_pairs = after[seen], before[seen], of_pairs[seen]
+        p[after] = MIX * np.minimum(np.where(of_pairs > 0, 2.0 ** (of_pairs - once), 0) / before, 1) + (1 - MIX) * p[after]
+        starts = np.cumsum(np.r_[0, lengths[:-1]]).astype(np.int64)
+        c = count[seq]
+        return pa.table(
+            {
+                "rid": pa.array(range(key[0].as_py(), key[0].as_py() + len(lengths)), pa.int64()),
+                "n_tokens": pa.array(lengths, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
+                "base_score": pa.array(np.add.reduceat(np.log10((c + 0.1) / below), starts)),
+                "score": pa.array(np.add.reduceat(np.log10(p), starts)),
+            }
+        )
 
     return score
 
 
-def train(texts: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame, dict]:
-    """texts (text) -> counts of all words (word, c), the filter (slice, bits), and to be broadcast: hot words and totals."""
+def train(texts: DataFrame, once: bool = False) -> tuple[DataFrame, dict]:
+    """texts (text) -> (slice, words, counts, bits): the counts of all words and the filter; and to be broadcast: hot words and totals."""
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = min(1 << 15, 1 << max(0, (chars >> 23)).bit_length())
+    slices = min(1 << 24, 1 << max(0, (chars >> 23)).bit_length())
     sent = texts.mapInArrow(_count(slices), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary, docs long")
-    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(slices, once), "slice int, word binary, c long, bits binary"), "slices")
-    counts = done.where("word IS NOT NULL").select("word", "c")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    filters = done.where("word IS NULL")
-    ends = filters.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    kinds = "slice int, words binary, counts binary, bins array<int>, sizes array<long>, distinct long, total long, docs long, bits binary"
+    done = materialize(sent.groupBy("slice").applyInArrow(_reduce(slices, once), kinds), "slices")
+    total, distinct, ends = done.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "docs")]).first()
     # the most frequent words, at most HOT: those above a bound of the (short) histogram of their counts
-    short = counts.where(F.octet_length("word") <= 256)
+    each = done.select(F.explode(F.arrays_zip("bins", "sizes")).alias("x")).groupBy(F.col("x.bins").alias("b")).agg(F.sum("x.sizes").alias("n"))
     bound, sofar = None, 0
-    for r in sorted(short.groupBy(F.floor(8 * F.log2("c")).alias("b")).count().collect(), key=lambda r: -r["b"]):
-        sofar += r["count"]
+    for r in sorted(each.collect(), key=lambda r: -r["b"]):
+        sofar += r["n"]
         if sofar > HOT:
             break
         bound = r["b"]
-    hot = {} if bound is None else {bytes(r["word"]): r["c"] for r in short.where(F.floor(8 * F.log2("c")) >= bound).collect()}
-    return counts, filters.select("slice", "bits"), {"slices": slices, "hot": hot, "total": total + ends, "distinct": distinct + (ends > 0), "ends": ends}
+    hot = {} if bound is None else {bytes(r["word"]): r["c"] for r in done.select("words", "counts").mapInArrow(_over(bound), "word binary, c long").collect()}
+    return done.select("slice", "words", "counts", "bits"), {"slices": slices, "hot": hot, "total": total + ends, "distinct": distinct + (ends > 0), "ends": ends}
 
 
 def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
@@ -370,31 +440,17 @@ def scored(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
-    counts, filters, model = train(base.where("NOT held_out").select("text"), once=once)
+    trained, model = train(base.where("NOT held_out").select("text"), once=once)
     total, below = model["total"], model["total"] + 0.1 * (model["distinct"] + 1)
     shared = spark.sparkContext.broadcast(model)
     kind = base.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     asked = materialize(base.mapInArrow(_ask(shared, to_arrow_type(kind)), ASKED.format(kind.simpleString())), "asked")
-    rows = asked.where("rid IS NOT NULL").drop("chunk", "slice", "data")
-    chunks = asked.where("rid IS NULL").select("chunk", "slice", "data")
-    levels = filters.groupBy("slice").cogroup(chunks.where("slice >= 0").groupBy("slice")).applyInArrow(_answer, "chunk long, slice int, data binary")
-    scores = chunks.where("slice < 0").unionAll(levels).groupBy("chunk").applyInArrow(_score(float(below), once), "rid long, score double")
-    rest = rows.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(below))
-    rest = (
-        rest.join(counts, "word", "left")
-        .groupBy("rid")
-        .agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * logs).alias("logs"))
-    )
-    rest = rest.join(scores, "rid", "full")
-    return rows.drop("words", "counts").join(rest, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    rows = asked.where("rid IS NOT NULL").select("rid", "doc_id", "held_out")
+    chunks = asked.where("rid IS NULL").select("chunk", "slice", "data", "names")
+    kinds = "chunk long, slice int, data binary, names binary"
+    answers = trained.groupBy("slice").cogroup(chunks.where("slice >= 0").groupBy("slice")).applyInArrow(_answer(model["slices"]), kinds)
+    scores = chunks.where("slice < 0").unionAll(answers).groupBy("chunk")
+    scores = scores.applyInArrow(_score(shared, float(below), once), "rid long, n_tokens long, n_known long, base_score double, score double")
+    return rows.join(scores, "rid").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
