@@ -57,7 +57,7 @@ def expected(spark, data, geno, epochs):
 @pytest.mark.parametrize("scheme", ["diagonal", "full", "plain"])
 def test_study_by_options(spark, study, tmp_path, scheme):
     files, data, geno = study
-    shared, epochs = str(tmp_path / "shared"), 2
+    shared, epochs = str(tmp_path / "shared"), 2 if scheme == "plain" else 1
     fit, want = expected(spark, data, geno, epochs)
     for it in range(epochs):
         for option in NULL[scheme]:
@@ -65,8 +65,8 @@ def test_study_by_options(spark, study, tmp_path, scheme):
                 run(spark, f"-{option}", str(it), str(k), str(SITES), x, y, str(epochs), "NATIVE", "1e-9", *([] if scheme == "plain" else ["private"]), shared)
     f = steps.Steps(spark, shared, SITES, "full" if scheme == "full" else "diagonal")
     assert f.beta_of(epochs, 1, 3) == pytest.approx(fit.beta, rel=1e-6)
-    assert run(spark, "-client_check_convergence_per_updated_beta", "1", "0", str(SITES), "1e9", shared)
     if scheme == "plain":
+        assert run(spark, "-client_check_convergence_per_updated_beta", "1", "0", str(SITES), "1e9", shared)
         for k, (g, x, y) in enumerate(files):
             mu = L.fitted(data.where(F.col("site") == k), fit.beta).select(F.col("subject_idx").alias("id"), F.col("mu").alias("PHENOTYPE"))
             mu.write.csv(str(tmp_path / f"mu{k}"), sep="\t", header=True)
