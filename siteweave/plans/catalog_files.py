@@ -295,9 +295,9 @@ def _(s, d):
     return both.select("subject_id", F.col("x")[0].alias("x0"), F.round(F.col("x")[1], 2).alias("x1"), "y")
 
 
-@query("model_round_trip", "SELECT CAST(k AS INT) AS feature, CASE WHEN k = 0 THEN 'INTERCEPT' ELSE 'COVAR_' || (k - 1) END AS name, round(w, 6) AS w FROM (SELECT n_nationkey AS k, avg(c_acctbal) AS w FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1) WHERE k < 5")
+@query("model_round_trip", "SELECT CAST(k AS INT) AS feature, CASE WHEN k = 0 THEN 'INTERCEPT' ELSE 'COVAR_' || (k - 1) END AS name, round(w, 6) AS w FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, avg(c_acctbal) AS w FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey)")
 def _(s, d):
-    rows = _t(s, d, "customer").where("c_nationkey < 5").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("w")).orderBy("c_nationkey").collect()
+    rows = _t(s, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("w")).orderBy("c_nationkey").collect()
     return s.createDataFrame([(k, n, round(w, 6)) for k, n, w in T.read_model(T.write_model([r["w"] for r in rows]))], "feature int, name string, w double")
 
 
@@ -701,13 +701,12 @@ def _(s, d):
     return A.smoothed_by_powers(own, ["chrom"], "at", "v", 1.5, 1, 0.6, logs=True).select("chrom", "bin", _r("v", 5))
 
 
-@query("track_bins_at_borders", f"SELECT CAST(i AS INT) AS region, CAST((pos - i * 50 - 1) // 20 AS INT) AS bin, sum(v) AS total, count(*) AS n FROM {SMOOTH}, range(4) t(i) WHERE pos BETWEEN i * 50 + 1 AND i * 50 + 50 AND chrom = (SELECT min(n_name) FROM nation) GROUP BY 1, 2")
+@query("track_bins_at_borders", f"SELECT CAST(i AS INT) AS region, CAST((pos - i * 50 - 1) // 20 AS INT) AS bin, sum(v) AS total, count(*) AS n FROM {SMOOTH}, range(4) t(i) WHERE pos BETWEEN i * 50 + 1 AND i * 50 + 50 GROUP BY 1, 2")
 def _(s, d):
     """Bins of 20 positions that begin anew every 50."""
     from siteweave.plans.catalog import _track
 
-    first = _t(s, d, "nation").agg(F.min("n_name").alias("chrom"))
-    borders = s.range(4).crossJoin(first).select(F.col("id").cast("int").alias("region"), "chrom", (F.col("id") * 50 + 1).cast("int").alias("start"), (F.col("id") * 50 + 50).cast("int").alias("end"))  # one row
+    borders = s.range(4).crossJoin(_t(s, d, "nation").select(F.col("n_name").alias("chrom"))).select(F.col("id").cast("int").alias("region"), "chrom", (F.col("id") * 50 + 1).cast("int").alias("start"), (F.col("id") * 50 + 50).cast("int").alias("end"))  # four regions a nation
     return A.bin_totals(_track(s, d), 20, borders)
 
 
