@@ -1,10 +1,11 @@
 """Interval operators on (chrom, start, end), inclusive at both ends.
 
-Overlap joins hash both sides on chromosome and bin, so they are equi-joins that Spark can shuffle, split when skewed,
-or broadcast by size; each pair is kept in the first bin that both intervals lie in. Bins are as long as the mean region
-of the longer side, so that both sides together have at most some two rows a region, unless a caller who knows the
-lengths gives a size. Runs, gaps and running extrema are windows by chromosome and tile of TILE positions, with what the
-tiles before bring along from a small table of one row a tile: no chromosome is one task.
+Overlap joins are equi-joins on a hierarchy of bins, each level's four times as long as those of the one below. A region
+lies at the level of its length, in the three bins at most where a shorter one that meets it may begin; the other side
+asks each level from its own up for the one bin where it begins. So a pair meets once, at the level of the longer
+region, and a region has at most a row a level that occurs and three, whatever the lengths. Runs, gaps and running
+extrema are windows by chromosome and tile of TILE positions, with what the tiles before bring along from a small table
+of one row a tile: no chromosome is one task.
 """
 
 from __future__ import annotations
@@ -12,52 +13,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least length of a bin.
-BIN = 128
+#: Bins of the lowest level have 2^LOWEST positions; those of the next 2^STEP times as many.
+LOWEST = 7
+STEP = 2
+#: The level of the longest region there may be, when lengths are not known: 2^33 positions.
+HIGHEST = 33
 #: Positions of a tile.
 TILE = 1 << 20
 #: Distance for regions whose chromosome the other set lacks: a fixed value.
 FAR = 10_000_000
 
 
-def bin_size_for(*sides: DataFrame) -> int:
-    """The power of two that no side's mean length exceeds, BIN at least: regions have two rows each on average at most. One aggregate a side reaches the driver."""
-    longest = max((df.agg(F.avg(F.col("end") - F.col("start") + 1.0)).first()[0] or 0.0) for df in sides)
-    return max(BIN, 1 << max(0, int(longest) - 1).bit_length())
-
-
-def _binned(df: DataFrame, bin_size: int, name: str) -> DataFrame:
-    low, high = F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size)
-    return df.select(F.struct(*df.columns).alias(name), F.col("chrom").alias("__c"), low.alias(f"__{name}0"), F.explode(F.sequence(low, high)).alias("__bin"))
-
-
-def overlaps(a: DataFrame, b: DataFrame, bin_size: int | None = None, strand: bool = False) -> DataFrame:
-    """(a struct, b struct, ol_start, ol_end, l_overlap) for each overlapping pair; strand: on one strand only."""
+def level_of(length: Column) -> Column:
+    """The exponent of the bins of the least level that are not shorter than a region."""
+    bits = F.length(F.bin(length - 1))
+    return (LOWEST + STEP * F.ceil(F.greatest(bits - LOWEST, F.lit(0)) / STEP)).cast("int")
+
+
+def levels_of(*sides: DataFrame) -> list[list[int]]:
+    """The levels that occur on each side: at most some dozen numbers a side reach the driver, in one job."""
+    length = F.col("end").cast("long") - F.col("start").cast("long") + 1
+    each = [df.where("end >= start").select(F.lit(k).alias("k"), level_of(length).alias("e")) for k, df in enumerate(sides)]
+    whole = each[0]
+    for other in each[1:]:
+        whole = whole.unionAll(other)
+    found = [(r["k"], r["e"]) for r in whole.distinct().collect()]
+    return [sorted(e for k, e in found if k == n) for n in range(len(sides))]
+
+
+def _met(a: DataFrame, b: DataFrame, of_a: list[int], of_b: list[int], longest: int | None = None) -> DataFrame:
+    """(a struct, b struct) of each overlapping pair, for sides whose levels are among those given. longest: all regions are dealt by one level of that length, and a longer one raises."""
+    at = lambda c: F.col(c).cast("long")
+    length = at("end") - at("start") + 1
+    one = None if longest is None else max(LOWEST, (longest - 1).bit_length())
+
+    def rows(df: DataFrame, name: str, asks: int, of_others: list[int]) -> DataFrame:
+        """asks: the meeting (0, 1) at which this side asks; at the other one it lies. In meeting 1 only longer regions are asked for."""
+        if one is None:
+            own = level_of(length)
+        else:
+            own = F.when(length <= longest, F.lit(one)).otherwise(F.raise_error(F.lit(f"a region is longer than {longest}")).cast("int"))
+        df = df.where("end >= start").select(F.struct(*df.columns).alias(name), F.col("chrom").alias("__c"), at("start").alias("__s"), at("end").alias("__t"), own.alias("__e"))
+        asked = F.array(*[F.struct(F.lit(asks).alias("m"), F.lit(e).alias("e"), F.shiftright("__s", e).alias("bin")) for e in of_others])
+        asked = F.filter(asked, lambda x: x["e"] > F.col("__e") if asks else x["e"] >= F.col("__e"))
+        reach = F.lit(longest) if one is not None else F.expr(f"shiftleft(1L, __e{'' if asks else f' - {STEP}'})")
+        first = F.call_function("shiftright", F.col("__s") - reach + 1, F.col("__e"))
+        lies = F.transform(F.sequence(first, F.call_function("shiftright", "__t", "__e")), lambda x: F.struct(F.lit(1 - asks).alias("m"), F.col("__e").alias("e"), x.alias("bin")))
+        lies = F.when(F.col("__e") > min(of_others) if not asks else F.col("__e") >= min(of_others), lies).otherwise(F.array().cast("array<struct<m:int,e:int,bin:bigint>>"))
+        return df.select(name, "__c", F.explode(F.concat(asked, lies)).alias("__k"))
+
+    if one is not None:
+        of_a, of_b = [one], [one]
+    if not of_a or not of_b:  # an empty side
+        none = lambda df, n: df.where("false").select(F.struct(*df.columns).alias(n))
+        return none(a, "a").crossJoin(none(b, "b"))
+    x, y = rows(a, "a", 0, of_b), rows(b, "b", 1, of_a)
+    return x.join(y, ["__c", "__k"]).where("a.start <= b.end AND b.start <= a.end").select("a", "b")
+
+
+def overlaps(a: DataFrame, b: DataFrame, longest: int | None = None, strand: bool = False) -> DataFrame:
+    """(a struct, b struct, ol_start, ol_end, l_overlap) for each overlapping pair; strand: on one strand only.
+
+    longest: the length that no region exceeds, where the caller knows it: it spares the pass that finds the levels.
+    """
     for side in (a, b):
         if not {"chrom", "start", "end"} <= set(side.columns):
             raise ValueError("regions need chrom, start and end")
-    bin_size = bin_size or bin_size_for(a, b)
-    x, y = _binned(a.where("end >= start"), bin_size, "a"), _binned(b.where("end >= start"), bin_size, "b")
-    out = x.join(y, ["__c", "__bin"]).where("a.start <= b.end AND b.start <= a.end AND __bin = greatest(__a0, __b0)")
+    out = _met(a, b, *([[], []] if longest else levels_of(a, b)), longest)
     if strand:
         out = out.where("a.strand = b.strand")
     return out.select("a", "b", F.greatest("a.start", "b.start").alias("ol_start"), F.least("a.end", "b.end").alias("ol_end")).withColumn("l_overlap", F.col("ol_end") - F.col("ol_start") + 1)
 
 
-def overlaps_first(a: DataFrame, b: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
+def overlaps_first(a: DataFrame, b: DataFrame, key: str, longest: int | None = None) -> DataFrame:
     """Of each region of a (named by `key`) the overlap with the first region of b by start and end: a grouped minimum, not a sort."""
-    all_of = overlaps(a, b, bin_size)
+    all_of = overlaps(a, b, longest)
     order = F.struct(F.col("b.start"), F.col("b.end"), F.col("b"))
     return all_of.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct("a", "b", "ol_start", "ol_end", "l_overlap"), order).alias("r")).select("r.*")
 
 
-def without_overlap(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
-    """Regions of a that overlap none of b."""
-    bin_size = bin_size or bin_size_for(a, b)
-    x = _binned(a.withColumn("__id", F.struct("chrom", "start", "end")), bin_size, "a")
-    y = _binned(b.select("chrom", "start", "end"), bin_size, "b")
-    hit = x.join(y, ["__c", "__bin"]).where("a.start <= b.end AND b.start <= a.end").select(F.col("a.__id").alias("__id")).distinct()
-    return a.withColumn("__id", F.struct("chrom", "start", "end")).join(hit, "__id", "left_anti").drop("__id")
+def without_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Regions of a that overlap none of b: those at a distance from the closest. No pair is made."""
+    return _with_distance(a, b).where(F.coalesce(F.col("__distance"), F.lit(1)) > 0).drop("__distance")
 
 
 def _tiled(a: DataFrame, tile: int, keys: list[str]) -> DataFrame:
@@ -65,12 +102,13 @@ def _tiled(a: DataFrame, tile: int, keys: list[str]) -> DataFrame:
     return a.withColumn("__tile", F.floor(F.col("start") / tile)).repartition(*keys, "__tile")
 
 
-def _carried(tiled: DataFrame, keys: list[str], sums: dict[str, tuple[Column, Column]], after: bool = False) -> DataFrame:
-    """tiled with columns of what the tiles before (or after) bring along: name -> (aggregate of a tile, aggregate of tiles' `__x`)."""
-    w = Window.partitionBy(*keys).orderBy("__tile")
-    w = w.rowsBetween(1, Window.unboundedFollowing) if after else w.rowsBetween(Window.unboundedPreceding, -1)
-    each = tiled.groupBy(*keys, "__tile").agg(*[of.alias(name) for name, (of, _) in sums.items()])
-    each = each.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__tile").alias("__k_tile"), *[over(F.col(name)).over(w).alias(name) for name, (_, over) in sums.items()])
+def _carried(tiled: DataFrame, keys: list[str], before: dict[str, tuple[Column, Column]], after: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """tiled with columns of what the tiles before, and after, bring along: name -> (aggregate of a tile, aggregate of tiles' `__x`)."""
+    w = Window.partitionBy(*keys).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*keys).orderBy(F.desc("__tile")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(name, *x, w) for name, x in before.items()] + [(name, *x, back) for name, x in (after or {}).items()]
+    each = tiled.groupBy(*keys, "__tile").agg(*[of.alias(name) for name, of, _, _ in sums])
+    each = each.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__tile").alias("__k_tile"), *[over(F.col(name)).over(own).alias(name) for name, _, over, own in sums])
     on = F.col("__tile") == F.col("__k_tile")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
@@ -97,21 +135,28 @@ def union_merge(parts: list[DataFrame], gap: int = 0) -> DataFrame:
     return merge(reduce(DataFrame.unionByName, [p.select("chrom", "start", "end") for p in parts]), gap)
 
 
-def subtract(a: DataFrame, b: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
-    """(key, chrom, start, end): what is left of each region of a outside b."""
-    cut = overlaps(a, merge(b), bin_size).groupBy(F.col(f"a.{key}").alias(key)).agg(F.sort_array(F.collect_list(F.struct("ol_start", "ol_end"))).alias("__cuts"))
-    own = a.select(key, "chrom", "start", "end").join(cut, key, "left")
-    none = F.expr("cast(array() as array<struct<ol_start:int,ol_end:int>>)")
-    cuts = F.coalesce(F.transform("__cuts", lambda c: F.struct(c["ol_start"].cast("int").alias("ol_start"), c["ol_end"].cast("int").alias("ol_end"))), none)
-    starts = F.concat(F.array(F.col("start").cast("int")), F.transform(cuts, lambda c: c["ol_end"] + 1))
-    ends = F.concat(F.transform(cuts, lambda c: c["ol_start"] - 1), F.array(F.col("end").cast("int")))
-    pieces = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] <= p["e"])
-    return own.select(key, "chrom", F.explode(pieces).alias("p")).select(key, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
-
+def subtract(a: DataFrame, b: DataFrame, key: str, longest: int | None = None) -> DataFrame:
+    """(key, chrom, start, end): what is left of each region of a outside b.
 
-def pairwise_remainders(a: DataFrame, b: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
+    These are its overlaps with the gaps between the runs of b, and what it has before the first and after the last run
+    of its chromosome: a row a piece, however many cuts a region has. longest: of a's regions and of b's gaps.
+    """
+    runs = merge(b)
+    between = gaps(runs).where("gap > 1").select("chrom", (F.col("start") - F.col("gap") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+    own = a.select(key, "chrom", "start", "end")
+    inner = overlaps(own, between, longest).select(F.col(f"a.{key}").alias(key), F.col("a.chrom").alias("chrom"), F.col("ol_start").alias("start"), F.col("ol_end").alias("end"))
+    reach = b.where("end >= start").groupBy("chrom").agg(F.min("start").alias("__first"), F.max("end").alias("__last"))
+    piece = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    before = piece(F.col("start"), F.least(F.col("end"), F.col("__first") - 1))
+    after = piece(F.greatest(F.col("start"), F.col("__last") + 1), F.col("end"))
+    sides = F.when(F.col("__first").isNull(), F.array(piece(F.col("start"), F.col("end")))).otherwise(F.array(before, after))
+    outer = own.join(reach, "chrom", "left").select(key, "chrom", F.explode(sides).alias("p")).where("p.s <= p.e")
+    return inner.select(key, "chrom", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).unionAll(outer.select(key, "chrom", "p.s", "p.e"))
+
+
+def pairwise_remainders(a: DataFrame, b: DataFrame, key: str, longest: int | None = None) -> DataFrame:
     """(key, chrom, start, end, b): for each overlapping pair what is left of the region of a outside that one region of b, up to two pieces."""
-    pairs = overlaps(a, b, bin_size)
+    pairs = overlaps(a, b, longest)
     sides = F.array(F.struct(F.col("a.start").alias("s"), (F.col("ol_start") - 1).alias("e")), F.struct((F.col("ol_end") + 1).alias("s"), F.col("a.end").alias("e")))
     own = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.chrom").alias("chrom"), F.explode(sides).alias("p"), "b").where("p.s <= p.e")
     return own.select(key, "chrom", F.col("p.s").alias("start"), F.col("p.e").alias("end"), "b")
@@ -149,21 +194,28 @@ def shuffled_overlap(a: DataFrame, b: DataFrame, span: int, replicates: int, see
     return numbers.join(found, "replicate", "left").select("replicate", F.coalesce("coverage", F.lit(0)).alias("coverage"))
 
 
-def nearest_distance(a: DataFrame, b: DataFrame, key: str, tile: int = TILE) -> DataFrame:
-    """(key, distance): to the closest region of b, 0 for overlaps, FAR without one on the chromosome. A union ordered by position and two running extrema: no range join."""
-    cols = lambda df, side, k: df.select("chrom", "start", "end", F.lit(side).alias("side"), k.alias("k"))
-    both = cols(a, 1, F.col(key)).unionByName(cols(b, 0, F.lit(None).cast(a.schema[key].dataType)))
-    end, start = (F.when(F.col("side") == 0, F.col(c)) for c in ("end", "start"))
-    both = _carried(_tiled(both, tile, ["chrom"]), ["chrom"], {"__left": (F.max(end), F.max)})
-    both = _carried(both, ["chrom"], {"__right": (F.min(start), F.min)}, after=True)
-    before = Window.partitionBy("chrom", "__tile").orderBy("start", "side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("chrom", "__tile").orderBy(F.desc("start"), "side").rowsBetween(Window.unboundedPreceding, 0)
+def _with_distance(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """a with `__distance` to the closest region of b, 0 for overlaps, null without one on the chromosome. A union ordered by position and two running extrema: no range join."""
+    cols = lambda df, side, own: df.select("chrom", "start", "end", F.lit(side).alias("__side"), own.alias("__own"))
+    own = F.struct(*a.columns)
+    kind = a.select(own.alias("x")).schema["x"].dataType
+    both = cols(a, 1, own).unionByName(cols(b.where("end >= start"), 0, F.lit(None).cast(kind)))
+    end, start = (F.when(F.col("__side") == 0, F.col(c)) for c in ("end", "start"))
+    both = _carried(_tiled(both, tile, ["chrom"]), ["chrom"], {"__left": (F.max(end), F.max)}, {"__right": (F.min(start), F.min)})
+    before = Window.partitionBy("chrom", "__tile").orderBy("start", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("chrom", "__tile").orderBy(F.desc("start"), "__side").rowsBetween(Window.unboundedPreceding, 0)
     # greatest() and least() skip nulls, as they should for what tiles bring along
-    marked = both.withColumn("left_end", F.greatest("__left", F.max(end).over(before))).withColumn("right_start", F.least("__right", F.min(start).over(after)))
+    marked = both.withColumn("__l", F.greatest("__left", F.max(end).over(before))).withColumn("__r", F.least("__right", F.min(start).over(after)))
     # but a side without regions must stay null
-    left = F.when(F.col("left_end").isNotNull(), F.greatest(F.col("start") - F.col("left_end"), F.lit(0)))
-    right = F.when(F.col("right_start").isNotNull(), F.greatest(F.col("right_start") - F.col("end"), F.lit(0)))
-    return marked.where("side = 1").select(F.col("k").alias(key), F.coalesce(F.least(left, right), F.lit(FAR)).alias("distance"))
+    left = F.when(F.col("__l").isNotNull(), F.greatest(F.col("start") - F.col("__l"), F.lit(0)))
+    right = F.when(F.col("__r").isNotNull(), F.greatest(F.col("__r") - F.col("end"), F.lit(0)))
+    return marked.where("__side = 1").select("__own.*", F.least(left, right).alias("__distance"))
+
+
+def nearest_distance(a: DataFrame, b: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """(key, distance): to the closest region of b, 0 for overlaps, FAR without one on the chromosome."""
+    own = _with_distance(a.select("chrom", "start", "end", F.col(key).alias("__key")), b, tile)
+    return own.select(F.col("__key").alias(key), F.coalesce("__distance", F.lit(FAR)).alias("distance"))
 
 
 def gaps(a: DataFrame, tile: int = TILE) -> DataFrame:
@@ -181,10 +233,10 @@ def cumulative_ends(a: DataFrame, tile: int = TILE) -> DataFrame:
     return own.withColumn("cumul_end", F.greatest("__far", F.max("end").over(w))).withColumn("cumul_start", F.col("start")).drop("__far", "__tile")
 
 
-def in_super_region(a: DataFrame, supers: DataFrame, key: str, bin_size: int | None = None) -> DataFrame:
+def in_super_region(a: DataFrame, supers: DataFrame, key: str, longest: int | None = None) -> DataFrame:
     """(key, a, super): the region of `supers` that holds each of a. A region only partly inside one raises."""
     inside = F.col("a.start").between(F.col("b.start"), F.col("b.end")) & F.col("a.end").between(F.col("b.start"), F.col("b.end"))
-    found = overlaps(a, supers, bin_size)
+    found = overlaps(a, supers, longest)
     checked = F.when(inside, F.col("b")).otherwise(F.raise_error(F.concat(F.lit("partly outside: "), F.col(f"a.{key}").cast("string"))))
     return found.select(F.col(f"a.{key}").alias(key), "a", checked.alias("super"))
 
@@ -197,11 +249,24 @@ def unique_by_position(a: DataFrame, keep_one: bool = True) -> DataFrame:
     return grouped.select("chrom", "start", "end", *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def top_until_coverage(a: DataFrame, order: list[Column], most: int) -> DataFrame:
-    """Regions in an order until their summed length reaches `most`, the crossing one included. A global order: for reports."""
-    w = Window.orderBy(*order)
-    before = F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return a.withColumn("__b", before).where((F.col("__b") < most) | (F.col("__b") == 0)).drop("__b")
+def top_until_coverage(a: DataFrame, first: Column, ties: list[str], most: int, parts: int = 256) -> DataFrame:
+    """Regions in the order of the number `first`, then `ties`, until their summed length reaches `most`, the crossing one included.
+
+    Quantiles of `first` cut the order into parts, whose sums are added up over one row a part; only the parts up to the
+    one that crosses are sorted, each by itself.
+    """
+    from siteweave.operators.stats import parts_of
+
+    length = F.col("end").cast("long") - F.col("start") + 1
+    own, part = parts_of(a.withColumn("__first", first), F.col("__first"), parts)
+    own = own.withColumn("__part", part).drop("__cuts")
+    sums = own.groupBy(F.col("__part").alias("__p")).agg(F.sum(length).alias("__sum"))
+    over = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    sums = sums.select("__p", F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__before")).where((F.col("__before") < most) | (F.col("__before") == 0))
+    w = Window.partitionBy("__part").orderBy("__first", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__before") + F.coalesce(F.sum(length).over(w), F.lit(0))
+    out = own.join(F.broadcast(sums), F.col("__part") == F.col("__p")).withColumn("__b", before)
+    return out.where((F.col("__b") < most) | (F.col("__b") == 0)).select(*a.columns)
 
 
 def associations(a: DataFrame, group: str) -> DataFrame:

@@ -12,7 +12,7 @@ from siteweave.operators.intervals import overlaps
 def extracted(chunks: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """(key, seq): bases of each region (chrom, start, end, strand), joined over chunks; complemented backwards on the minus strand."""
     own = chunks.withColumn("end", F.col("start") + F.length("seq") - 1)
-    parts = overlaps(regions, own, 4096).select(
+    parts = overlaps(regions, own).select(
         F.col(f"a.{key}").alias(key), F.col("a.strand").alias("strand"), F.struct(F.col("ol_start").alias("at"), F.substring(F.col("b.seq"), F.col("ol_start") - F.col("b.start") + 1, F.col("l_overlap")).alias("s")).alias("p")
     )
     whole = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), "")

@@ -293,8 +293,11 @@ CAST(date_diff('day', DATE '1990-01-01', CAST(o.o_orderdate AS DATE)) * 100 + o.
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
 iv AS (SELECT id, chrom, s, min(e) AS e, ln FROM iv0 GROUP BY id, chrom, s, ln),
 a AS (SELECT id, chrom, s, e FROM iv WHERE ln % 2 = 1), b AS (SELECT id, chrom, s, e FROM iv WHERE ln % 2 = 0) """
+#: Pairs that overlap, as an equi-join on bins of 64 positions: both sides in all of theirs, met in the first that both have.
+MEET = "(SELECT *, unnest(range(s // 64, e // 64 + 1)) AS bin FROM {a}) {x} JOIN (SELECT *, unnest(range(s // 64, e // 64 + 1)) AS bin FROM {b}) {y} ON {x}.chrom = {y}.chrom AND {x}.bin = {y}.bin AND {x}.bin = greatest({x}.s // 64, {y}.s // 64) AND {x}.s <= {y}.e AND {y}.s <= {x}.e"
+AB = MEET.format(a="a", x="a", b="b", y="b")
 #: Lengths here are quantities, 50 at most.
-BINS = 64
+LONGEST = 51
 
 
 def _intervals(s, d, odd: int | None = 1) -> DataFrame:
@@ -310,23 +313,23 @@ def _ab(s, d):
     return _intervals(s, d, 1), _intervals(s, d, 0)
 
 
-@query("overlap_join_all", IV + "SELECT a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS l_overlap FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e")
+@query("overlap_join_all", IV + "SELECT a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS l_overlap FROM " + AB)
 def _(s, d):
-    return I.overlaps(*_ab(s, d), BINS).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "l_overlap")
+    return I.overlaps(*_ab(s, d), LONGEST).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "l_overlap")
 
 
-@query("overlap_join_first", IV + "SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY b.s, b.e, b.id) AS k FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e) WHERE k = 1")
+@query("overlap_join_first", IV + "SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY b.s, b.e, b.id) AS k FROM " + AB + ") WHERE k = 1")
 def _(s, d):
     a, b = _ab(s, d)
-    return I.overlaps_first(a, b.select("chrom", "start", "end", "id"), "id", BINS).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return I.overlaps_first(a, b.select("chrom", "start", "end", "id"), "id", LONGEST).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @query("interval_anti", IV + "SELECT a.id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e)")
 def _(s, d):
-    return I.without_overlap(*_ab(s, d), BINS).select("id")
+    return I.without_overlap(*_ab(s, d)).select("id")
 
 
-RUNS = "SELECT chrom, s, e, sum(n) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT chrom, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS n FROM {t})"
+RUNS = "SELECT chrom, s, e, sum(n) OVER (PARTITION BY chrom ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS g FROM (SELECT chrom, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS n FROM {t})"
 
 
 def _merged(t: str, gap: int) -> str:
@@ -351,20 +354,20 @@ def _(s, d):
 @query(
     "overlap_f1",
     IV
-    + f", x AS ({_merged('a', 0)}), y AS ({_merged('b', 0)}), o AS (SELECT coalesce(sum(least(x.e, y.e) - greatest(x.s, y.s) + 1), 0) AS ol FROM x JOIN y ON x.chrom = y.chrom AND x.s <= y.e AND y.s <= x.e), ca AS (SELECT sum(e - s + 1) AS n FROM x), cb AS (SELECT sum(e - s + 1) AS n FROM y) SELECT CAST(ca.n AS BIGINT) AS cov_a, CAST(cb.n AS BIGINT) AS cov_b, CAST(ol AS BIGINT) AS ol, round(ol / CAST(ca.n AS DOUBLE), 6) AS of_a, round(ol / CAST(ca.n + cb.n - ol AS DOUBLE), 6) AS of_both, round(2.0 * ol / CAST(ca.n + cb.n AS DOUBLE), 6) AS f1 FROM o, ca, cb",
+    + f", x AS ({_merged('a', 0)}), y AS ({_merged('b', 0)}), o AS (SELECT coalesce(sum(least(x.e, y.e) - greatest(x.s, y.s) + 1), 0) AS ol FROM {MEET.format(a='x', x='x', b='y', y='y')}), ca AS (SELECT sum(e - s + 1) AS n FROM x), cb AS (SELECT sum(e - s + 1) AS n FROM y) SELECT CAST(ca.n AS BIGINT) AS cov_a, CAST(cb.n AS BIGINT) AS cov_b, CAST(ol AS BIGINT) AS ol, round(ol / CAST(ca.n AS DOUBLE), 6) AS of_a, round(ol / CAST(ca.n + cb.n - ol AS DOUBLE), 6) AS of_both, round(2.0 * ol / CAST(ca.n + cb.n AS DOUBLE), 6) AS f1 FROM o, ca, cb",
 )
 def _(s, d):
     return I.overlap_stats(*_ab(s, d)).select("cov_a", "cov_b", "ol", _r("of_a"), _r("of_both"), _r("f1"))
 
 
-@query("interval_subtract", IV + f", y AS ({_merged('b', 0)}), p AS (SELECT a.id, a.chrom, a.s AS s0, a.e AS e0, greatest(a.s, y.s) AS cs, least(a.e, y.e) AS ce FROM a JOIN y ON a.chrom = y.chrom AND a.s <= y.e AND y.s <= a.e), pieces AS (SELECT id, chrom, coalesce(lag(ce) OVER w + 1, s0) AS s, cs - 1 AS e FROM p WINDOW w AS (PARTITION BY id ORDER BY cs) UNION ALL SELECT id, chrom, max(ce) + 1, max(e0) FROM p GROUP BY id, chrom UNION ALL SELECT id, chrom, s, e FROM a WHERE id NOT IN (SELECT id FROM p)) SELECT id, chrom, s AS start, e AS \"end\" FROM pieces WHERE s <= e")
+@query("interval_subtract", IV + f", y AS ({_merged('b', 0)}), p AS (SELECT a.id, a.chrom, a.s AS s0, a.e AS e0, greatest(a.s, y.s) AS cs, least(a.e, y.e) AS ce FROM {MEET.format(a='a', x='a', b='y', y='y')}), pieces AS (SELECT id, chrom, coalesce(lag(ce) OVER w + 1, s0) AS s, cs - 1 AS e FROM p WINDOW w AS (PARTITION BY id ORDER BY cs) UNION ALL SELECT id, chrom, max(ce) + 1, max(e0) FROM p GROUP BY id, chrom UNION ALL SELECT id, chrom, s, e FROM a WHERE id NOT IN (SELECT id FROM p)) SELECT id, chrom, s AS start, e AS \"end\" FROM pieces WHERE s <= e")
 def _(s, d):
-    return I.subtract(*_ab(s, d), "id", BINS)
+    return I.subtract(*_ab(s, d), "id")
 
 
-@query("pairwise_remainders", IV + ", p AS (SELECT a.id, a.s AS s0, a.e AS e0, greatest(a.s, b.s) AS cs, least(a.e, b.e) AS ce, b.id AS b FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e) SELECT id, s0 AS start, cs - 1 AS \"end\", b FROM p WHERE s0 < cs UNION ALL SELECT id, ce + 1, e0, b FROM p WHERE ce < e0")
+@query("pairwise_remainders", IV + ", p AS (SELECT a.id, a.s AS s0, a.e AS e0, greatest(a.s, b.s) AS cs, least(a.e, b.e) AS ce, b.id AS b FROM " + AB + ") SELECT id, s0 AS start, cs - 1 AS \"end\", b FROM p WHERE s0 < cs UNION ALL SELECT id, ce + 1, e0, b FROM p WHERE ce < e0")
 def _(s, d):
-    return I.pairwise_remainders(*_ab(s, d), "id", BINS).select("id", "start", "end", F.col("b.id").alias("b"))
+    return I.pairwise_remainders(*_ab(s, d), "id", LONGEST).select("id", "start", "end", F.col("b.id").alias("b"))
 
 
 @query("nearest_dist", IV + "SELECT a.id, coalesce(min(CASE WHEN b.id IS NOT NULL THEN greatest(a.s - b.e, b.s - a.e, 0) END), 10000000) AS distance FROM a LEFT JOIN b ON a.chrom = b.chrom GROUP BY a.id")
@@ -409,10 +412,10 @@ def _(s, d):
 
 @query("top_coverage", IV + "SELECT id FROM (SELECT id, coalesce(sum(e - s + 1) OVER (ORDER BY e - s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) WHERE before < 500")
 def _(s, d):
-    return I.top_until_coverage(_intervals(s, d), [F.desc(F.col("end") - F.col("start")), F.col("id")], 500).select("id")
+    return I.top_until_coverage(_intervals(s, d), F.col("start") - F.col("end"), ["id"], 500).select("id")
 
 
-@query("best_overlap_hist", IV + "SELECT CAST(floor(coalesce(best, 0) / CAST(a.e - a.s + 1 AS DOUBLE) / 0.25 + 1e-9) AS INT) AS bin, count(*) AS n FROM a LEFT JOIN (SELECT a.id, max(least(a.e, b.e) - greatest(a.s, b.s) + 1) AS best FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e GROUP BY a.id) o ON a.id = o.id GROUP BY 1")
+@query("best_overlap_hist", IV + "SELECT CAST(floor(coalesce(best, 0) / CAST(a.e - a.s + 1 AS DOUBLE) / 0.25 + 1e-9) AS INT) AS bin, count(*) AS n FROM a LEFT JOIN (SELECT a.id, max(least(a.e, b.e) - greatest(a.s, b.s) + 1) AS best FROM " + AB + " GROUP BY a.id) o ON a.id = o.id GROUP BY 1")
 def _(s, d):
     return I.best_overlap_histogram(*_ab(s, d), "id", 0.25)
 

@@ -15,7 +15,7 @@ from siteweave.operators import intervals as I
 from siteweave.operators import reads as R
 from siteweave.operators import sequences as Q
 from siteweave.operators import stats as A
-from siteweave.plans.catalog import BINS, IV, _intervals, _r, _t, query
+from siteweave.plans.catalog import AB, IV, LONGEST, _intervals, _r, _t, query
 from siteweave.sources import exchange as E
 from siteweave.sources import text as T
 
@@ -528,11 +528,11 @@ def _ran(stream: DataFrame, mode: str = "append") -> DataFrame:
     return got.select(*stream.columns)
 
 
-@query("overlaps_streamed", IV + "SELECT a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS l_overlap FROM a JOIN b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e")
+@query("overlaps_streamed", IV + "SELECT a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS l_overlap FROM " + AB)
 def _(s, d):
     from siteweave.streaming.gate import overlaps_streamed
 
-    found = overlaps_streamed(_streamed(_intervals(s, d, 1)), _intervals(s, d, 0), BINS)
+    found = overlaps_streamed(_streamed(_intervals(s, d, 1)), _intervals(s, d, 0), LONGEST)
     return _ran(found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "l_overlap"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.operators.intervals import BIN
+from siteweave.operators.intervals import HIGHEST, LOWEST, STEP, _met, levels_of
 
 MANIFEST = "name string, size long"
 
@@ -35,12 +35,15 @@ def run_when_ready(stream: DataFrame, group, sites: int, act: Callable[[str], No
     return ready_groups(stream, group, sites).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def overlaps_streamed(stream: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """Overlap join of a stream of regions with a static table: by bins, stateless."""
-    low, high = F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size)
-    binned = lambda df, n: df.select(F.struct(*df.columns).alias(n), F.col("chrom").alias("__c"), low.alias(f"__{n}0"), F.explode(F.sequence(low, high)).alias("__bin"))
-    out = binned(stream, "a").join(binned(regions, "b"), ["__c", "__bin"])
-    return out.where("a.start <= b.end AND b.start <= a.end AND __bin = greatest(__a0, __b0)").select("a", "b", (F.least("a.end", "b.end") - F.greatest("a.start", "b.start") + 1).alias("l_overlap"))
+def overlaps_streamed(stream: DataFrame, regions: DataFrame, longest: int | None = None) -> DataFrame:
+    """Overlap join of a stream of regions with a static table: by the hierarchy of bins, stateless.
+
+    Lengths in the stream are not known beforehand, so the table asks all levels; longest: the length that no region of
+    either side exceeds, if it is known.
+    """
+    every = list(range(LOWEST, HIGHEST + 1, STEP))
+    out = _met(stream, regions, every, [] if longest else levels_of(regions)[0], longest)
+    return out.select("a", "b", (F.least("a.end", "b.end") - F.greatest("a.start", "b.start") + 1).alias("l_overlap"))
 
 
 def windowed_counts(events: DataFrame, ts: str, by: list[str], window: str = "1 day", late: str = "1 hour") -> DataFrame:
