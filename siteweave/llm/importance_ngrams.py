@@ -94,7 +94,7 @@ def resampled(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text:
     rows = lambda df, c, i: df.select(F.monotonically_increasing_id().alias("row"), i.cast("long").alias("id"), F.col(c).alias("text"))
     own = materialize(bucketed(rows(docs, text, F.col(doc_id)), orders, buckets), "positions")
     asked = bucketed(rows(target, target_text, F.lit(0)), orders, buckets)
-    gain = materialize(gains(counted(own), counted(asked), buckets), "gains", 1)
+    gain = materialize(gains(counted(own), counted(asked), buckets).repartition(1), "gains")  # `buckets` rows in one file
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296.0))).cast("long")
     scored = materialize(weighted(own, gain).withColumn("score", F.col("weight") + noise), "scores")
