@@ -149,6 +149,7 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket:
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("row")).alias("row"))).alias("best")
     stays = keys.groupBy("h", "sha").agg(best, F.count(F.lit(1)).alias("rows")).where("rows > 1")
     groups = stays.join(index.where("n > 1"), ["h", "sha"]).select("h", "sha", F.col("best.id").alias("keep_id"), (-F.col("best.row")).alias("keep_row"), F.col("n").alias("group_size"))
+    groups = materialize(groups, "groups")  # so that both sides of the join are exchanges that Spark can split where a group is hot
     out = keys.join(groups, ["h", "sha"], "left")
     alone = F.col("keep_row").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
