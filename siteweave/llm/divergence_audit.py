@@ -31,6 +31,7 @@ LEAST_DOCUMENTS = 30
 SCALE = 1_000_000_000
 PRIOR = 5
 RANKS = 50
+COUNT = 40  # bits of a count in a block
 HELD = 400_000  # runs that a task adds up before it sends them
 SIDE = 256  # sources of a side of a tile
 SHARE = 1 << 14  # rows of a tile at least, before its terms are dealt into shares
@@ -48,28 +49,25 @@ def block_runs(docs: DataFrame) -> DataFrame:
     """RUNS of docs (lang, source, text), one for each block of documents; each group of a block has one with an empty term too, docs 0 and n 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # a term's documents and count in one number
         size = block = 0
 
         def out() -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(5)]
             for (lang, source), own in held.items():
-                of, docs_in, n_in = zip(*[(w.decode("utf-8", "surrogatepass"), *x) for w, x in own.items()], strict=True) if own else ((), (), ())
-                for c, v in zip(cols, ((lang,) * (len(own) + 1), (*of, ""), (source,) * (len(own) + 1), (*docs_in, 0), (*n_in, 0)), strict=True):
+                n = len(own) + 1
+                packed = np.fromiter(own.values(), np.int64, n - 1)
+                for c, v in zip(cols, ([lang] * n, [*own, b""], [source] * n, [*(packed >> COUNT).tolist(), 0], [*(packed & (1 << COUNT) - 1).tolist(), 0]), strict=True):
                     c.extend(v)
             a, t, s, d, n = cols
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(t), pa.array(s), pa.array([block] * len(a), pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["lang", "term", "source", "block", "docs", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(t, pa.binary()).cast(pa.string()), pa.array(s), pa.array([block] * len(a), pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["lang", "term", "source", "block", "docs", "n"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = held.setdefault((lang, source), {})
-                before = len(own)
+                before, seen = len(own), own.get
                 for w, n in Counter(terms(text)).items():
-                    if (x := own.get(w)) is None:
-                        own[w] = [1, n]
-                    else:
-                        x[0] += 1
-                        x[1] += n
+                    own[w] = seen(w, 0) + n + (1 << COUNT)
                 size += len(own) - before
                 if size > HELD:
                     yield out()
@@ -219,9 +217,13 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
-    runs = block_runs(own).repartition(n, "lang", "term", "source").sortWithinPartitions("lang", "term", "source", "block")
-    sums = runs.mapInArrow(summed_runs, "lang string, term string, source string, docs long, n long")
-    by_term = sums.repartition(n, "lang", "term").sortWithinPartitions("lang", "term", "source")
+
+    def dealt(df: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
+        """By key, each partition sorted by it: a hash goes first, as numbers are compared faster than words."""
+        return df.withColumn("h", F.xxhash64(*key)).repartition(n, "h").sortWithinPartitions("h", *key, *rest).drop("h")
+
+    sums = dealt(block_runs(own), ["lang", "term", "source"], ["block"]).mapInArrow(summed_runs, "lang string, term string, source string, docs long, n long")
+    by_term = dealt(sums, ["lang", "term"], ["source"])
     kept = materialize(by_term.mapInArrow(frequent_runs(least), "lang string, term string, source string, n long, of_lang long"), "terms")
     held = kept.where("term <> ''")
 
