@@ -152,7 +152,7 @@ def _secrets_sql() -> str:
     q = lambda x: "'" + x.replace("'", "''") + "'"
     steps, lists = [], []
     for k, r in enumerate(RULES):
-        rx = q(r.pattern)
+        rx = q(r.re2 or r.pattern)
         steps.append(f"regexp_extract_all(t, {rx}) AS m{k}, string_split_regex(t, {rx}) AS g{k}")
         total = lambda c, to: f"coalesce(list_sum(list_transform({c}{k}[1:{to}], lambda x: length(x))), 0)"  # noqa: B023, E731
         start = f"CAST({total('g', 'i')} + {total('m', 'i - 1')} AS INT)"

@@ -23,26 +23,31 @@ from siteweave.llm._common import materialize
 
 
 class Rule(NamedTuple):
-    """A match of `pattern` counts if its group `group` has `least` characters or more."""
+    """A match of `pattern` counts if its group `group` has `least` characters or more. re2: the same expression for engines without possessive repetitions, if it has some."""
 
     kind: str
     pattern: str
     group: int
     least: int
+    re2: str = ""
 
 
-#: A private key through its END marker; without one, with its header lines and the base64 runs that follow.
-PEM = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,99}-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+){0,4}[ \t\r\n\\]*[A-Za-z0-9+/]{16}[A-Za-z0-9+/=]*(?:[ \t\r\n\\]+[A-Za-z0-9+/]{16}[A-Za-z0-9+/=]*)*(?:[ \t]*[\r\n\\]+[A-Za-z0-9+/]+={0,2})?)?"
+#: A private key through its END marker, which no other run of five dashes comes before; without one, with its header
+#: lines and the base64 runs that follow. @ stands for a repetition that gives nothing back, as Java writes it with a +,
+#: which needs no stack however long the key is. What follows each one begins with something that it cannot hold, so the
+#: expression finds the same without, which is how RE2 reads it.
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]+@|-{1,4}@[^-])*@-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+){0,4}[ \t\r\n\\]*[A-Za-z0-9+/]{16}[A-Za-z0-9+/=]*@(?:[ \t\r\n\\]+@[A-Za-z0-9+/]{16}[A-Za-z0-9+/=]*@)*@(?:[ \t]*[\r\n\\]+[A-Za-z0-9+/]+={0,2})?)?"
 )
+PEM, PEM_RE2 = _PEM.replace("@", "+"), _PEM.replace("@", "")
 
 #: The first three are the base kinds. Java and Python read these expressions alike.
 RULES = (
     Rule("assign", r"""(?:(?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(?:(?i)", "(?i:"), 1, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),  # the runs of [0-9a-f]+ that have 16 characters
-    Rule("pem", PEM, 0, 0),
+    Rule("pem", PEM, 0, 0, PEM_RE2),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 0),
@@ -94,7 +99,7 @@ def _exact(node) -> set[str] | None:
     if op is C.BRANCH:
         parts = [_exact_all(x) for x in arg[1]]
         return None if None in parts else set().union(*parts)
-    if op is C.MAX_REPEAT:
+    if op in (C.MAX_REPEAT, C.POSSESSIVE_REPEAT):
         low, high, inner = arg
         own = _exact_all(inner)
         if own is None or high > 5:
@@ -137,7 +142,7 @@ def _query(nodes):
                 out.append(_query(arg[-1]))
             elif op is C.BRANCH:
                 out.append(_or(*[_query(x) for x in arg[1]]))
-            elif op is C.MAX_REPEAT and arg[0] > 0:
+            elif op in (C.MAX_REPEAT, C.POSSESSIVE_REPEAT) and arg[0] > 0:
                 out.append(_query(arg[2]))
     return _and(*out, _of(run))
 

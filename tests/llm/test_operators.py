@@ -521,6 +521,24 @@ def test_whole_private_keys_are_replaced(spark):
     assert spans[0].startswith(f"pem:2:{2 + len(key)},")
 
 
+def test_keys_of_many_lines_need_no_stack(spark):
+    """20,000 lines with and without END, many runs of dashes within a key, and 20 MB of text around secrets."""
+    line = "MIIEvQ+/" * 8
+    many = "\n".join([line] * 20_000)
+    dashes = "\n".join([f"{line}-x--y---z"] * 300)
+    texts = {
+        f"a -----BEGIN PRIVATE KEY-----\n{many}": "a [pem]",
+        f"-----BEGIN PRIVATE KEY-----\n{many}\n-----END PRIVATE KEY-----.": "[pem].",
+        f"-----BEGIN PRIVATE KEY-----\n{dashes}\n-----END PRIVATE KEY----- z": "[pem] z",
+        "word another " * 1_600_000 + " token=abcdefghijklmnop": "word another " * 1_600_000 + " [assign]",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in secret_trigrams.redacted(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+    spans = {r["doc_id"]: r["spans"] for r in secret_trigrams.scanned(docs).collect()}
+    assert [spans[k] for k in range(3)] == [f"pem:2:{len(list(texts)[0])}", f"pem:0:{len(list(texts)[1]) - 1}", f"pem:0:{len(list(texts)[2]) - 2}"]
+
+
 @pytest.mark.parametrize("rule", secret_trigrams.RULES, ids=lambda r: r.kind)
 def test_queries_hold_for_all_matches(rule):
     from hypothesis import given, settings
@@ -532,9 +550,10 @@ def test_queries_hold_for_all_matches(rule):
         return t.find(q) >= 0 if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, t) for x in q[1:])
 
     @settings(max_examples=60, deadline=None)
-    @given(st.from_regex(re.compile(rule.pattern), fullmatch=True))
+    @given(st.from_regex(re.compile(rule.re2 or rule.pattern), fullmatch=True))
     def check(match):
         assert query is None or holds(query, match.lower())
+        assert re.search(rule.pattern, match)[0] == re.search(rule.re2 or rule.pattern, match)[0]
 
     check()
 
