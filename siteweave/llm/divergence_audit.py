@@ -32,7 +32,7 @@ SCALE = 1_000_000_000
 PRIOR = 5
 RANKS = 50
 COUNT = 40  # bits of a count in a block
-HELD = 400_000  # runs that a task adds up before it sends them
+HELD = 1_000_000  # runs that a task adds up before it sends them
 SIDE = 256  # sources of a side of a tile
 SHARE = 1 << 14  # rows of a tile at least, before its terms are dealt into shares
 
@@ -219,8 +219,8 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     own = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
 
     def dealt(df: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
-        """By key, each partition sorted by it: a hash goes first, as numbers are compared faster than words."""
-        return df.withColumn("h", F.xxhash64(*key)).repartition(n, "h").sortWithinPartitions("h", *key, *rest).drop("h")
+        """By key, each partition sorted by it: a hash goes first, as numbers are compared faster than words. It is not sent."""
+        return df.repartition(n, *key).sortWithinPartitions(F.xxhash64(*key), *key, *rest)
 
     sums = dealt(block_runs(own), ["lang", "term", "source"], ["block"]).mapInArrow(summed_runs, "lang string, term string, source string, docs long, n long")
     by_term = dealt(sums, ["lang", "term"], ["source"])

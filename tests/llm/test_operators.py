@@ -553,7 +553,6 @@ def test_queries_hold_for_all_matches(rule):
     @given(st.from_regex(re.compile(rule.re2 or rule.pattern), fullmatch=True))
     def check(match):
         assert query is None or holds(query, match.lower())
-        assert re.search(rule.pattern, match)[0] == re.search(rule.re2 or rule.pattern, match)[0]
 
     check()
 
