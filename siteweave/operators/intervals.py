@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteweave.operators.tiles import carried, parts_of, tiled
+
 #: Bins of the lowest level have 2^LOWEST positions; those of the next 2^STEP times as many.
 LOWEST = 7
 STEP = 2
@@ -98,32 +100,18 @@ def without_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _tiled(a: DataFrame, tile: int, keys: list[str]) -> DataFrame:
-    """Dealt by tile once: the aggregates of tiles and the windows over them read the same exchange."""
-    return a.withColumn("__tile", F.floor(F.col("start") / tile)).repartition(*keys, "__tile")
-
-
-def _carried(tiled: DataFrame, keys: list[str], before: dict[str, tuple[Column, Column]], after: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
-    """tiled with columns of what the tiles before, and after, bring along: name -> (aggregate of a tile, aggregate of tiles' `__x`)."""
-    w = Window.partitionBy(*keys).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(*keys).orderBy(F.desc("__tile")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = [(name, *x, w) for name, x in before.items()] + [(name, *x, back) for name, x in (after or {}).items()]
-    each = tiled.groupBy(*keys, "__tile").agg(*[of.alias(name) for name, of, _, _ in sums])
-    each = each.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__tile").alias("__k_tile"), *[over(F.col(name)).over(own).alias(name) for name, _, over, own in sums])
-    on = F.col("__tile") == F.col("__k_tile")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return tiled.join(each, on).drop("__k_tile", *[f"__k_{k}" for k in keys])
+    return tiled(a, F.floor(F.col("start") / tile), keys)
 
 
 def merge(a: DataFrame, gap: int = 0, by: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
     """(chrom, ..., start, end, n): regions no further apart than gap fused. by: further columns that separate, as strand."""
     keys = ["chrom", *by]
-    own = _carried(_tiled(a.select(*keys, "start", "end"), tile, keys), keys, {"__far": (F.max("end"), F.max)})
+    own = carried(_tiled(a.select(*keys, "start", "end"), tile, keys), keys, {"__far": (F.max("end"), F.max)})
     w = Window.partitionBy(*keys, "__tile").orderBy("start", "end")
     far = F.greatest("__far", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     opens = F.when(F.col("start") <= far + gap, F.lit(None)).otherwise(F.col("start"))
     own = own.withColumn("__opens", opens).drop("__far")
-    own = _carried(own, keys, {"__open": (F.max("__opens"), F.max)})
+    own = carried(own, keys, {"__open": (F.max("__opens"), F.max)})
     # the run of a region begins at the last region up to it, or equal to it, that opened one
     run = F.coalesce(F.max("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "__open")
     return own.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("__run")
@@ -201,7 +189,7 @@ def _with_distance(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
     kind = a.select(own.alias("x")).schema["x"].dataType
     both = cols(a, 1, own).unionByName(cols(b.where("end >= start"), 0, F.lit(None).cast(kind)))
     end, start = (F.when(F.col("__side") == 0, F.col(c)) for c in ("end", "start"))
-    both = _carried(_tiled(both, tile, ["chrom"]), ["chrom"], {"__left": (F.max(end), F.max)}, {"__right": (F.min(start), F.min)})
+    both = carried(_tiled(both, tile, ["chrom"]), ["chrom"], {"__left": (F.max(end), F.max)}, {"__right": (F.min(start), F.min)})
     before = Window.partitionBy("chrom", "__tile").orderBy("start", "__side").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("chrom", "__tile").orderBy(F.desc("start"), "__side").rowsBetween(Window.unboundedPreceding, 0)
     # greatest() and least() skip nulls, as they should for what tiles bring along
@@ -221,14 +209,14 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str, tile: int = TILE) ->
 def gaps(a: DataFrame, tile: int = TILE) -> DataFrame:
     """(chrom, start, gap): distance of each region from the one before it on its chromosome, by start."""
     last = F.max(F.struct("start", "end"))
-    own = _carried(_tiled(a, tile, ["chrom"]), ["chrom"], {"__last": (last, F.max)})
+    own = carried(_tiled(a, tile, ["chrom"]), ["chrom"], {"__last": (last, F.max)})
     w = Window.partitionBy("chrom", "__tile").orderBy("start", "end")
     return own.withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(w), F.col("__last.end"))).where("gap IS NOT NULL").select("chrom", "start", "gap")
 
 
 def cumulative_ends(a: DataFrame, tile: int = TILE) -> DataFrame:
     """With the greatest end so far and the least start from here on, by position: the latter is the region's own."""
-    own = _carried(_tiled(a, tile, ["chrom"]), ["chrom"], {"__far": (F.max("end"), F.max)})
+    own = carried(_tiled(a, tile, ["chrom"]), ["chrom"], {"__far": (F.max("end"), F.max)})
     w = Window.partitionBy("chrom", "__tile").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     return own.withColumn("cumul_end", F.greatest("__far", F.max("end").over(w))).withColumn("cumul_start", F.col("start")).drop("__far", "__tile")
 
@@ -255,8 +243,6 @@ def top_until_coverage(a: DataFrame, first: Column, ties: list[str], most: int,
     Quantiles of `first` cut the order into parts, whose sums are added up over one row a part; only the parts up to the
     one that crosses are sorted, each by itself.
     """
-    from siteweave.operators.stats import parts_of
-
     length = F.col("end").cast("long") - F.col("start") + 1
     own, part = parts_of(a.withColumn("__first", first), F.col("__first"), parts)
     own = own.withColumn("__part", part).drop("__cuts")

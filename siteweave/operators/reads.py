@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave.functions.scalar import cigar_blocks, cigar_parts
+from siteweave.operators.tiles import carried, tiled
 
 
-def coverage(reads: DataFrame, by_strand: bool = False, extend_to: int = 0) -> DataFrame:
+def coverage(reads: DataFrame, by_strand: bool = False, extend_to: int = 0, tile: int = 1 << 20) -> DataFrame:
     """(chrom, strand, start, end, depth): runs of equal depth over the M blocks of reads (chrom, pos, strand, cigar).
 
     extend_to: each read instead as a tag of that length from its 5' end. Starts and ends become +1 and -1 events, summed
-    by position and then along the chromosome, so that no position is expanded.
+    by position and then along the chromosome, so that no position is expanded. Each tile of `tile` positions begins with
+    the depth that those before it leave, and its last run ends before the next tile's first event.
     """
     keys = ["chrom", "strand"] if by_strand else ["chrom"]
     if extend_to:
@@ -24,8 +26,9 @@ def coverage(reads: DataFrame, by_strand: bool = False, extend_to: int = 0) -> D
         blocks = cigar_blocks(F.col("pos"), F.col("cigar"))
     spans = reads.select(*keys, F.explode(blocks).alias("b")).select(*keys, F.explode(F.array(F.struct(F.col("b.start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("b.end") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     events = spans.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy(*keys).orderBy("at")
-    runs = events.withColumn("depth", F.sum("d").over(w)).withColumn("end", F.lead("at").over(w) - 1)
+    own = carried(tiled(events, F.floor(F.col("at") / tile), keys), keys, {"__depth": (F.sum("d"), F.sum)}, {"__next": (F.min("at"), F.min)})
+    w = Window.partitionBy(*keys, "__tile").orderBy("at")
+    runs = own.withColumn("depth", F.coalesce("__depth", F.lit(0)) + F.sum("d").over(w)).withColumn("end", F.coalesce(F.lead("at").over(w), "__next") - 1)
     return runs.where("depth > 0").select(*keys, F.col("at").alias("start"), "end", "depth")
 
 

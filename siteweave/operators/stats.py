@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteweave.operators.tiles import carried, numbered, parts_by_group, parts_of, tiled, with_halos
 
 def moments(df: DataFrame, by: list[str], v: str = "v") -> DataFrame:
     """Mean, sample variance and deviation; null variance for one value."""
@@ -18,32 +19,6 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(flat, F.lit(0.0)).otherwise(F.corr(a, b)).alias("r"))
 
 
-def numbered(df: DataFrame, parts: Column, order: list[Column], name: str = "k", by: list[str] | None = None) -> DataFrame:
-    """df with `name`, the place of each row from 1 in an order, within groups `by`.
-
-    parts must not fall as the order goes up. A window runs over each part, and a part's first place is the number of
-    rows of those before it, from a small table of one row a part: no group is one task.
-    """
-    by = by or []
-    own = df.withColumn("__part", parts)
-    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = own.groupBy(*by, F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__p", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    on = F.col("__part").eqNullSafe(F.col("__p"))
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    placed = own.join(counts, on)
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
-    return placed.withColumn(name, place).drop("__part", "__p", "__before", *[f"__k_{c}" for c in by])
-
-
-def parts_of(df: DataFrame, v: Column, parts: int = 64) -> tuple[DataFrame, Column]:
-    """df with the quantiles of v, and the number of those below a row's v: parts of nearly equal size in its order. A single value, however frequent, lies in one part; nulls come first."""
-    cuts = df.agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 100 * parts).alias("__cuts"))
-    own = df.crossJoin(F.broadcast(cuts))  # one row
-    return own, F.coalesce(F.size(F.filter("__cuts", lambda c: c < v)), F.lit(-1))
-
-
 def dealt(rep: Column, tie: Column) -> Column:
     """A number from 0 to 2^32 - 1 by the MD5 digest of "rep:tie": an order at random that can be made again."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), tie.cast("string"))), 1, 8), 16, 10).cast("long")
@@ -71,18 +46,21 @@ def zscore(df: DataFrame, by: list[str], v: str = "v") -> DataFrame:
     return out.withColumn("z", F.try_divide(F.col(v) - F.col("mean"), F.col("sd"))).drop("mean", "sd")
 
 
-def rank_normalised(df: DataFrame, by: list[str], v: str = "v", tie: str = "id") -> DataFrame:
-    """Ordinal rank from 0 in each group; ties by id."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(v, tie)) - 1)
+def rank_normalised(df: DataFrame, by: list[str], v: str = "v", tie: str = "id", rows: int | None = None) -> DataFrame:
+    """Ordinal rank from 0 in each group; ties by id. Large groups are ordered part by part."""
+    own, part, more = parts_by_group(df, by, F.col(v), tie, *([rows] if rows else []))
+    return numbered(own, part, [F.col(v), F.col(tie)], "rank", by).withColumn("rank", F.col("rank") - 1).drop(*more)
 
 
-def rank_descending(df: DataFrame, by: list[str], v: str = "v", tie: str = "id") -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(v), tie)) - 1)
+def rank_descending(df: DataFrame, by: list[str], v: str = "v", tie: str = "id", rows: int | None = None) -> DataFrame:
+    """rank_normalised() from the greatest value down; nulls last."""
+    own, part, more = parts_by_group(df, by, F.coalesce(-F.col(v), F.lit(float("inf"))), tie, *([rows] if rows else []))
+    return numbered(own, part, [F.desc(v), F.col(tie)], "rank", by).withColumn("rank", F.col("rank") - 1).drop(*more)
 
 
-def quantile_normalised(df: DataFrame, sample: str, v: str = "v", tie: str = "id") -> DataFrame:
+def quantile_normalised(df: DataFrame, sample: str, v: str = "v", tie: str = "id", rows: int | None = None) -> DataFrame:
     """Each value replaced by the mean over samples at its rank."""
-    ranked = rank_normalised(df, [sample], v, tie)
+    ranked = rank_normalised(df, [sample], v, tie, rows)
     means = ranked.groupBy("rank").agg(F.avg(v).alias("qn"))
     return ranked.join(means, "rank")
 
@@ -163,10 +141,14 @@ def jensen_shannon(p: DataFrame, q: DataFrame, names: list[str]) -> DataFrame:
     return _two(p, q, names).agg((F.sum(part(F.col("p"))) / 2 + F.sum(part(F.col("q"))) / 2).alias("js"))
 
 
-def transitions(df: DataFrame, by: list[str], order: list[str], state: str) -> DataFrame:
-    """(source, target, n, p): state changes in order within groups."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    pairs = df.withColumn("source", F.lag(state).over(w)).where("source IS NOT NULL").groupBy("source", F.col(state).alias("target")).agg(F.count(F.lit(1)).alias("n"))
+def transitions(df: DataFrame, by: list[str], order: list[str], state: str, rows: int | None = None) -> DataFrame:
+    """(source, target, n, p): state changes in order within groups. A large group is cut by its first order column, a number or a time; each part begins with the last state of those before it."""
+    own, part, more = parts_by_group(df, by, F.col(order[0]), order[1] if len(order) > 1 else None, *([rows] if rows else []))
+    last = F.max(F.struct(*[F.col(c).alias(f"k{k}") for k, c in enumerate(order)], F.col(state).alias("state")))
+    own = carried(tiled(own, part, by), by, {"__last": (last, F.max)}) if more else own.withColumn("__tile", F.lit(0)).withColumn("__last", F.lit(None).cast(df.select(F.struct(F.col(state).alias("state")).alias("x")).schema["x"].dataType))
+    w = Window.partitionBy(*by, "__tile").orderBy(*order)
+    before = F.when(F.row_number().over(w) == 1, F.col("__last.state")).otherwise(F.lag(state).over(w))
+    pairs = own.withColumn("source", before).where("source IS NOT NULL").groupBy("source", F.col(state).alias("target")).agg(F.count(F.lit(1)).alias("n"))
     totals = pairs.groupBy("source").agg(F.sum("n").alias("__t"))
     return pairs.join(totals, "source").withColumn("p", F.col("n") / F.col("__t")).drop("__t")
 
@@ -228,23 +210,37 @@ def prune_below(wide: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return wide.where(any_of([F.col(c) >= t for c, t in thresholds.items()]))
 
 
-def peaks(track: DataFrame, by: list[str], pos: str, v: str, thresholds: list[int], emit_open: bool = True) -> DataFrame:
-    """(by, threshold, start, end): runs of neighbouring positions at or above each threshold. emit_open=False drops a run that the track ends in."""
-    t = track.select(*by, pos, v, F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold"), F.max(pos).over(Window.partitionBy(*by)).alias("__last"))
-    on = t.where(F.col(v) >= F.col("threshold"))
-    w = Window.partitionBy(*by, "threshold").orderBy(pos)
-    runs = on.withColumn("__run", F.col(pos) - F.row_number().over(w)).groupBy(*by, "threshold", "__run")
-    out = runs.agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.max("__last").alias("__last"))
-    return (out if emit_open else out.where("end < __last")).drop("__run", "__last")
+#: Positions of a part of a chromosome.
+SPAN = 1 << 20
+
 
+def peaks(track: DataFrame, by: list[str], pos: str, v: str, thresholds: list[int], emit_open: bool = True, span: int = SPAN) -> DataFrame:
+    """(by, threshold, start, end): runs of neighbouring positions at or above each threshold. emit_open=False drops a run that the track ends in.
 
-def smoothed(df: DataFrame, by: list[str], pos: str, v: str, half: int, self_weight: float, iterations: int = 1) -> DataFrame:
-    """Moving window of 2 half + 1 places: self_weight for the place itself, the rest shared by the others; cut, not rescaled, at the edges."""
-    w = Window.partitionBy(*by).orderBy(pos).rowsBetween(-half, half)
+    Positions are numbered part by part; those of a run are as far from their numbers, in whichever parts they lie.
+    """
+    on = track.select(*by, pos, v, F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")).where(F.col(v) >= F.col("threshold"))
+    on = numbered(on, F.floor(F.col(pos) / span), [F.col(pos)], "__k", [*by, "threshold"])
+    out = on.groupBy(*by, "threshold", (F.col(pos) - F.col("__k")).alias("__run")).agg(F.min(pos).alias("start"), F.max(pos).alias("end"))
+    if not emit_open:
+        last = track.groupBy(*by).agg(F.max(pos).alias("__last"))
+        out = out.join(last, by).where("end < __last").drop("__last")
+    return out.drop("__run")
+
+
+def smoothed(df: DataFrame, by: list[str], pos: str, v: str, half: int, self_weight: float, iterations: int = 1, span: int = SPAN, rows: int = 1 << 16) -> DataFrame:
+    """Moving window of 2 half + 1 places: self_weight for the place itself, the rest shared by the others; cut, not rescaled, at the edges.
+
+    Rows are numbered part by part of `span` positions, and dealt by tiles of `rows` places with as many beyond their
+    borders as all iterations reach. What a halo lacks of its own neighbours does not get as far as the tile's own rows.
+    """
+    placed = numbered(df, F.floor(F.col(pos) / span), [F.col(pos)], "__k", by)
+    own = with_halos(placed, by, "__k", half * iterations, rows)
+    w = Window.partitionBy(*by, "__tile").orderBy("__k").rowsBetween(-half, half)
     other = (1 - self_weight) / (2 * half)
     for _ in range(iterations):
-        df = df.withColumn(v, F.lit(float(self_weight)) * F.col(v) + F.lit(other) * (F.sum(v).over(w) - F.col(v)))
-    return df
+        own = own.withColumn(v, F.lit(float(self_weight)) * F.col(v) + F.lit(other) * (F.sum(v).over(w) - F.col(v)))
+    return own.where("__own").select(*df.columns)
 
 
 def smoothed_logs(df: DataFrame, by: list[str], pos: str, v: str, half: int, self_weight: float, iterations: int = 1) -> DataFrame:

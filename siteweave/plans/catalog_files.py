@@ -542,7 +542,7 @@ def _(s, d):
     from siteweave.streaming.gate import ready_groups
 
     own = _t(s, d, "orders").select(F.concat_ws("|", (F.col("o_custkey") % 50).cast("string"), "o_orderpriority").alias("name"), F.lit(1).cast("long").alias("size"))
-    return _ran(ready_groups(_streamed(own), F.split("name", r"\|")[0], 5).select("group"), "complete")
+    return _ran(ready_groups(_streamed(own), F.split("name", r"\|")[0], 5).select("group"))
 
 
 # ---- scalar functions ----

@@ -38,6 +38,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, place = _fs(spark, path)
+    fs.create(place, True).close()
+
+
 def require(spark: SparkSession, paths: list[str], directory: bool | None = None) -> None:
     """Raise unless all paths are there, and are folders (or files) if asked."""
     for p in paths:

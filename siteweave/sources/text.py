@@ -5,12 +5,12 @@ Regions are read into (chrom, start, end, ...) counted from 1, inclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteweave.functions.scalar import genotype_code, haplotype_code, is_number, normalise_chrom
 from siteweave.operators.reads import flagged
-from siteweave.operators.stats import numbered
+from siteweave.operators.tiles import numbered
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -329,13 +329,95 @@ def bed_reads(spark: SparkSession, path, columns: int = 6) -> DataFrame:
 CHUNK = 1 << 16
 
 
+def _sequence_pieces(keep: bool):
+    """A reader of lines (file, block, value) in the order of each file's splits.
+
+    Yields (file, block, k, head, at, n, seq): chunks of the k-th sequence of a split, from `at` bases after its header. That
+    with k 0 goes on from the split before. A header has a row without bases. keep: with the bases, else their number only.
+    """
+
+    def read(batches):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        names = ("file", "block", "k", "head", "at", "n", "seq")
+        split, k, head, at = None, 0, None, 0
+        waiting: list[str] = []
+        size = 0
+        rows: list[tuple] = []
+
+        def put(n: int, seq: str | None) -> None:
+            nonlocal at
+            rows.append((*split, k, head, at, n, seq))
+            at += n
+
+        def flush() -> None:
+            nonlocal size
+            if not keep:
+                if size:
+                    put(size, None)
+            else:
+                whole = "".join(waiting)
+                for p in range(0, len(whole), CHUNK):
+                    put(len(whole[p : p + CHUNK]), whole[p : p + CHUNK])
+            waiting.clear()
+            size = 0
+
+        def out() -> "pa.RecordBatch":
+            cols = zip(*rows, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            for file, block, value in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if (file, block) != split:
+                    if split:
+                        flush()
+                    split, k, head, at = (file, block), 0, None, 0
+                if value.startswith(">"):
+                    flush()
+                    k, head, at = k + 1, value[1:], 0
+                    put(0, None)
+                    continue
+                bases = "".join(value.split())
+                size += len(bases)
+                if keep:
+                    waiting.append(bases)
+                    if size >= CHUNK:
+                        flush()
+            if rows:
+                yield out()
+        if split:
+            flush()
+        if rows:
+            yield out()
+
+    return read
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, start, seq): chunks of CHUNK bases at most. Files are cut at `>`, so each sequence is a row of its own and files of any size are split."""
-    own = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
-    rows = own.select(normalise_chrom(F.split(head, r"\s+")[0]).alias("chrom"), F.posexplode(F.regexp_extract_all(F.upper(body), F.lit(f"(.{{1,{CHUNK}}})"), F.lit(1))).alias("k", "seq"))
-    return rows.select("chrom", (F.col("k") * CHUNK + 1).cast("int").alias("start"), "seq")
+    """(chrom, start, seq): chunks of CHUNK bases at most, start counted from 1.
+
+    Two passes over the files' splits: the first finds, for each split, its last header and the bases since; added up
+    over the splits of a file, a row each, they say which sequence a split goes on with and where. So a sequence of any
+    number of lines is read in as many tasks as its file has splits. What comes before a file's first header is an error.
+    """
+    own = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    schema = "file string, block long, k int, head string, at long, n long, seq string"
+    sizes = own.mapInArrow(_sequence_pieces(False), schema)
+    last = F.max(F.struct("k", (F.col("at") + F.col("n")).alias("bases"), "head")).alias("last")
+    each = sizes.groupBy("file", "block").agg(last)
+    before = Window.partitionBy("file").orderBy("block")
+    each = each.withColumn("run", F.sum((F.col("last.k") > 0).cast("int")).over(before))  # splits since one with a header
+    since = Window.partitionBy("file", "run").orderBy("block")
+    each = each.withColumn("head_so_far", F.first("last.head").over(since)).withColumn("bases_so_far", F.sum("last.bases").over(since))
+    brought = each.select("file", "block", F.lag("head_so_far").over(before).alias("brought"), F.lag("bases_so_far").over(before).alias("more"))
+    pieces = own.mapInArrow(_sequence_pieces(True), schema).where("n > 0").join(brought, ["file", "block"])
+    head = F.when(F.col("k") > 0, F.col("head")).otherwise(F.col("brought"))
+    head = F.coalesce(head, F.raise_error(F.concat(F.lit("bases before the first header: "), F.col("file"))).cast("string"))
+    start = F.when(F.col("k") > 0, F.lit(0)).otherwise(F.col("more")) + F.col("at") + 1
+    return pieces.select(normalise_chrom(F.split(F.trim(head), r"\s+")[0]).alias("chrom"), start.cast("int").alias("start"), F.upper("seq").alias("seq"))
 
 
 # ---- writers ----

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteweave.operators import intervals
+from siteweave.operators import intervals, reads, sequences, stats, tiles
+from siteweave.sources import text
+from siteweave.streaming import gate
 
 
 def regions(spark, rows, chrom="c"):
@@ -90,3 +92,143 @@ def test_regions_until_a_coverage(spark):
             total += x[k][1] - x[k][0] + 1
         got = intervals.top_until_coverage(a, F.col("start") - F.col("end"), ["id"], most, parts=16)
         assert sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def test_ranks_of_a_hot_sample(spark):
+    """Nine rows in ten in one sample, and half of those of one value: the order is cut by values, and that value's by ids."""
+    rng = np.random.default_rng(4)
+    data = [("hot" if k % 10 else f"s{k % 30}", k, float(rng.integers(0, 50)) if k % 2 else 7.0) for k in range(3000)] + [("hot", 5000, None)]
+    df = spark.createDataFrame(data, "s string, id int, v double")
+    up, down = {}, {}
+    for name in {s for s, _, _ in data}:
+        own = [(v, k) for s, k, v in data if s == name]
+        up |= {k: n for n, (_, k) in enumerate(sorted(own, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))}
+        down |= {k: n for n, (_, k) in enumerate(sorted(own, key=lambda x: (x[0] is None, -(x[0] or 0), x[1])))}
+    cut = stats.rank_normalised(df, ["s"], rows=100)
+    assert {r["id"]: r["rank"] for r in cut.collect()} == up
+    assert {r["id"]: r["rank"] for r in stats.rank_descending(df, ["s"], rows=100).collect()} == down
+    assert {r["id"]: r["rank"] for r in stats.rank_normalised(df, ["s"]).collect()} == up
+    own, part, _ = tiles.parts_by_group(df, ["s"], F.col("v"), "id", 100)
+    sizes = [r["count"] for r in own.groupBy("s", part.alias("p")).count().collect()]
+    assert max(sizes) < 300 and sum(sizes) == len(data)
+    whole = {r["id"]: r["qn"] for r in stats.quantile_normalised(df.na.drop(), "s").collect()}
+    assert {r["id"]: r["qn"] for r in stats.quantile_normalised(df.na.drop(), "s", rows=100).collect()} == whole
+
+
+def test_transitions_of_a_hot_user(spark):
+    rng = np.random.default_rng(5)
+    data = [("hot" if k % 5 else f"u{k % 20}", int(rng.integers(0, 400)), k, "abc"[int(rng.integers(3))]) for k in range(2000)]
+    df = spark.createDataFrame(data, "user string, ts int, id int, state string")
+    want = {}
+    for u in {x[0] for x in data}:
+        own = [x[3] for x in sorted((x for x in data if x[0] == u), key=lambda x: (x[1], x[2]))]
+        for a, b in zip(own, own[1:], strict=False):
+            want[a, b] = want.get((a, b), 0) + 1
+    for rows in (None, 100):
+        assert {(r["source"], r["target"]): r["n"] for r in stats.transitions(df, ["user"], ["ts", "id"], "state", rows).collect()} == want
+
+
+def test_a_chromosome_is_smoothed_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 9, 1500)
+    pos = np.cumsum(rng.integers(1, 40, 1500))
+    df = spark.createDataFrame([("c", int(p), float(v)) for p, v in zip(pos, x, strict=True)], "chrom string, pos int, v double")
+    for half, iterations in ((2, 1), (5, 3)):
+        want = x.copy()
+        for _ in range(iterations):
+            want = np.array([0.4 * want[k] + 0.6 / (2 * half) * (want[max(0, k - half) : k + half + 1].sum() - want[k]) for k in range(len(want))])
+        own = stats.smoothed(df, ["chrom"], "pos", "v", half, 0.4, iterations, span=3000, rows=64)
+        assert np.allclose([r["v"] for r in own.orderBy("pos").collect()], want)
+        assert own.count() == 1500
+        placed = tiles.numbered(df, F.floor(F.col("pos") / 3000), [F.col("pos")], "k", ["chrom"])
+        sizes = [r["count"] for r in tiles.with_halos(placed, ["chrom"], "k", half * iterations, 64).groupBy("__tile").count().collect()]
+        assert len(sizes) == 24 and max(sizes) <= 64 + 2 * half * iterations
+
+
+def test_peaks_and_depth_across_tiles(spark):
+    rng = np.random.default_rng(7)
+    v = np.repeat(rng.integers(0, 10, 60), 17)
+    track = spark.createDataFrame([("c", k, int(x)) for k, x in enumerate(v)], "chrom string, pos int, v int")
+    for threshold in (3, 6):
+        on = np.flatnonzero(v >= threshold)
+        cuts = np.flatnonzero(np.diff(on) > 1)
+        want = sorted(zip(on[np.r_[0, cuts + 1]].tolist(), on[np.r_[cuts, len(on) - 1]].tolist(), strict=True))
+        for span in (10, 1 << 20):
+            assert sorted((r["start"], r["end"]) for r in stats.peaks(track, ["chrom"], "pos", "v", [threshold], span=span).collect()) == want
+    starts = rng.integers(1, 3000, 400)
+    tags = spark.createDataFrame([(k, "c", int(s), "+", "50M") for k, s in enumerate(starts)] + [(999, "d", 5, "+", "5000M")], "read_id int, chrom string, pos int, strand string, cigar string")
+    depth = np.zeros(3200, int)
+    for s in starts:
+        depth[s : s + 50] += 1
+    for tile in (100, 1 << 20):
+        rows = reads.coverage(tags, tile=tile).collect()
+        got = np.zeros(3200, int)
+        for r in rows:
+            if r["chrom"] == "c":
+                got[r["start"] : r["end"] + 1] += r["depth"]
+        assert (got == depth).all()
+        assert [(r["start"], r["end"], r["depth"]) for r in rows if r["chrom"] == "d"] == [(5, 5004, 1)]
+
+
+def test_sequences_over_splits_of_their_file(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    seqs = {f"s{k}": "".join(rng.choice(list("ACGTn"), int(n))) for k, n in enumerate([70_000, 0, 5, 200_000, 61, 60])}
+    for width in (60, 7000):
+        path = tmp_path / f"w{width}.fa"
+        path.write_text("".join(f">{n} text\n" + "".join(s[k : k + width] + "\n" for k in range(0, len(s), width)) for n, s in seqs.items()))
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = text.fasta(spark, str(path))
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+            rows = got.orderBy("chrom", "start").collect()
+            r = spark.createDataFrame([(k, n, s, e, "+") for k, (n, s, e) in enumerate([("s0", 19_900, 20_100), ("s3", 1, 200_000), ("s3", 65_530, 65_540), ("s2", 1, 5)])], "id int, chrom string, start int, end int, strand string")
+            cut = {x["id"]: x["seq"] for x in sequences.extracted(got, r, "id").collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+        whole = {}
+        for x in rows:
+            assert x["start"] == len(whole.get(x["chrom"], "")) + 1 and len(x["seq"]) <= text.CHUNK
+            whole[x["chrom"]] = whole.get(x["chrom"], "") + x["seq"]
+        assert whole == {n: s.upper() for n, s in seqs.items() if s}
+        big = seqs["s3"].upper()
+        assert cut == {0: seqs["s0"].upper()[19_899:20_100], 1: big, 2: big[65_529:65_540], 3: seqs["s2"].upper()}
+    (tmp_path / "bad.fa").write_text("ACGT\n>a\nAC\n")
+    with pytest.raises(Exception, match="before the first header"):
+        text.fasta(spark, str(tmp_path / "bad.fa")).collect()
+
+
+def test_the_barrier_counts_exactly_and_fires_once_over_restarts(spark, tmp_path):
+    folder, fired = str(tmp_path / "in"), []
+
+    def put(names):
+        spark.createDataFrame([(n, 1) for n in names], "name string, size long").coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(gate.MANIFEST).parquet(folder)
+        gate.run_when_ready(stream, F.split("name", "_site_")[0], 1000, fired.append, str(tmp_path / "cp")).awaitTermination(120)
+        return sorted(fired)
+
+    put([f"{g}_site_{k}" for g in ("a", "b", "c") for k in range(999)] + [f"a_site_{k}" for k in range(500)])
+    assert run() == []
+    put(["a_site_999", "b_site_5", "c_site_998"])
+    assert run() == ["a"]
+    put(["a_site_7", "b_site_999", "b_site_1000", "a_site_2000"])
+    assert run() == ["a", "b"] == run()
+
+
+def test_a_group_that_waits_too_long_is_reported(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), []
+    spark.createDataFrame([("a_1", 1), ("b_1", 1), ("b_2", 1)], "name string, size long").write.parquet(folder)
+    found = gate.ready_groups(spark.readStream.schema(gate.MANIFEST).parquet(folder), F.split("name", "_")[0], 2, patience=1000)
+    q = found.writeStream.outputMode("append").foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            if len(out) == 2:
+                break
+            q.awaitTermination(0.5)
+    finally:
+        q.stop()
+    assert sorted(out) == [("a", 1, False), ("b", 2, True)]
