@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -258,6 +259,31 @@ def test_misspelt_words_of_a_family_are_caught(spark):
     assert score("you idi0t and ixiotical idi0ts") > 0.7 and score("a quiet river") < 0.5
 
 
+def test_families_are_pooled(spark):
+    """Words of two beginnings, each word rare; clean rows hold single ones too."""
+    docs, labels = labelled(spark, 700)
+    rng = np.random.default_rng(14)
+    ends = ["a", "ba", "ko", "mi", "ru", "se", "ti", "vo", "ze", "lu", "pe", "na"]
+    form = lambda: str(rng.choice(["zarqu", "xilbor"])) + str(rng.choice(ends)) + str(rng.choice(ends))
+    rows = []
+    for r in docs.select("doc_id", F.regexp_replace("text", "idiot|moron|stupid", "FORM").alias("text")).collect():
+        text = re.sub("FORM", lambda m: form(), r["text"])
+        rows.append((r["doc_id"], text + (" " + form() if r["doc_id"] % 7 and r["doc_id"] % 3 == 0 else "")))
+    got = toxicity_automata.judged(spark.createDataFrame(rows, SCHEMA), labels).where("held_out").collect()
+    model = toxicity_automata.learn(spark.createDataFrame(rows, SCHEMA), labels, ~toxicity_automata.held_out())
+    assert {"zarqu", "xilbor"} == set(model.lexicon.families)
+    assert np.mean([r["predicted"] == (r["doc_id"] % 7 == 0) for r in got]) > 0.97
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_on_held_out_labels(spark):
+    """Of the held-out labelled rows of the given table."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity_automata.judged(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r["toxic"]: r["p"] for r in got}
+    assert share[1] >= 0.9 and share[0] <= 0.01
+
+
 def test_automaton_equals_edit_distance():
     import itertools
 
