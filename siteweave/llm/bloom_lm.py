@@ -113,10 +113,13 @@ def filled(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def cut(keys: np.ndarray, slices: int) -> np.ndarray:
-    """Where each slice begins and ends in sorted keys."""
-    top = (keys >> np.uint64(65 - slices.bit_length())).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
-    return np.searchsorted(top, np.arange(slices + 1))
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return (keys >> np.uint64(65 - slices.bit_length())).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
+
+
+def cut(present: np.ndarray, of_keys: np.ndarray) -> list[slice]:
+    """Where the keys of each slice in `present` lie, of keys in the order of their slices `of_keys`. Slices without keys are not looked at, however many there are."""
+    return [slice(x, y) for x, y in zip(np.searchsorted(of_keys, present).tolist(), np.searchsorted(of_keys, present, side="right").tolist(), strict=True)]
 
 
 def within(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -178,8 +181,6 @@ def _count(slices: int):
     """Texts -> (slice, words, word_counts, pairs, pair_counts, docs): what a part of the corpus holds for each slice."""
     from xxhash import xxh64_intdigest
 
-    shift = 65 - slices.bit_length()
-
     def sent(numbers: _Numbers, parts: list[np.ndarray], docs: int) -> pa.RecordBatch:
         names = list(numbers)
         h = np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))
@@ -188,16 +189,13 @@ def _count(slices: int):
         # a pair ends at each word but the first of a text; texts end with END, number 0
         after = np.flatnonzero(seq[:-1] != 0) + 1 if len(seq) else np.zeros(0, np.int64)
         pairs, times = np.unique(pair_hash(h[seq[after - 1]], h[seq[after]]), return_counts=True)
-        top = (h >> np.uint64(shift)).astype(np.int64) if slices > 1 else np.zeros(len(h), np.int64)
+        top, pair_top = slice_of(h, slices), slice_of(pairs, slices)
         order = np.argsort(top[1:], kind="stable") + 1
-        edge = np.searchsorted(top[order], np.arange(slices + 1))
-        pair_edge = cut(pairs, slices)
+        present = np.unique(np.concatenate(([0], top[1:], pair_top)))
         low = within(pairs, slices)
         cols: list[list] = [[] for _ in range(6)]
-        for s in range(slices):
-            own, p = order[edge[s] : edge[s + 1]], slice(pair_edge[s], pair_edge[s + 1])
-            if s and not len(own) and p.start == p.stop:
-                continue
+        for s, words_at, p in zip(present.tolist(), cut(present, top[order]), cut(present, pair_top), strict=True):
+            own = order[words_at]
             cols[0].append(s)
             cols[1].append(b" ".join([names[k] for k in own.tolist()]))
             cols[2].append(counts[own].astype("<u4").tobytes())
@@ -314,15 +312,15 @@ def _ask(model, kind: pa.DataType):
             h = np.fromiter(map(xxh64_intdigest, listed), np.uint64, len(listed))
             pairs, rare = _wanted(seq, h, _hot(listed, m))
             pairs = np.unique(pairs)
-            edge, low, word_edge = cut(pairs, slices), within(pairs, slices), cut(h[rare], slices)
+            low, pair_top, word_top = within(pairs, slices), slice_of(pairs, slices), slice_of(h[rare], slices)
+            present = np.unique(np.concatenate((pair_top, word_top)))
             planes = np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             cols: dict[str, list] = {"slice": [-1], "data": [pickle.dumps((lengths.astype("<u4"), zlib.compress(planes.tobytes(), 1)), 5)], "names": [zlib.compress(b" ".join(listed[1:]), 1)]}
-            for s in range(slices):
-                p, own = slice(edge[s], edge[s + 1]), rare[word_edge[s] : word_edge[s + 1]]
-                if p.start < p.stop or len(own):
-                    cols["slice"].append(s)
-                    cols["data"].append(sent_keys(low[p]))
-                    cols["names"].append(zlib.compress(b" ".join([listed[k] for k in own.tolist()]), 1) if len(own) else None)
+            for s, p, words_at in zip(present.tolist(), cut(present, pair_top), cut(present, word_top), strict=True):
+                own = rare[words_at]
+                cols["slice"].append(s)
+                cols["data"].append(sent_keys(low[p]))
+                cols["names"].append(zlib.compress(b" ".join([listed[k] for k in own.tolist()]), 1) if len(own) else None)
             yield rows_of(cols | {"chunk": [rid] * len(cols["slice"])})
             yield rows_of({"rid": list(range(rid, rid + len(seqs))), "doc_id": ids, "held_out": outs})
 
