@@ -127,10 +127,14 @@ def subtract(a: DataFrame, b: DataFrame, key: str, longest: int | None = None) -
     """(key, chrom, start, end): what is left of each region of a outside b.
 
     These are its overlaps with the gaps between the runs of b, and what it has before the first and after the last run
-    of its chromosome: a row a piece, however many cuts a region has. longest: of a's regions and of b's gaps.
+    of its chromosome: a row a piece, however many cuts a region has. The gaps are written to the shared folder, as they
+    are read for their levels and for the join. longest: of a's regions and of b's gaps.
     """
-    runs = merge(b)
-    between = gaps(runs).where("gap > 1").select("chrom", (F.col("start") - F.col("gap") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+    from siteweave.sources.exchange import scratch
+
+    between = gaps(merge(b)).where("gap > 1").select("chrom", (F.col("start") - F.col("gap") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+    between.write.parquet(path := scratch(b.sparkSession, "gaps"))
+    between = b.sparkSession.read.schema(between.schema).parquet(path)
     own = a.select(key, "chrom", "start", "end")
     inner = overlaps(own, between, longest).select(F.col(f"a.{key}").alias(key), F.col("a.chrom").alias("chrom"), F.col("ol_start").alias("start"), F.col("ol_end").alias("end"))
     reach = b.where("end >= start").groupBy("chrom").agg(F.min("start").alias("__first"), F.max("end").alias("__last"))

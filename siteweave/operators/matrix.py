@@ -2,8 +2,8 @@
 
 A Matrix is a DataFrame and a shape. Absent cells are zero; results keep only what their operands give. Row and column
 numbers begin at 0. Joins are equi-joins on cell coordinates or on the inner index, left to Catalyst and adaptive
-execution; hash-partitioned sums combine before the shuffle. Nothing but the inverse, whose size is bounded, leaves the
-executors.
+execution; hash-partitioned sums combine before the shuffle. Dense products and large
+inverses go by blocks. No matrix leaves the executors.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.functions.scalar import ELEMENTWISE
+from siteweave.operators import blocks
 
-#: Largest order that inverse() takes: one task holds such a matrix twice.
+#: Largest order that inverse() takes in one task, which holds such a matrix twice.
 MAX_INVERSE = 2048
+#: Part of the cells from which a matrix is dense, and the number of cells from which that is asked.
+DENSE = 0.1
+LARGE = 1 << 14
 
 
 class Matrix(NamedTuple):
@@ -111,42 +115,26 @@ class Matrix(NamedTuple):
         joined = self.df.alias("a").join(other.df.alias("b"), ["row", "col"], "left")
         return Matrix(joined.select("row", "col", F.try_divide(F.col("a.v"), F.coalesce(F.col("b.v"), F.lit(0.0))).alias("v")), self.nrow, self.ncol)
 
-    def matmul(self, other: Matrix) -> Matrix:
+    def matmul(self, other: Matrix, dense: bool | None = None) -> Matrix:
+        """By blocks if both operands have DENSE of their cells, found by one count of both, else by a join of cells. dense: which, where the caller knows."""
         if self.ncol != other.nrow:
             raise ValueError(f"inner sizes differ: {self.ncol} and {other.nrow}")
+        size = self.nrow * self.ncol, other.nrow * other.ncol
+        if dense is None and min(*size, self.nrow * other.ncol) >= LARGE:
+            n = dict(self.df.select(F.lit(0).alias("k")).unionAll(other.df.select(F.lit(1))).groupBy("k").count().collect())
+            dense = all(n.get(k, 0) >= DENSE * size[k] for k in (0, 1))
+        if dense:
+            return self.matmul_blocked(other)
         a = self.df.select(F.col("row"), F.col("col").alias("k"), F.col("v").alias("x"))
         b = other.df.select(F.col("row").alias("k"), F.col("col"), F.col("v").alias("y"))
         return Matrix(a.join(b, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("v")), self.nrow, other.ncol)
 
-    def matmul_blocked(self, other: Matrix, block: int = 256) -> Matrix:
-        """The product by dense blocks in numpy: for dense operands, whose cells would each meet ncol others in a join."""
+    def matmul_blocked(self, other: Matrix, block: int = blocks.BLOCK) -> Matrix:
+        """The product by dense blocks in numpy, added up as blocks: for dense operands, whose cells would each meet ncol others in a join."""
         if self.ncol != other.nrow:
             raise ValueError(f"inner sizes differ: {self.ncol} and {other.nrow}")
-        i, k, j = (F.floor(F.col(c) / block).cast("int") for c in ("row", "col", "col"))
-        cell = F.struct((F.col("row") % block).cast("int").alias("r"), (F.col("col") % block).cast("int").alias("c"), "v")
-        a = self.df.groupBy(i.alias("i"), k.alias("k")).agg(F.collect_list(cell).alias("a"))
-        b = other.df.groupBy(F.floor(F.col("row") / block).cast("int").alias("k"), j.alias("j")).agg(F.collect_list(cell).alias("b"))
-
-        def run(frames):
-            import numpy as np
-            import pandas as pd
-
-            def dense(cells):
-                out = np.zeros((block, block))
-                for x in cells:
-                    out[x["r"], x["c"]] += x["v"]
-                return out
-
-            for f in frames:
-                rows = []
-                for bi, bj, x, y in zip(f["i"], f["j"], f["a"], f["b"], strict=True):
-                    p = dense(x) @ dense(y)
-                    r, c = np.nonzero(p)
-                    rows.append(pd.DataFrame({"row": bi * block + r, "col": bj * block + c, "v": p[r, c]}))
-                yield pd.concat(rows) if rows else pd.DataFrame({"row": [], "col": [], "v": []})
-
-        parts = a.join(b, "k").select("i", "j", "a", "b").mapInPandas(run, "row int, col int, v double")
-        return Matrix(parts.groupBy("row", "col").agg(F.sum("v").alias("v")), self.nrow, other.ncol)
+        own, its = blocks.blocked(self.df, self.nrow, self.ncol, block), blocks.blocked(other.df, other.nrow, other.ncol, block)
+        return Matrix(blocks.cells(blocks.product(own, its), block), self.nrow, other.ncol)
 
     def row_dot(self, other: Matrix) -> Matrix:
         """Inner product of each two rows of the same number: a column."""
@@ -171,11 +159,34 @@ class Matrix(NamedTuple):
         a, b = self.df.select(at, F.col("v").alias("x")), other.df.select(at, F.col("v").alias("y"))
         return a.join(b, "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("v"))
 
+    def inverse_blocked(self, block: int = blocks.BLOCK, definite: bool = False) -> Matrix:
+        """The inverse of a square matrix of any order, by recursion over blocks.
+
+        Halves are inverted without pivots between blocks, which is sound for positive definite matrices. Others are
+        inverted as (A'A)^-1 A', whose first factor is one, and mended by a step of Newton's method, as A'A has the
+        square of A's condition number. definite: the caller vouches for A.
+        """
+        n = self.nrow
+        if n != self.ncol:
+            raise ValueError(f"not square: {n} x {self.ncol}")
+        last = (n - 1) // block
+        own = blocks.kept(blocks.whole(blocks.blocked(self.df, n, n, block), n, block))
+        if definite:
+            x = blocks.inverse(own, 0, last)
+        else:
+            turned = blocks.transposed(own)
+            x = blocks.kept(blocks.product(blocks.inverse(blocks.kept(blocks.product(turned, own)), 0, last), turned))
+            off = blocks.kept(blocks.product(blocks.product(x, own), x))
+            x = blocks.combined(blocks.scaled(x, 2.0).unionByName(blocks.scaled(off, -1.0)))  # x (2 - a x)
+        return Matrix(blocks.cells(x, block), n, n)
+
     def inverse(self, pivot: bool = True) -> Matrix:
-        """The inverse of a square matrix of order MAX_INVERSE at most, in one task. pivot=False: a zero on the diagonal raises, as elimination without pivoting does."""
-        if self.nrow != self.ncol or self.nrow > MAX_INVERSE:
-            raise ValueError(f"not square, or of an order over {MAX_INVERSE}: {self.nrow} x {self.ncol}")
+        """The inverse of a square matrix: up to order MAX_INVERSE in one task, beyond by blocks. pivot=False: a zero on the diagonal raises, as elimination without pivoting does."""
+        if self.nrow != self.ncol:
+            raise ValueError(f"not square: {self.nrow} x {self.ncol}")
         n = self.nrow
+        if n > MAX_INVERSE:
+            return self.inverse_blocked()
 
         def invert(pdf):
             import numpy as np

@@ -512,6 +512,27 @@ def _(s, d):
     return E.uploaded(s, folder).select("name", (F.col("size") > 0).alias("sized"))
 
 
+STORED = IV + "SELECT id, chrom, s AS start, e AS \"end\" FROM iv WHERE "
+
+
+@query("store_scan", STORED + "(chrom = 'NATION_1' AND s <= 90000 AND e >= 80000) OR (chrom = 'NATION_7' AND s <= 90000 AND e >= 80000) OR (chrom = 'NATION_2' AND s <= 1000000 AND e >= 150000) OR (chrom = 'NATION_11' AND s <= 1000000 AND e >= 150000)")
+def _(s, d):
+    """Four regions of a store of all line items."""
+    from siteweave.sources import store
+
+    store.write(_intervals(s, d, None), path := E.scratch(s, "store"))
+    return store.scan(s, path, [("NATION_1", 80000, 90000), ("NATION_7", 80000, 90000), ("NATION_2", 150000, 1000000), ("NATION_11", 150000, 1000000)]).select("id", "chrom", "start", "end")
+
+
+@query("store_within", IV + "SELECT DISTINCT b.id AS id FROM " + AB)
+def _(s, d):
+    """What of a store of one side overlaps the other side."""
+    from siteweave.sources import store
+
+    store.write(_intervals(s, d, 0), path := E.scratch(s, "store"))
+    return store.within(s, path, _intervals(s, d, 1)).select("id")
+
+
 def _streamed(df: DataFrame) -> DataFrame:
     """A stream of the rows of df, from files."""
     path = E.scratch(df.sparkSession, "source")

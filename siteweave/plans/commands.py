@@ -17,6 +17,7 @@ from siteweave.operators import matrix as M
 from siteweave.operators import models as L
 from siteweave.operators import shares as E
 from siteweave.operators import tables as T
+from siteweave.sources import store
 from siteweave.sources import text as S
 
 COMMANDS: dict[str, Callable] = {}
@@ -91,6 +92,8 @@ command("multiply_matrices_elementwise_pt", "multiply_elementwise_plaintext_matr
 command("row2row_multiply_pt", "row2row_multiply_plaintext_matrices")(_binary(lambda a, b: a.row_dot(b)))
 command("plain_add_matrices_per_list", "add_plaintext_matrix_list")(lambda s, listed, out: save(M.add_all([load(s, p) for p in names_in(s, listed)]), out))
 command("write_plain_matrix_dimensions", "write_plaintext_matrix_dimensions", "write_enc_matrix_dimensions", "write_encrypted_matrix_dimensions")(lambda s, a, *rest: load(s, a).shape().write.mode("overwrite").csv(rest[-1], sep="\t"))
+command("get_uniform_rand")(lambda s, n, seed, out: M.draws(s, "Uniform", int(n), int(seed)).select("v").write.mode("overwrite").csv(out))
+command("get_normal_rand")(lambda s, n, seed, out: M.draws(s, "Gaussian", int(n), int(seed)).select("v").write.mode("overwrite").csv(out))
 command("generate_random_pt_matrix")(lambda s, r, c, out: save(M.random_uniform(s, int(r), int(c)), out))
 command("generate_mult_full_noise_matrix", "generate_random_plaintext_matrix")(lambda s, r, c, out: save(M.random_normal(s, int(r), int(c)), out))
 command("generate_mult_diagonal_noise_matrix")(lambda s, n, out: save(M.random_normal_diagonal(s, int(n)), out))
@@ -170,13 +173,14 @@ def _(s, vcf, samples, bed, chrom, out, match_names="0"):
     found = G.at_targets(S.vcf(s, vcf).where(F.col("chrom") == chrom), S.bed(s, bed).where(F.col("chrom") == chrom), match_names == "1")
     n = len(names_in(s, samples))
     g = F.coalesce(F.col("v.g"), F.array_repeat(F.lit(-1), n))
-    found.select("t.chrom", "t.start", "t.end", "t.name", g.alias("g")).write.mode("overwrite").parquet(out)
+    store.write(found.select("t.chrom", "t.start", "t.end", "t.name", g.alias("g")), out)
 
 
 @command("extract_variant_regions", "extract_subset_variants")
 def _(s, matbed, samples, bed, out):
-    own = s.read.parquet(matbed)
-    G.variants_in_regions(own.select("chrom", "start", "end", "name", "g"), S.bed(s, bed).select("chrom", "start", "end"), "name").select("a.*").write.mode("overwrite").parquet(out)
+    wanted = S.bed(s, bed).select("chrom", "start", "end")
+    own = store.within(s, matbed, wanted) if "place" in s.read.parquet(matbed).columns else s.read.parquet(matbed)
+    G.variants_in_regions(own.select("chrom", "start", "end", "name", "g"), wanted, "name").select("a.*").write.mode("overwrite").parquet(out)
 
 
 @command("extract_subset_subjects")

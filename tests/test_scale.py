@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteweave.operators import intervals, reads, sequences, stats, tiles
+from siteweave.operators import intervals, matrix, reads, sequences, stats, tiles
 from siteweave.sources import text
 from siteweave.streaming import gate
 
@@ -232,3 +232,69 @@ def test_a_group_that_waits_too_long_is_reported(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(out) == [("a", 1, False), ("b", 2, True)]
+
+
+def cells(spark, x, keep=None):
+    rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(x) if keep is None or keep[i, j]]
+    return matrix.Matrix(spark.createDataFrame(rows, "row int, col int, v double"), *x.shape)
+
+
+def array(m):
+    out, there = np.zeros((m.nrow, m.ncol)), np.zeros((m.nrow, m.ncol), bool)
+    for r in m.df.collect():
+        out[r["row"], r["col"]], there[r["row"], r["col"]] = r["v"], True
+    return out, there
+
+
+def test_products_by_blocks_and_by_cells_have_the_same_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(-2, 3, (37, 50)).astype(float), rng.integers(-2, 3, (50, 21)).astype(float)
+    a, b = rng.random((37, 50)) < 0.2, rng.random((50, 21)) < 0.3
+    a[5], b[:, 3] = False, False
+    for p, q in ((None, None), (a, b), (a, None)):
+        left, right = cells(spark, x, p), cells(spark, y, q)
+        want = (x if p is None else x * p) @ (y if q is None else y * q)
+        got, there = array(left.matmul_blocked(right, 8))
+        by_cells, same = array(left.matmul(right, dense=False))
+        assert np.allclose(got, want) and np.allclose(by_cells, want) and (there == same).all()
+    monkeypatch.setattr(matrix, "LARGE", 10)
+    plan = lambda m: m.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan(cells(spark, x).matmul(cells(spark, y))) and "MapInPandas" not in plan(cells(spark, x, a).matmul(cells(spark, y, rng.random((50, 21)) < 0.01)))
+
+
+def test_inverse_by_blocks(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((50, 50))
+    x[:16, :16] = 0  # a leading block that has no inverse
+    got, _ = array(cells(spark, x).inverse_blocked(16))
+    assert np.allclose(got, np.linalg.inv(x), rtol=1e-8, atol=1e-8)
+    s = x @ x.T + np.eye(50)
+    sparse = np.abs(s) > 0.5
+    sparse |= np.eye(50, dtype=bool)
+    got, _ = array(cells(spark, np.where(sparse, s, 0) + 50 * np.eye(50), sparse).inverse_blocked(16, definite=True))
+    assert np.allclose(got, np.linalg.inv(np.where(sparse, s, 0) + 50 * np.eye(50)))
+    with pytest.raises(Exception, match="singular"):
+        cells(spark, np.zeros((20, 20))).inverse_blocked(16, definite=True)
+
+
+def test_a_store_reads_the_row_groups_of_a_region(spark, tmp_path):
+    from siteweave.sources import store
+
+    path = str(tmp_path / "s")
+    own = spark.range(300_000).select(F.col("id"), (F.col("id") % 3 + 1).cast("string").alias("chrom"), (F.col("id") * 7919 % 1_000_003).cast("int").alias("start"))
+    own = own.withColumn("end", (F.col("start") + F.col("id") % 200).cast("int")).withColumn("g", F.sha2(F.col("id").cast("string"), 256))
+    store.write(own, path, 6, group=1 << 16)
+    want = {r["id"] for r in own.where("chrom = '2' and start <= 510000 and end >= 500000").collect()}
+    got = store.scan(spark, path, [("2", 500_000, 510_000)])
+    assert {r["id"] for r in got.collect()} == want and got.columns == own.columns
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "LessThanOrEqual(start,510000)" in plan.toString() and "(place" in plan.toString().split("PartitionFilters")[1]
+    metric = lambda name: plan.collectLeaves().apply(0).metrics().apply(name).value()
+    assert 0 < metric("numFiles") <= len(list((tmp_path / "s" / "place=c2").glob("*.parquet"))) < len(list((tmp_path / "s").rglob("*.parquet")))
+    assert len(want) <= metric("numOutputRows") < 20_000  # of 100,000 of the chromosome
+    regions_ = spark.createDataFrame([("2", 500_000, 505_000), ("2", 505_001, 510_000), ("3", 1, 10)], "chrom string, start int, end int")
+    expect = want | {r["id"] for r in own.where("chrom = '3' and start <= 10 and end >= 1").collect()}
+    assert sorted(r["id"] for r in store.within(spark, path, regions_).collect()) == sorted(expect)
+    many = spark.range(2000).select(F.lit("2").alias("chrom"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 2).cast("int").alias("end"))
+    joined = sorted(r["id"] for r in store.within(spark, path, many).collect())
+    assert joined == sorted({r["a"]["id"] for r in intervals.overlaps(own, many).collect()})
