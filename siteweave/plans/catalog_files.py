@@ -209,6 +209,16 @@ def _(s, d):
     return T.vcf(s, _vcf(s, d)).select("chrom", "pos", "id", "ref", "alt", F.posexplode("g").alias("sample", "g"))
 
 
+@query("vcf_at_positions", VAR + "SELECT DISTINCT chrom, pos, id, ref, alt FROM g WHERE chrom = 'Brand#17' AND pos > 100 AND pos <= 1500")
+def _(s, d):
+    """By the source that takes the conditions, from a file of all variants."""
+    from siteweave.sources import positioned
+
+    positioned.register(s)
+    own = s.read.format("positioned").option("kind", "vcf").load(_vcf(s, d))
+    return own.where("chrom = 'Brand#17' and pos > 100 and pos <= 1500").select("chrom", "pos", "id", "ref", "alt")
+
+
 @query("vcf_samples", "SELECT CAST(k AS INT) AS place, 's' || k AS sample FROM range(4) t(k)")
 def _(s, d):
     return s.createDataFrame(list(enumerate(T.vcf_samples(s, _vcf(s, d)))), "place int, sample string")

@@ -298,3 +298,37 @@ def test_a_store_reads_the_row_groups_of_a_region(spark, tmp_path):
     many = spark.range(2000).select(F.lit("2").alias("chrom"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 2).cast("int").alias("end"))
     joined = sorted(r["id"] for r in store.within(spark, path, many).collect())
     assert joined == sorted({r["a"]["id"] for r in intervals.overlaps(own, many).collect()})
+
+
+def test_conditions_reach_files_of_positions(spark, tmp_path):
+    from siteweave.sources import positioned
+
+    positioned.register(spark)
+    rng = np.random.default_rng(11)
+    rows = sorted((str(c), int(p)) for c in (1, 2, 3) for p in rng.integers(1, 100_000, 3000))
+    path = str(tmp_path / "a.vcf")
+    with open(path, "w") as out:
+        out.write("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\n")
+        out.writelines(f"{c}\t{p}\tv{k}\tA\tC\t.\tPASS\t.\tGT\t0/1\n" for k, (c, p) in enumerate(rows))
+    load = lambda **o: spark.read.format("positioned").options(kind="vcf", split="10000", **o).load(path)
+    assert sorted((r["chrom"], r["pos"]) for r in load().collect()) == rows
+    for sorted_ in ("true", "false"):
+        for test in ("chrom = '2' and pos > 50000 and pos <= 51000", "chrom in ('1', '3') and pos < 700", "pos = 77", "chrom = '2' and id like '%7'", "chrom = '9'"):
+            own = load(sorted=sorted_).where(test)
+            assert sorted(r["id"] for r in own.collect()) == sorted(r["id"] for r in load().where(F.expr(test) & (F.rand() >= 0)).collect())
+    asked = positioned.PositionedReader({"path": path, "kind": "vcf", "sorted": "true", "split": "10000"})
+    every = len(asked.partitions())
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan
+
+    assert list(asked.pushFilters([EqualTo(("chrom",), "2"), GreaterThan(("pos",), 50_000), LessThan(("pos",), 52_000)])) == []
+    assert every > 20 and 1 <= len(asked.partitions()) <= 5  # ranges of the region, and those where a chromosome ends
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.bed").write_text("track x\nc1\t9\t20\tn\t5\t-\nc1\t30\t40\n")
+    import gzip
+
+    (tmp_path / "b" / "y.bed.gz").write_bytes(gzip.compress(b"c2\t0\t5\tm\n"))
+    bed = spark.read.format("positioned").option("kind", "bed").load(str(tmp_path / "b"))
+    assert sorted((tuple(r) for r in bed.where("start >= 1").collect()), key=str) == [("c1", 10, 20, "n", "5", "-"), ("c1", 31, 40, None, None, None), ("c2", 1, 5, "m", None, None)]
+    assert bed.where("chrom = 'c1' and start > 10").count() == 1
+    (tmp_path / "a.sam").write_text("@HD\nr1\t16\tc1\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\n")
+    assert [tuple(r) for r in spark.read.format("positioned").option("kind", "sam").load(str(tmp_path / "a.sam")).collect()] == [("r1", 16, "c1", 5, "4M", "ACGT")]
