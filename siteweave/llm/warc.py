@@ -2,11 +2,14 @@
 
 The reader holds one buffer: it inflates a member piece by piece, takes the header up to its blank line, frames the
 block by Content-Length, and hashes block and payload as they pass. Wrong digests, lengths or frames raise ValueError.
+It takes records of all types (what is no HTTP message is all payload), digests in hex or base32 by MD5 or the SHA family,
+and records without digests. Digests of payloads that were sent in chunks or cut are not compared.
 Archives are opened through pyarrow's file systems, so any folder that these reach will do.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,6 +26,7 @@ from siteweave.llm._common import fresh_path, materialize
 
 ROLL = 8 << 20
 PIECE = 1 << 16
+HEADER = 1 << 20  # bytes of an HTTP header at most
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -100,13 +104,17 @@ class Reader:
             out, buffer = buffer[:at], buffer[at + len(mark) :]
             return out
 
-        first, *lines = until(b"\r\n\r\n").decode().split("\r\n")
-        if not first.startswith("WARC/1."):
+        first, *lines = until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
+        if not first.startswith("WARC/"):
             raise ValueError(f"record at {offset}: {first[:40]!r} is no WARC version")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        head = _fields(lines)
         left = int(head["content-length"])
-        block, payload, size, kept, http = hashlib.sha256(), hashlib.sha256(), 0, [], b""
-        inside = False
+        stated, of_block = _digest(head.get("warc-payload-digest")), _digest(head.get("warc-block-digest"))
+        block, sums = of_block and hashlib.new(of_block[0]), {"sha256": hashlib.sha256()}
+        if stated and stated[0] != "sha256":
+            sums[stated[0]] = hashlib.new(stated[0])
+        size, kept, http = 0, [], b""
+        inside = not head.get("content-type", "").startswith("application/http")  # what is no HTTP message is all payload
         while left:
             if not buffer:
                 buffer = next(pieces, None)
@@ -114,27 +122,62 @@ class Reader:
                     raise ValueError(f"record at {offset}: the block ends early")
             own, buffer = buffer[:left], buffer[left:]
             left -= len(own)
-            block.update(own)
+            if block:
+                block.update(own)
             if not inside:
                 http += own
                 if (at := http.find(b"\r\n\r\n")) < 0:
+                    if len(http) > HEADER:
+                        raise ValueError(f"record at {offset}: no end of the HTTP header")
                     continue
                 inside, own, http = True, http[at + 4 :], http[:at]
-            payload.update(own)
+            for x in sums.values():
+                x.update(own)
             size += len(own)
             if self.keep:
                 kept.append(own)
-        tail = buffer + b"".join(pieces)
+        tail = buffer
+        for more in pieces:  # to the end of the member, whose own checksum is tested there
+            tail += more
+            if len(tail) > 4:
+                break
         if tail != b"\r\n\r\n":
             raise ValueError(f"record at {offset}: what follows the block is no end of record")
-        if head["warc-block-digest"] != f"sha256:{block.hexdigest()}":
+        if block and block.digest() != of_block[1]:
             raise ValueError(f"record at {offset}: the block digest is wrong")
-        digest = head["warc-payload-digest"].removeprefix("sha256:")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
-        full = int(fields.get("content-length", size))
-        if head["warc-type"] == "response" and (digest != payload.hexdigest() or size != full):
+        fields = _fields(http.decode("latin-1").split("\r\n")[1:])
+        full, kind = int(fields.get("content-length", size)) if fields.get("content-length", "0").isdigit() else size, head.get("warc-type")
+        altered = "transfer-encoding" in fields or "warc-truncated" in head  # digest and length may be those of another form
+        if kind != "revisit" and not altered and (stated and sums[stated[0]].digest() != stated[1] or size != full and fields):
             raise ValueError(f"record at {offset}: the payload's digest or length is wrong")
-        return {"header": head, "payload_bytes": full, "payload_digest": digest, "offset": offset} | ({"payload": b"".join(kept)} if self.keep else {})
+        digest = stated[1].hex() if kind == "revisit" and stated else sums["sha256"].hexdigest()
+        return {"header": head, "payload_bytes": full if kind == "revisit" else size, "payload_digest": digest, "offset": offset} | ({"payload": b"".join(kept)} if self.keep else {})
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Names in lower case; a line that begins with a blank goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for x in lines:
+        if x[:1] in (" ", "\t") and name:
+            out[name] += " " + x.strip()
+        elif ":" in x:
+            name, _, value = x.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _digest(text: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, bytes) of a labelled digest in hex or base32; None for none, or for an algorithm that is not known."""
+    name, _, value = (text or "").partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    if len(value) == 2 * size:
+        return name, bytes.fromhex(value)
+    return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
 
 
 def _write(folder: str) -> Callable:

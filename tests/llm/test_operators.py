@@ -408,6 +408,43 @@ def test_reader_keeps_payloads_and_refuses_damage():
         list(warc.Reader(io.BytesIO(whole[:-5])))
 
 
+def test_reader_takes_archives_of_others():
+    import base64
+    import gzip
+    import io
+
+    def member(kind, block, content, **more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Type: {content}", f"Content-Length: {len(block)}", *[f"{k.replace('_', '-')}: {v}" for k, v in more.items()]]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    html = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nX-Long: a\r\n b\r\nContent-Length: 12\r\n\r\n" + html
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nc\r\n<p>hello</p>\r\n0\r\n\r\n"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    own = [
+        member("warcinfo", b"software: x\r\n", "application/warc-fields"),
+        member("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request"),
+        member("response", http, "application/http; msgtype=response", WARC_Payload_Digest=sha1(html), WARC_Block_Digest=sha1(http)),
+        member("response", chunked, "application/http;msgtype=response", WARC_Payload_Digest=sha1(html)),
+        member("metadata", b"fetchTimeMs: 5", "application/warc-fields", WARC_Payload_Digest="blake9:abc"),
+        member("revisit", http[: -len(html)], "application/http; msgtype=response", WARC_Payload_Digest=sha1(html)),
+        member("resource", b"", "text/plain", WARC_Block_Digest="md5:" + hashlib.md5(b"").hexdigest()),
+    ]
+    got = list(warc.Reader(io.BytesIO(b"".join(own)), keep=True))
+    assert [r["header"]["warc-type"] for r in got] == ["warcinfo", "request", "response", "response", "metadata", "revisit", "resource"]
+    assert got[2]["payload"] == html and got[2]["payload_digest"] == hashlib.sha256(html).hexdigest() and got[0]["payload"] == b"software: x\r\n" and got[1]["payload"] == b""
+    assert (got[5]["payload_bytes"], got[5]["payload_digest"]) == (12, hashlib.sha1(html).hexdigest())
+    for bad in (
+        member("response", http, "application/http", WARC_Payload_Digest=sha1(b"other")),
+        member("resource", b"abc", "text/plain", WARC_Block_Digest=sha1(b"abd")),
+        member("response", http.replace(b"12", b"13"), "application/http"),
+        member("response", b"x" * (3 << 20), "application/http"),
+        gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\na" + b"z" * (5 << 20)),
+    ):
+        with pytest.raises(ValueError):
+            list(warc.Reader(io.BytesIO(bad)))
+
+
 # ---- 6 ----
 
 
