@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from siteweave.functions.scalar import SIGMOIDS, chi2_p1, dot
 from siteweave.operators.matrix import eliminated
@@ -100,9 +101,16 @@ def irls(data: DataFrame, epochs: int = 10, epsilon: float = 1e-5, kind: str = "
     """Logistic regression by iteratively reweighted least squares from beta 0, over all sites' pooled moments.
 
     Stops when the pooled log-likelihood changes by less than epsilon. mask: None, "diagonal" or "full" (masked_inverse).
-    data (site, x array<double> beginning with the intercept, y).
+    data (site, x array<double> beginning with the intercept, y). Each epoch scans data once; of a fit of several epochs
+    these columns are persisted in memory and on disk until it ends, unless the caller has done so, and computed once.
     """
     by = [site] if site else []
+    if epochs > 1 and data.storageLevel == StorageLevel.NONE:
+        own = data.select(*by, "x", "y").persist()
+        try:
+            return irls(own, epochs, epsilon, kind, site, mask, seed)
+        finally:
+            own.unpersist()
     beta, z, history, last = [0.0] * _p(data), np.zeros((0, 0)), [], None
     for iteration in range(epochs):
         rows = irls_moments(data, beta, kind, by).collect()
@@ -193,6 +201,44 @@ def score_test_federated(geno: DataFrame, subjects: DataFrame, z: np.ndarray) ->
     return tested(pooled, z, ["var_idx"])
 
 
+def centred_stats(geno: DataFrame, freqs: DataFrame, subjects: DataFrame, p: int, site: str | None = None, scale: float = 1.0) -> DataFrame:
+    """score_stats (by site, if given, and var_idx) of genotypes scale * (g - 2 af), for every variant of freqs (var_idx, af).
+
+    The centred table is dense, so it is never made: cells with g <> 0 are summed as they are, and what centring adds to
+    each sum follows from totals over a site's subjects, p + 2 numbers a site. Cells that are not 0, 1 or 2 (null too) are
+    missing: they count as the mean, 0. Variants or frequencies of one side only give no row, or one of zeros for g.
+    """
+    by, parts = [site] if site else [], range(p)
+    r, w = F.col("y") - F.col("mu"), F.col("mu") * (1 - F.col("mu"))
+    x = lambda i: F.col("x")[i]
+    whole = {"__r": r, "__w": w} | {f"__x_{i}": w * x(i) for i in parts}
+    totals = subjects.groupBy(*by).agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in whole.items()])
+    totals = subjects.sparkSession.createDataFrame(totals.collect(), totals.schema)  # a row a site
+    known = F.coalesce(F.col("g").isin(0, 1, 2), F.lit(False))
+    g = F.when(known, F.col("g").cast("double")).otherwise(0.0)
+    gone = F.when(known, 0.0).otherwise(1.0)
+    sums = {"__gr": g * r, "__gw": g * w, "__ggw": g * g * w, "__mr": gone * r, "__mw": gone * w}
+    sums |= {f"__gx_{i}": g * w * x(i) for i in parts} | {f"__mx_{i}": gone * w * x(i) for i in parts}
+    cells = geno.where("g IS NULL OR g <> 0").select("var_idx", "subject_idx", "g")
+    own = cells.join(subjects.select("subject_idx", *by, "x", "y", "mu"), "subject_idx").groupBy(*by, "var_idx").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    every = freqs.select("var_idx", (2.0 * F.col("af")).alias("__m")).crossJoin(totals)  # the rows of the result
+    out = every.join(own, [*by, "var_idx"], "left").na.fill(0.0, list(sums))
+    m, c = F.col("__m"), float(scale)
+    rest = lambda t, gone: F.col(t) - F.col(gone)
+    return out.select(
+        *by,
+        "var_idx",
+        (c * (F.col("__gr") - m * rest("__r", "__mr"))).alias("score"),
+        (c * c * (F.col("__ggw") - 2 * m * F.col("__gw") + m * m * rest("__w", "__mw"))).alias("gwg"),
+        *[(c * (F.col(f"__gx_{i}") - m * rest(f"__x_{i}", f"__mx_{i}"))).alias(f"gwx_{i}") for i in parts],
+    )
+
+
+def score_test_centred(geno: DataFrame, freqs: DataFrame, subjects: DataFrame, z: np.ndarray, scale: float = 1.0) -> DataFrame:
+    """score_test of centred and scaled genotypes. At the weights of a converged fit with an intercept chisq is that of score_test."""
+    return tested(centred_stats(geno, freqs, subjects, len(z), None, scale), z, ["var_idx"])
+
+
 def site_informations(subjects: DataFrame, p: int) -> dict:
     """(X'WX)^-1 of each site, by its own rows."""
     w = F.col("mu") * (1 - F.col("mu"))

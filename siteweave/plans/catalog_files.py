@@ -15,7 +15,7 @@ from siteweave.operators import intervals as I
 from siteweave.operators import reads as R
 from siteweave.operators import sequences as Q
 from siteweave.operators import stats as A
-from siteweave.plans.catalog import AB, IV, LONGEST, _intervals, _r, _t, query
+from siteweave.plans.catalog import AB, GENO, IV, LONGEST, META, _intervals, _r, _t, query
 from siteweave.sources import exchange as E
 from siteweave.sources import text as T
 
@@ -775,3 +775,25 @@ def _(s, d):
 
     regions = s.range(4).select(F.col("id").cast("int").alias("region"), F.lit("all").alias("chrom"), (F.col("id") * 50 + 1).cast("int").alias("start"), (F.col("id") * 50 + 50).cast("int").alias("end"))
     return A.region_totals(_track(s, d).withColumn("chrom", F.lit("all")), regions, "region").select("region", _r("total", 4), "n")
+
+
+@query("meta_by_summary_files", GENO + META + "SELECT CAST(v AS VARCHAR) AS var_idx, round(s / t, 4) AS chisq FROM res")
+def _(s, d):
+    """Each site writes a file of summary statistics; scores and variances are pooled, squared and compared under noise, by the steps' names."""
+    from siteweave.operators import models as L
+    from siteweave.plans.catalog import _geno, _subjects
+    from siteweave.plans.commands import run
+
+    subj = _subjects(s, d).withColumn("x", F.array(F.lit(1.0)))
+    means = subj.groupBy("site").agg(F.avg("y").alias("mu"))
+    own = L.meta_site_stats(_geno(s, d), subj.join(means, "site"), 1)
+    fields = [F.col("var_idx").cast("string"), F.lit("A"), F.lit("C"), F.lit("."), F.lit("."), F.col("score").cast("string"), F.col("var").cast("string")]
+    files, shared = E.scratch(s, "summaries"), E.scratch(s, "meta")
+    own.select("site", F.concat_ws("\t", *fields).alias("value")).write.partitionBy("site").text(files)  # a folder a site, in one pass
+    sites = range(3)
+    for k in sites:
+        run(s, "meta_encrypt_save_ST_stats", str(k), "3", f"{files}/site={k}", shared)
+    for option in ("meta_pool_per_site_ST_stats_add_noise", "meta_pool_noisy_ST_stats", "meta_collaborative_decrypt_pooled_noisy_ST_stats"):
+        for k in sites:
+            run(s, option, str(k), "3", shared)
+    return run(s, "meta_pool_partially_decrypted_pooled_noisy_ST_stats", "0", "3", shared).select("var_idx", F.round("chisq", 4).alias("chisq"))

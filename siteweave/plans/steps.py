@@ -129,11 +129,12 @@ class Steps(Federation):
         self.put(f"beta_iter_{iteration + 1}_site_{site}", z @ rhs)
 
     # ---- tests ----
-    def statistics(self, site: int, iteration: int, geno: DataFrame, data: DataFrame) -> None:
-        """Sums by variant; iteration: that of the weights."""
+    def statistics(self, site: int, iteration: int, geno: DataFrame, data: DataFrame, centre: tuple[DataFrame, float] | None = None) -> None:
+        """Sums by variant; iteration: that of the weights. centre: frequencies and a factor (models.centred_stats)."""
         p = L._p(data)
         own = L.fitted(data.withColumn("site", F.lit(site)), self.beta_of(iteration, site, p), self.kind)
-        X.upload(L.score_stats(geno, own, p, ["site", "var_idx"]), self.folder, f"stats_site_{site}")
+        stats = L.centred_stats(geno, centre[0], own, p, "site", centre[1]) if centre else L.score_stats(geno, own, p, ["site", "var_idx"])
+        X.upload(stats, self.folder, f"stats_site_{site}")
 
     def tested(self, site: int, iteration: int) -> DataFrame:
         """(var_idx, s, t) of the pooled sums, with the inverse that gave the weights of `iteration`."""
@@ -287,9 +288,8 @@ command("client_pool_partially_decrypted_noisy_ST_stats")(_test("full", lambda f
 def _(s, site, sites, iteration, block, gmmat, features, phenotypes, freqs, scaler, *rest):
     """Genotypes less twice their allele frequency (column 5 of the file), times a factor; missing ones count as the mean."""
     af = s.read.text(freqs).select(F.split("value", "\t").alias("f")).select(F.col("f")[3].alias("var_idx"), F.col("f")[4].cast("double").alias("af"))
-    known = geno_of(s, gmmat, features).where("g >= 0")
-    own = G.centred(known, af, float(scaler)).select("var_idx", "subject_idx", F.col("gc").alias("g"))
-    Steps(s, rest[-1], int(sites)).statistics(int(site), int(iteration), own, subjects_of(s, features, phenotypes))
+    step, geno = Steps(s, rest[-1], int(sites)), geno_of(s, gmmat, features)
+    step.statistics(int(site), int(iteration), geno, subjects_of(s, features, phenotypes), (af, float(scaler)))
 
 
 def _scaled(s, site, sites, iteration, shared) -> None:

@@ -158,6 +158,47 @@ def test_models(spark):
     assert fits[0] == pytest.approx(beta, abs=0.3)
 
 
+@pytest.mark.parametrize("site", [None, "site"])
+def test_centred_score_test(spark, site):
+    """Sparse sums against the dense table: zeros stored or left out, missing and null cells, a variant without cells, unequal sites."""
+    rng = np.random.default_rng(3)
+    n, scale = 60, 1.5
+    x, y = np.c_[np.ones(n), rng.normal(size=n)], (rng.random(n) < 0.4).astype(float)
+    sites, mu = np.where(np.arange(n) % 5 == 0, 1, 0), 1 / (1 + np.exp(-(0.2 + 0.3 * x[:, 1])))
+    g = rng.integers(-1, 3, size=(4, n)).astype(float)
+    g[3] = 0
+    af = np.array([0.1, 0.35, 0.5, 0.2])
+    dense = np.where(g < 0, 0, scale * (g - 2 * af[:, None]))
+    subj = spark.createDataFrame([(k, int(sites[k]), [float(v) for v in x[k]], float(y[k]), float(mu[k])) for k in range(n)], "subject_idx int, site int, x array<double>, y double, mu double")
+    cells = [(j, k, None if g[j, k] < 0 and k % 2 else int(g[j, k])) for j in range(4) for k in range(n) if g[j, k] != 0 or k % 3 == 0 and j < 3]
+    geno = spark.createDataFrame(cells, "var_idx int, subject_idx int, g int")
+    freqs = spark.createDataFrame([(j, float(a)) for j, a in enumerate(af)], "var_idx int, af double")
+    got = {(r[site] if site else None, r["var_idx"]): [r[c] for c in ("score", "gwg", "gwx_0", "gwx_1")] for r in models.centred_stats(geno, freqs, subj, 2, site, scale).collect()}
+    w, want = mu * (1 - mu), {}
+    for s in (0, 1) if site else (None,):
+        own = np.full(n, True) if s is None else sites == s
+        for j in range(4):
+            d = dense[j, own]
+            want[s, j] = [d @ (y - mu)[own], (w[own] * d) @ d, *((w[own] * d) @ x[own])]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    none = models.centred_stats(geno, freqs, subj.limit(0), 2, None, scale)
+    assert {(r["var_idx"], r["score"], r["gwg"]) for r in none.collect()} == {(j, 0.0, 0.0) for j in range(4)}
+
+
+def test_centring_leaves_the_test_at_the_fit(spark):
+    data, _ = models.simulated(spark, 600, 3, seed=7)
+    data = data.cache()
+    geno = data.select((F.col("subject_idx") % 2).alias("var_idx"), "subject_idx", (F.col("subject_idx") % 3).cast("int").alias("g"))
+    fit = models.irls(data, 12, 1e-12)
+    own = models.fitted(data, fit.beta)
+    freqs = genotypes.allele_frequencies(geno)
+    pairs = [{r["var_idx"]: r["chisq"] for r in df.collect()} for df in (models.score_test(geno, own, fit.z), models.score_test_centred(geno, freqs, own, fit.z, 3.0))]
+    assert pairs[0] == pytest.approx(pairs[1], rel=1e-6)
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    models.irls(data.select("site", "x", "y"), 3)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= kept  # what a fit keeps goes with it
+
+
 def test_federation_equals_pooled(spark, tmp_path):
     data, _ = models.simulated(spark, 900, 3, seed=7)
     data = data.cache()
