@@ -35,10 +35,11 @@ def impute(geno: DataFrame, var: str = "var_idx") -> DataFrame:
 
 
 def impute_wide(wide: DataFrame, g: str = "g") -> DataFrame:
-    """impute() of a variant's array in place: no shuffle."""
+    """impute() of a variant's array in place: no shuffle. The mean is a variable of its own: in the function of the cells it would be made for each of them."""
     ok = F.filter(g, lambda x: x.isin(0, 1, 2))
     mean = F.aggregate(ok, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(ok), F.lit(1))
-    return wide.withColumn("n_missing", F.size(g) - F.size(ok)).withColumn(g, F.transform(g, lambda x: F.when(x.isin(0, 1, 2), x).otherwise(F.floor(mean)).cast("int")))
+    filled = F.transform(F.array(F.floor(mean).cast("int")), lambda m: F.transform(g, lambda x: F.when(x.isin(0, 1, 2), x).otherwise(m).cast("int")))
+    return wide.withColumn("n_missing", F.size(g) - F.size(ok)).withColumn(g, filled[0])
 
 
 def subset_outer(geno: DataFrame, variants: DataFrame, samples: DataFrame, var: str = "var_idx") -> DataFrame:
