@@ -346,3 +346,31 @@ def test_imputing_a_long_array_is_no_square(spark):
     r = genotypes.impute_wide(wide).select("n_missing", F.aggregate("g", F.lit(0), lambda s, x: s + x).alias("sum"), F.slice("g", 1, 4).alias("head")).first()
     assert (r["n_missing"], r["sum"], r["head"]) == (25_000, 100_000, [0, 1, 2, 1])
     assert time.time() - t < 20
+
+
+def test_matches_of_one_key_are_many_tasks(spark):
+    from siteweave.operators import tables
+
+    q = spark.range(3000).select(F.col("id").alias("q_pos"), F.lit(1).alias("k")).coalesce(1)
+    t = spark.range(2500).select(F.col("id").alias("row_pos"), F.lit(1).alias("k"), F.col("id").cast("string").alias("v")).coalesce(1)
+    got = tables.lookup(q, t, "k")
+    assert got.columns == ["k", "q_pos", "row_pos", "v"]
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("q_pos"), F.countDistinct("row_pos"), F.sum(F.col("q_pos") * 2500 + F.col("row_pos"))).first()[:] == (7_500_000, 3000, 2500, sum(range(7_500_000)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_first_matches_are_found_without_all_of_them(spark):
+    """200,000 rows for each of 100,000 queries are 20 billion matches."""
+    import time
+
+    from siteweave.operators import tables
+
+    q = spark.range(100_000).select(F.col("id").alias("q_pos"), F.lit(1).alias("k"))
+    t = spark.range(200_000).select((200_000 - F.col("id")).alias("row_pos"), F.lit(1).alias("k"), F.col("id").alias("v"))
+    at = time.time()
+    assert tables.lookup(q, t, "k", all_matches=False).agg(F.count(F.lit(1)), F.min("row_pos"), F.max("row_pos"), F.max("v")).first()[:] == (100_000, 1, 1, 199_999)
+    assert time.time() - at < 60
