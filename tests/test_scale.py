@@ -374,3 +374,26 @@ def test_first_matches_are_found_without_all_of_them(spark):
     at = time.time()
     assert tables.lookup(q, t, "k", all_matches=False).agg(F.count(F.lit(1)), F.min("row_pos"), F.max("row_pos"), F.max("v")).first()[:] == (100_000, 1, 1, 199_999)
     assert time.time() - at < 60
+
+
+@pytest.mark.parametrize("tile", [64, 4096, 1 << 30])
+def test_first_overlaps_by_brute_force(spark, tile):
+    rng = np.random.default_rng(5)
+    x, y = mixed(rng, 150, 50_000) + [(7, 6), (100, 100)], mixed(rng, 120, 50_000) + [(100, 100), (100, 100), (40, 30)]
+    for longest in (None, 200_000):
+        got = intervals.overlaps_first(regions(spark, x), regions(spark, y), "id", longest, tile)
+        want = {i: min((*y[j], j) for j in range(len(y)) if s <= y[j][1] and y[j][0] <= e and y[j][0] <= y[j][1]) for i, (s, e) in enumerate(x) if s <= e and any(s <= f and t <= e and t <= f for t, f in y)}
+        rows = got.collect()
+        assert {r["a"]["id"]: (r["b"]["start"], r["b"]["end"], r["b"]["id"]) for r in rows} == want and len(rows) == len(want)
+        assert all(r["l_overlap"] == min(r["a"]["end"], r["b"]["end"]) - max(r["a"]["start"], r["b"]["start"]) + 1 for r in rows)
+
+
+def test_first_overlaps_make_no_pairs(spark):
+    """100,000 regions on 100,000 others are 10 billion pairs."""
+    import time
+
+    side = lambda k: spark.range(100_000).select("id", F.lit("c").alias("chrom"), F.lit(100).alias("start"), (F.col("id") % 50 + k).cast("int").alias("end"))
+    t = time.time()
+    got = intervals.overlaps_first(side(120), side(130), "id", 128).agg(F.count(F.lit(1)), F.min("b.id"), F.max("b.id")).first()
+    assert got[:] == (100_000, 0, 0)
+    assert time.time() - t < 60
