@@ -21,9 +21,12 @@ def by_property(gff: DataFrame, name: str, value: str | None = None) -> DataFram
 
 def with_parents(gff: DataFrame, parent: str = "Parent", own: str = "ID") -> DataFrame:
     """(child, parent) for each parent that a feature names."""
-    child = gff.select(F.struct(*gff.columns).alias("child"), F.explode(F.split(F.try_element_at("attributes", F.lit(parent)), ",")).alias("__k"))
-    up = gff.select(F.struct(*gff.columns).alias("parent"), F.try_element_at("attributes", F.lit(own)).alias("__k"))
-    return child.join(up, "__k").drop("__k")
+    names = gff.columns
+    # flat below the join: columns that nobody asks for are not dealt
+    child = gff.select(*[F.col(c).alias(f"__c_{c}") for c in names], F.explode(F.split(F.try_element_at("attributes", F.lit(parent)), ",")).alias("__k"))
+    up = gff.select(*[F.col(c).alias(f"__p_{c}") for c in names], F.try_element_at("attributes", F.lit(own)).alias("__k"))
+    whole = lambda side: F.struct(*[F.col(f"__{side}_{c}").alias(c) for c in names])
+    return child.join(up, "__k").select(whole("c").alias("child"), whole("p").alias("parent"))
 
 
 def extent(gff: DataFrame, name: str) -> DataFrame:

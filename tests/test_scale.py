@@ -408,3 +408,24 @@ def test_terms_of_the_gamma_series_are_one_number(spark):
     assert plan.count("named_struct") <= 1 and plan.count("% 90") == 3
     got = spark.range(2).select(F.col("id"), scalar.lower_gamma(F.lit(2.0), z).alias("x"), scalar.lower_gamma(F.lit(0.5), F.lit(0.0)).alias("zero"), scalar.lower_gamma(F.lit(0.5), F.lit(None).cast("double")).alias("none")).orderBy("id").collect()
     assert [r["x"] for r in got] == pytest.approx([1 - (1 + v) * np.exp(-v) for v in (0.1, 0.2)], rel=1e-13) and [(r["zero"], r["none"]) for r in got] == [(0.0, None)] * 2
+
+
+def test_tasks_of_features_follow_the_table(spark, monkeypatch):
+    """A task groups a bounded number of line items, so its memory does not grow with the table."""
+    from siteweave.plans import catalog, catalog_files
+
+    monkeypatch.setattr(catalog_files, "GROUPED", 50, raising=False)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for name in ("read_gff", "gff_by_property", "gff_extent"):
+        assert len(catalog.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()) > n // 50 * 0.8
+
+
+def test_parents_are_joined_without_columns_that_nobody_asks_for(spark):
+    from siteweave.operators import features
+
+    gff = spark.range(4).select("id", F.rand(1).cast("string").alias("group"), F.create_map(F.lit("ID"), F.concat(F.lit("g"), "id"), F.lit("Parent"), F.concat(F.lit("g"), F.col("id") - 1)).alias("attributes"))
+    found = features.with_parents(gff)
+    assert found.columns == ["child", "parent"] and found.select("child.*").columns == found.select("parent.*").columns == gff.columns
+    ids = found.select("child.id", F.col("parent.id").alias("up"))
+    assert "rand(" not in ids._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(ids.collect()) == [(1, 0), (2, 1), (3, 2)]
