@@ -11,7 +11,7 @@ short. A list of any length is dealt into blocks (pair_blocks), so no task holds
 counts and cosines are matrix products; pairs are never emitted: only sums per vector and connecting edges are. Lists
 hold numbers of vectors; the vectors themselves move once, to the blocks that compare them.
 
-Pivots are fitted on a bounded sample of 4 P vectors, P <= MAX_PIVOTS (pivots_of). All vectors are indexed. The
+Pivots are fitted on a bounded sample of 4 P vectors, P = PIVOTS (pivots_of). All vectors are indexed. The
 index is approximate near the threshold; its recall against brute force is measured in the tests (over 0.99 there).
 """
 
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from siteweave.llm._common import Sets, components, dealt_pairs, materialize
 
-MAX_PIVOTS = 1024
+PIVOTS = 1024
 #: Cosine that any two pivots of the sample stay under.
 APART = 0.7
 BLOCK = 512
+#: From so many vectors on, lists are keyed by two common pivots. No pair of `shared` common pivots is lost by that.
+MANY = 1 << 20
 
 
 def unit(vector) -> np.ndarray | None:
@@ -48,13 +50,13 @@ def unit(vector) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def pivots_of(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Reference points by dimension, at most MAX_PIVOTS: of a sample (the vectors with the least hashes, four times as many at most) those that are not close to one chosen before, filled up with random directions.
+def pivots_of(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Reference points by dimension, PIVOTS of each whatever the table's size: of a sample (the vectors with the least hashes, four times as many at most) those that are not close to one chosen before, filled up with random directions.
 
     Apart, so that a group of near copies, however large, does not bring pivots of its own, whose order would differ from
     member to member.
     """
-    p = max(32, min(MAX_PIVOTS, 1 << max(0, (count // 48) - 1).bit_length()))
+    p = PIVOTS
     out = {}
     for (dim,) in vectors.select("dim").distinct().collect():
         rows = vectors.where(F.col("dim") == dim).select("vec", "h1").orderBy("h1").limit(4 * p).collect()
@@ -169,9 +171,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         "vectors",
     )
     count = vectors.count()
-    r = 1 if count < 1 << 20 else 2 if count < 1 << 28 else 3
-    shared = max(shared, r)
-    pivots = spark.sparkContext.broadcast(pivots_of(vectors, count))
+    r = min(shared, 1 if count < MANY else 2)  # bears on the length of lists only: what is linked does not change with it
+    pivots = spark.sparkContext.broadcast(pivots_of(vectors))
     kind = rows.schema[embedding].dataType.simpleString()
     described = vectors.select("vec_id", "mass", "vec", "dim").mapInPandas(_describe(pivots, k, shared, r), f"vec_id long, mass long, vec {kind}, near array<int>, keys array<string>")
     described = materialize(described, "described")

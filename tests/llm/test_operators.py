@@ -713,3 +713,22 @@ def test_lm_query_holds_pairs_seen_once(spark, tmp_path):
             s += math.log10(p)
         off[got[d]["held_out"]].append(abs(got[d]["score"] - s) / len(w))
     assert np.mean(off[True]) < 0.01 and np.mean(off[False]) < 0.01
+
+
+def test_links_of_embeddings_do_not_change_with_the_form_of_the_lists(spark, monkeypatch):
+    """Lists by one and by two common pivots, and few vectors beside many: the same pivots, the same links."""
+    import numpy as np
+
+    from siteweave.llm import embedding_pivots
+
+    assert embedding_pivots.pivots_of.__code__.co_argcount == 1  # the number of vectors is no input
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 24))
+    rows = [(k, (base[k % 60] + (0.05 + 0.05 * (k // 60)) * rng.standard_normal(24)).tolist()) for k in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = []
+    for many in (1 << 20, 1):
+        monkeypatch.setattr(embedding_pivots, "MANY", many)
+        got.append(sorted(embedding_pivots.near_duplicates(df).collect()))
+    assert got[0] == got[1] and sum(r["n_links"] for r in got[0]) > 100
+    assert [r["component_id"] for r in embedding_pivots.near_duplicates(df, shared=1).collect()]
