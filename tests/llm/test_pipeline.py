@@ -150,3 +150,18 @@ def test_one_row_of_each_group_stays(spark):
     got = sorted(((r["doc_id"], r["text"] or "") for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()), key=str)
     assert [x for x in got if x[0] is None and x[1].startswith(d)] and len([x for x in got if x[1].startswith(d + " ")]) == 1
     assert sorted((x for x in got if not x[1].startswith(d + " ")), key=str) == sorted([(1, a), (7, b + " more"), (3, c), (5, d), (None, e), (None, "")], key=str)
+
+
+def test_near_duplicates_take_candidates_from_fingerprints(spark, monkeypatch):
+    """The SimHash trees are searched, what they find is checked, and texts that only their fingerprints join stay apart."""
+    a = " ".join(f"w{k}" for k in range(400))
+    texts = [a, a + " more", "other words of another text here", a.replace("w0 ", "v0 ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, linked = [], simhash_bk.linked
+    monkeypatch.setattr(simhash_bk, "linked", lambda *args: seen.append(args[1]) or linked(*args))
+    left = {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert left == {0, 2} and seen == [4]
+    own = pipeline.shingle_join.keyed(docs)
+    assert pipeline._candidates(own).count() >= 1
+    monkeypatch.setattr(simhash_bk, "linked", lambda distinct, radius, count: distinct.alias("p").crossJoin(distinct.alias("q")).where("p.fp < q.fp").selectExpr("p.fp AS a", "q.fp AS b"))
+    assert {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()} == {0, 2}
