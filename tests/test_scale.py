@@ -429,3 +429,35 @@ def test_parents_are_joined_without_columns_that_nobody_asks_for(spark):
     ids = found.select("child.id", F.col("parent.id").alias("up"))
     assert "rand(" not in ids._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(ids.collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_pairs_of_regions_of_one_place_are_made_after_their_places_met(spark):
+    """60 regions a place on either side: the join sees the places, in rows of bounded lists."""
+    x = [(s, s + 9) for s in range(0, 60, 20)] * 60 + [(5, 4)]
+    y = [(s, s + 4) for s in range(0, 60, 15)] * 60
+    a, b = regions(spark, x), regions(spark, y)
+    places = intervals.placed(a, 25)
+    assert sorted(len(r["items"]) for r in places.collect()) == [10] * 3 + [25] * 6
+    met = intervals.overlaps_by_place(a, b, 51)
+    assert met.count() == len(meeting(sorted(set(x[:-1])), sorted(set(y))))
+    own = intervals.apart(met.select(F.col("a.items.id").alias("a"), F.col("b.items.id").alias("b")), ["a"], ["b"])
+    assert sorted((r["a"], r["b"]) for r in own.collect()) == meeting(x[:-1], y)
+    left = intervals.pairwise_remainders(a, b, "id", 51)
+    want = sorted((i, u, v, j) for i, j in meeting(x[:-1], y) for u, v in ((x[i][0], y[j][0] - 1), (y[j][1] + 1, x[i][1])) if u <= v)
+    assert sorted((r["id"], r["start"], r["end"], r["b"]["id"]) for r in left.collect()) == want
+    assert left.columns == ["id", "chrom", "start", "end", "b"] and left.select("b.*").columns == b.columns
+
+
+def test_streamed_pairs_are_made_after_the_sink(spark, tmp_path):
+    """The sink of overlaps_streamed has a row for two places that met, not for two regions."""
+    from siteweave.plans import catalog, catalog_files
+
+    d, held = "/root/testdata/sf0.001", []
+    ran = catalog_files._ran
+    catalog_files._ran = lambda stream, mode="append": held.append(ran(stream, mode)) or held[-1]
+    try:
+        got = catalog.QUERIES["overlaps_streamed"](spark, d)
+    finally:
+        catalog_files._ran = ran
+    assert dict(held[0].dtypes)["a"] == "array<bigint>"
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.QUERIES["overlap_join_all"](spark, d).collect()))
