@@ -461,3 +461,12 @@ def test_streamed_pairs_are_made_after_the_sink(spark, tmp_path):
         catalog_files._ran = ran
     assert dict(held[0].dtypes)["a"] == "array<bigint>"
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.QUERIES["overlap_join_all"](spark, d).collect()))
+
+
+def test_moved_regions_are_the_same_however_often_they_are_made(spark):
+    """Random places do not follow the order or partition of the rows, and no merge is made again."""
+    a, b = regions(spark, [(k * 50, k * 50 + k % 40) for k in range(400)]), regions(spark, [(k * 70, k * 70 + 30) for k in range(300)])
+    one = intervals.shuffled_overlap(a, b, 30_000, 3)
+    two = intervals.shuffled_overlap(a.orderBy(F.desc("id")).repartition(3, "start"), b, 30_000, 3)
+    assert sorted(one.collect()) == sorted(two.collect()) and all(r["coverage"] > 0 for r in one.collect())
+    assert "Window" not in one._jdf.queryExecution().optimizedPlan().toString()
