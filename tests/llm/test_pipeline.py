@@ -165,3 +165,13 @@ def test_near_duplicates_take_candidates_from_fingerprints(spark, monkeypatch):
     assert pipeline._candidates(own).count() >= 1
     monkeypatch.setattr(simhash_bk, "linked", lambda distinct, radius, count: distinct.alias("p").crossJoin(distinct.alias("q")).where("p.fp < q.fp").selectExpr("p.fp AS a", "q.fp AS b"))
     assert {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()} == {0, 2}
+
+
+def test_candidates_of_secrets_are_a_written_list(spark):
+    """Texts need not move to meet a short list of candidates: it is written, and the postings are gone."""
+    from siteweave.llm import secret_trigrams
+
+    docs = spark.createDataFrame([(1, 'token = "0123456789abcdef0123"'), (2, "plain words")], "doc_id long, text string")
+    clean = secret_trigrams.redacted(docs)
+    assert any("/candidates-" in f for f in clean.inputFiles()) and not any("/postings-" in f for f in clean.inputFiles())
+    assert sorted(r["text"] for r in clean.collect()) == ["[assign]\"", "plain words"]
