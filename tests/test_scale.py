@@ -470,3 +470,19 @@ def test_moved_regions_are_the_same_however_often_they_are_made(spark):
     two = intervals.shuffled_overlap(a.orderBy(F.desc("id")).repartition(3, "start"), b, 30_000, 3)
     assert sorted(one.collect()) == sorted(two.collect()) and all(r["coverage"] > 0 for r in one.collect())
     assert "Window" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_are_written_as_runs_and_repeats(spark, tmp_path):
+    """60,000 rows a task were too many for a dictionary of a file: each match was written with its name."""
+    from pathlib import Path
+
+    from siteweave.operators import tables
+
+    q = spark.range(64).select(F.col("id").alias("q_pos"), F.lit(1).alias("k"))
+    t = spark.range(240_000).select(F.col("id").alias("row_pos"), F.lit(1).alias("k"), F.format_string("Customer#%09d", "id").alias("name"))
+    tables.lookup(q, t, "k").write.parquet(path := str(tmp_path / "out"))
+    got = spark.read.parquet(path)
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("q_pos"), F.countDistinct("row_pos"), F.countDistinct("name")).first()[:] == (15_360_000, 64, 240_000, 240_000)
+    assert got.where("CAST(substr(name, 10) AS INT) != row_pos").count() == 0
+    size = sum(p.stat().st_size for p in Path(path).glob("*.parquet"))
+    assert size < 15_360_000 * 0.8, size
