@@ -486,3 +486,23 @@ def test_matches_are_written_as_runs_and_repeats(spark, tmp_path):
     assert got.where("CAST(substr(name, 10) AS INT) != row_pos").count() == 0
     size = sum(p.stat().st_size for p in Path(path).glob("*.parquet"))
     assert size < 15_360_000 * 0.8, size
+
+
+def test_lists_are_unrolled_in_pieces_that_repeat_in_bytes(spark):
+    """300 regions beside each of two: runs of 256, of a multiple of eight, and of the rest."""
+    a, b = regions(spark, [(1, 9)] * 2), regions(spark, [(5, 7)] * 300)
+    met = intervals.overlaps_by_place(a, b, 51).select(F.col("a.items.id").alias("a"), F.col("b.items.id").alias("b"))
+    got = [r[:] for r in intervals.apart(met, ["a"], ["b"]).collect()]
+    assert got == [(i, j) for low, high in ((0, 256), (256, 296), (296, 300)) for i in range(2) for j in range(low, high)]
+
+
+@pytest.mark.parametrize("name", ["overlap_join_all"])
+def test_tasks_of_pairs_follow_the_line_items(spark, monkeypatch, name):
+    """A task that writes pairs of more regions than a file's dictionary holds writes each number in full."""
+    from siteweave.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "PAIRED", 100, raising=False)
+    n = 1 + spark.read.parquet(f"{d}/lineitem.parquet").count() // 100
+    plan = catalog.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert n > 50 and f", {n}), REPARTITION_BY_NUM" in plan
