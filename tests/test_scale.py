@@ -496,7 +496,7 @@ def test_lists_are_unrolled_in_pieces_that_repeat_in_bytes(spark):
     assert got == [(i, j) for low, high in ((0, 256), (256, 296), (296, 300)) for i in range(2) for j in range(low, high)]
 
 
-@pytest.mark.parametrize("name", ["overlap_join_all", "pairwise_remainders", "overlaps_streamed"])
+@pytest.mark.parametrize("name", ["overlap_join_all", "pairwise_remainders", "overlaps_streamed", "join_by_name"])
 def test_tasks_of_pairs_follow_the_line_items(spark, monkeypatch, name):
     """A task that writes pairs of more regions than a file's dictionary holds writes each number in full."""
     from siteweave.plans import catalog
